@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerwell.llm import kd_shards as kd
-from ledgerwell.llm import mixing
+from ledgerwell.llm import mixing, ordinal, token_files
 from ledgerwell.llm.shared import words_in
 from ledgerwell.llm.url_rules import RULE_SCHEMA, judge_urls
 
@@ -56,10 +56,23 @@ def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(docs, "source", F.col("words"), quality, ["doc_id", "text_hash"]).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_files.token_table(table(spark, sf_dir, "documents"), "doc_id", "text", public_tokenizers.path("word_bpe_49k.json"), 1)
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = ordinal.select_good(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "expected_grade", "tail_probability", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_kd_shards": op2_kd_shards,
     "op3_mix": op3_mix,
+    "op9_token_files": op9_token_files,
+    "op10_quality": op10_quality,
 }
 
 OP1_SQL = r"""
