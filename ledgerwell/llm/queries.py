@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ledgerwell.llm import kd_shards as kd
 from ledgerwell.llm import mixing, ordinal, token_files
+from ledgerwell.llm.jaccard_join import near_duplicates
 from ledgerwell.llm.shared import words_in
+from ledgerwell.llm.site_templates import main_text
 from ledgerwell.llm.url_rules import RULE_SCHEMA, judge_urls
 
 
@@ -56,6 +58,14 @@ def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(docs, "source", F.col("words"), quality, ["doc_id", "text_hash"]).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -71,6 +81,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_kd_shards": op2_kd_shards,
     "op3_mix": op3_mix,
+    "op4_site_templates": op4_site_templates,
+    "op5_jaccard_join": op5_jaccard_join,
     "op9_token_files": op9_token_files,
     "op10_quality": op10_quality,
 }
