@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ledgerwell.llm import kd_shards as kd
 from ledgerwell.llm import mixing, ordinal, token_files
 from ledgerwell.llm.jaccard_join import near_duplicates
+from ledgerwell.llm.pseudonyms import pseudonymise
 from ledgerwell.llm.shared import words_in
 from ledgerwell.llm.site_templates import main_text
 from ledgerwell.llm.url_rules import RULE_SCHEMA, judge_urls
@@ -66,6 +67,11 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "text", F.size("replaced").cast("long").alias("n_replaced"), "replaced")
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -83,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mix": op3_mix,
     "op4_site_templates": op4_site_templates,
     "op5_jaccard_join": op5_jaccard_join,
+    "op7_pseudonyms": op7_pseudonyms,
     "op9_token_files": op9_token_files,
     "op10_quality": op10_quality,
 }
