@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ledgerwell.llm import kd_shards as kd
 from ledgerwell.llm import mixing, ordinal, token_files
+from ledgerwell.llm.decontaminate import find_leaks
 from ledgerwell.llm.jaccard_join import near_duplicates
+from ledgerwell.llm.metric_tree import quantise, top_k
 from ledgerwell.llm.pseudonyms import pseudonymise
 from ledgerwell.llm.shared import words_in
 from ledgerwell.llm.site_templates import main_text
@@ -67,11 +69,21 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_metric_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", quantise(F.col("embedding")).alias("x"))
+    return top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0), 5)
+
+
 def op7_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", "text", F.size("replaced").cast("long").alias("n_replaced"), "replaced")
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    searched = find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return searched.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -89,7 +101,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mix": op3_mix,
     "op4_site_templates": op4_site_templates,
     "op5_jaccard_join": op5_jaccard_join,
+    "op6_metric_tree": op6_metric_tree,
     "op7_pseudonyms": op7_pseudonyms,
+    "op8_decontaminate": op8_decontaminate,
     "op9_token_files": op9_token_files,
     "op10_quality": op10_quality,
 }
@@ -107,4 +121,17 @@ SELECT page_id, host, path,
 FROM u
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_url_filter": OP1_SQL}
+OP6_SQL = r"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.x, c.x) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_url_filter": OP1_SQL, "op6_metric_tree": OP6_SQL}
