@@ -9,7 +9,7 @@ rare shingles first, by a sketch of shingle counts over all texts; it sets the s
 A list is not expanded into pairs. Each class first checks one candidate, the leader it shares most lists with;
 what this links is one group. Only then the members of a list that are outside its leader's group are compared with the
 list's other groups. So groups of near copies cost about one check a member, while every link between two groups is
-found.
+found. Bitmaps of the sets rule out most candidates before their sets are fetched for the exact test.
 """
 
 from __future__ import annotations
@@ -25,12 +25,14 @@ from pyspark.sql import functions as F
 
 from ledgerwell.llm import wordhash as wh
 from ledgerwell.llm.components import connected_components
-from ledgerwell.llm.shared import join_small, partitions, table_cut
+from ledgerwell.llm.shared import free_name, join_small, table_cut
 
 #: Cells of the count sketch and how many of them travel together. A power of two; more cells, fewer false "frequent".
 SKETCH_CELLS, SKETCH_CHUNK = 1 << 22, 1 << 18
 #: Sizes up to which sets may be small, and what a scanned list entry costs against an enumerated subset.
 MOST_SMALL, SCAN_COST = 64, 3.0
+#: Words of 64 bits in a set's bitmap: a set bit for each of its shingles' hashes.
+BITMAP = 16
 #: Rounds in which each class checks one leader before groups are compared.
 LEADER_ROUNDS = 2
 
@@ -53,26 +55,32 @@ def _class_of(s: np.ndarray) -> int:
         return int(wh.mix(np.array([np.sum(s * (s | np.uint64(1))) ^ wh.mix(np.array([np.sum(wh.mix(s)) + np.uint64(len(s))], np.uint64))[0]], np.uint64))[0].astype(np.int64))
 
 
+def _bitmap(s: np.ndarray) -> np.ndarray:
+    bits = np.zeros(64 * BITMAP, np.uint8)
+    bits[(s >> np.uint64(40)).astype(np.int64) % (64 * BITMAP)] = 1
+    return np.packbits(bits).view(np.int64)
+
+
 def _survey(docs: DataFrame, size: int) -> DataFrame:
-    """One row a text (id, cls, n) and the rows of each task's count sketch (chunk, cells), in one table."""
+    """One row a text (id, cls, n, bits) and the rows of each task's count sketch (chunk, cells), in one table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(SKETCH_CELLS, np.uint32)
-        names = ["id", "cls", "n", "chunk", "cells"]
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+        names = ["id", "cls", "n", "bits", "chunk", "cells"]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.int32(), pa.binary()]
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
                 sets = list(_sets(part.column(1), size))
                 every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
                 cells += np.bincount((every & np.uint64(SKETCH_CELLS - 1)).astype(np.int64), minlength=SKETCH_CELLS).astype(np.uint32)
                 m = len(sets)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([_class_of(s) for s in sets], kinds[1]), pa.array([len(s) for s in sets], kinds[2]), pa.nulls(m, kinds[3]), pa.nulls(m, kinds[4])], names=names)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([_class_of(s) for s in sets], kinds[1]), pa.array([len(s) for s in sets], kinds[2]), pa.array([_bitmap(s) for s in sets], kinds[3]), pa.nulls(m, kinds[4]), pa.nulls(m, kinds[5])], names=names)
         for chunk in range(SKETCH_CELLS // SKETCH_CHUNK if cells.any() else 0):
             part = np.minimum(cells[chunk * SKETCH_CHUNK : (chunk + 1) * SKETCH_CHUNK], 65535).astype("<u2").tobytes()
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, kinds[0]), pa.nulls(1, kinds[1]), pa.nulls(1, kinds[2]), pa.array([chunk], kinds[3]), pa.array([part], kinds[4])], names=names)
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(1, k) for k in kinds[:4]), pa.array([chunk], kinds[4]), pa.array([part], kinds[5])], names=names)
 
-    return docs.mapInArrow(run, "id long, cls long, n int, chunk int, cells binary")
+    return docs.mapInArrow(run, "id long, cls long, n int, bits array<long>, chunk int, cells binary")
 
 
 def _ranks(survey: DataFrame) -> bytes:
@@ -112,9 +120,10 @@ def _postings(docs: DataFrame, size: int, num: int, den: int, ranks: bytes, smal
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = np.frombuffer(sent.value, np.uint8)
+        seen = set()  # classes that this task has posted
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
-                keys, owners, sizes, seen = [], [], [], set()
+                keys, owners, sizes = [], [], []
                 for s in _sets(batch.column(0).slice(at, 1000), size):
                     n = len(s)
                     if num * (n + 1) > den * n and num * n > den * (n - 1):  # no set with one more or one less is similar
@@ -139,24 +148,40 @@ def _postings(docs: DataFrame, size: int, num: int, den: int, ranks: bytes, smal
     return docs.select("text").mapInArrow(run, "key long, cls long, n int")
 
 
-def _sets_of(docs: DataFrame, size: int, wanted: DataFrame) -> DataFrame:
-    """(cls, n, s) of the wanted classes, each once."""
+def _sets_of(docs: DataFrame, size: int, wanted: DataFrame, rows: int) -> DataFrame:
+    """(cls, n, s) of the wanted classes (cls, n, rep): the set of the text whose id is rep."""
+    wanted = wanted.select(F.col("rep").alias("w_id"), F.col("cls").alias("w_cls"), F.col("n").alias("w_n"))
+    texts = join_small(docs, wanted, docs["id"].eqNullSafe(F.col("w_id")), "inner", rows).select("text", "w_cls", "w_n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
                 found = {}
-                for s in _sets(batch.column(0).slice(at, 1000), size):
-                    found[_class_of(s), len(s)] = s
+                for s, cls, n in zip(_sets(part.column(0), size), part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+                    if (cls, n) not in seen and len(s) == n and _class_of(s) == cls:
+                        found[cls, n] = s
+                        seen.add((cls, n))
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.int64()), pa.array([n for _, n in found], pa.int32()), pa.array([s.view(np.int64) for s in found.values()], pa.list_(pa.int64()))], names=["cls", "n", "s"])
 
-    every = docs.select("text").mapInArrow(run, "cls long, n int, s array<long>")
-    return join_small(every, wanted, ["cls", "n"], "left_semi").groupBy("cls", "n").agg(F.first("s").alias("s"))
+    return texts.mapInArrow(run, "cls long, n int, s array<long>")
+
 
+def _plausible(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, an, b, bn) that their bitmaps don't rule out: similar sets differ in few shingles, so in few bits."""
+    left = classes.select(F.col("cls").alias("a"), F.col("n").alias("an"), F.col("bits").alias("ba"))
+    right = classes.select(F.col("cls").alias("b"), F.col("n").alias("bn"), F.col("bits").alias("bb"))
+    differ = F.aggregate(F.zip_with("ba", "bb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, v: acc + v)
+    return pairs.join(left, ["a", "an"]).join(right, ["b", "bn"]).filter((num + den) * differ <= (den - num) * (F.col("an") + F.col("bn"))).select("a", "an", "b", "bn")
 
-def _similar(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+
+def _similar(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """The pairs (a, an, b, bn) whose sets are similar: an exact test of every pair."""
+    involved = pairs.select(F.col("a").alias("cls"), F.col("an").alias("n")).unionByName(pairs.select(F.col("b").alias("cls"), F.col("bn").alias("n"))).distinct()
+    involved = table_cut(classes.select("cls", "n", "rep").join(involved, ["cls", "n"], "left_semi"), "shingle-involved")
+    sets = table_cut(_sets_of(docs, size, involved, involved.count()), "shingle-sets")
     left = sets.select(F.col("cls").alias("a"), F.col("n").alias("an"), F.col("s").alias("sa"))
     right = sets.select(F.col("cls").alias("b"), F.col("n").alias("bn"), F.col("s").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
@@ -164,10 +189,10 @@ def _similar(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
 
 
 def _lists(postings: DataFrame) -> DataFrame:
-    """Postings of keys that more than one class has."""
-    postings = postings.distinct()
+    """Postings of keys that more than one class has. They are dealt by key once, for the count and for the join."""
+    postings = postings.repartition("key")
     shared = postings.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.min("n").alias("n0"), F.max("n").alias("n1")).filter("lo <> hi or n0 <> n1").select("key")
-    return postings.join(shared, "key", "left_semi")
+    return postings.join(shared, "key", "left_semi").distinct()
 
 
 def similar_classes(docs: DataFrame, size: int = 5, threshold: tuple[int, int] = (80, 100)) -> tuple[DataFrame, DataFrame]:
@@ -179,11 +204,11 @@ def similar_classes(docs: DataFrame, size: int = 5, threshold: tuple[int, int] =
     spark: SparkSession = docs.sparkSession
     num, den = threshold
     survey = table_cut(_survey(docs, size), "shingle-survey")
-    members = survey.filter("chunk is null").select("id", "cls", "n")
+    members = survey.filter("chunk is null").select("id", "cls", "n", "bits")
     ranks, small = _ranks(survey), _boundary(members, num, den)
     lists = table_cut(_lists(_postings(docs, size, num, den, ranks, small)), "shingle-lists")
-    wanted = table_cut(lists.select("cls", "n").distinct(), "shingle-classes")
-    sets = table_cut(_sets_of(docs, size, wanted), "shingle-sets")
+    reps = members.join(lists.select("cls", "n").distinct(), ["cls", "n"], "left_semi").groupBy("cls", "n").agg(F.min("id").alias("rep"), F.first("bits").alias("bits"))
+    classes = table_cut(reps, "shingle-classes")
     fits = lambda an, bn: (den * F.col(an) >= num * F.col(bn)) & (den * F.col(bn) >= num * F.col(an))
 
     links, checked = None, None
@@ -206,11 +231,14 @@ def similar_classes(docs: DataFrame, size: int = 5, threshold: tuple[int, int] =
         pairs = pairs.select(lo.alias("lo"), hi.alias("hi")).select(F.col("lo.c").alias("a"), F.col("lo.m").alias("an"), F.col("hi.c").alias("b"), F.col("hi.m").alias("bn")).distinct()
         pairs = table_cut(pairs if checked is None else pairs.join(checked, ["a", "an", "b", "bn"], "left_anti"), "shingle-pairs")
         checked = pairs if checked is None else checked.unionByName(pairs)
-        found = table_cut(_similar(pairs, sets, num, den), "shingle-links")
+        likely = table_cut(_plausible(pairs, classes, num, den), "shingle-likely")
+        if roots is not None and likely.isEmpty():
+            continue
+        found = table_cut(_similar(likely, classes, docs, size, num, den), "shingle-links")
         links = found if links is None else links.unionByName(found)
         node = lambda c, m: F.struct(F.col(c).alias("cls"), F.col(m).alias("n"))
         roots = table_cut(connected_components(links.select(node("a", "an").alias("a"), node("b", "bn").alias("b"))), "shingle-roots")
-    return members, roots.select("node.cls", "node.n", F.col("root.cls").alias("root_cls"), F.col("root.n").alias("root_n"))
+    return members.drop("bits"), roots.select("node.cls", "node.n", F.col("root.cls").alias("root_cls"), F.col("root.n").alias("root_n"))
 
 
 def _marked(lists: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -222,6 +250,21 @@ def _marked(lists: DataFrame, roots: DataFrame | None) -> DataFrame:
     return join_small(lists, known, ["cls", "n"]).select("key", "cls", "n", F.coalesce("r", own).alias("root"))
 
 
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
+    """docs with one row of each component of near_duplicates; texts without words all stay.
+
+    Rows are told apart by doc_id and text, so rows that repeat an id are judged by their own texts and rows that repeat
+    both are one. Which row of a component stays is fixed by a hash of the two.
+    """
+    key = free_name(docs, "row_key")
+    keyed = docs.withColumn(key, F.xxhash64(F.col(f"`{doc_id}`"), F.col(f"`{text}`")))
+    found = near_duplicates(keyed.select(key, text), key, text, size, threshold)
+    kept = table_cut(found.filter(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias(key)).count(), "kept-rows")
+    n, rows = kept.agg(F.count("*"), F.sum("count")).first()
+    out = join_small(keyed, kept.select(key), key, "left_semi", n)
+    return (out if rows in (None, n) else out.dropDuplicates([key])).drop(key)
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
     """One row for each row of docs: (doc_id, n_shingles, component_id).
 

@@ -39,14 +39,14 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), mos
 
 
 def mix_sources(df: DataFrame, source: str, size: Column, quality: Column, identity: list[str], weights: tuple[float, ...] = (5, 2, 1), most: float = 3.0, seed: int = 17) -> DataFrame:
-    """df with size, source_size, target and taken (tokens the mix takes of the row: size times its copies).
+    """df with size, source_size, target, copies (how often the mix takes the row) and taken (size times copies).
 
     `quality` is a row's weight in the fractional draw: null counts as 1, zero and less come after all others. The draw
     is a hash of `identity` (columns that tell rows apart) and `seed`, so a rerun gives the same mix; rows that agree in
     them share a key and are drawn together or not at all. Sizes are null-safe (null counts as 0), null sources
     form one source, an empty table gives an empty result, and input columns of these names are replaced.
     """
-    made = ("size", "source_size", "target", "taken")
+    made = ("size", "source_size", "target", "copies", "taken")
     keep = [c for c in df.columns if c.lower() not in made]
     u = (F.shiftrightunsigned(F.xxhash64(*[F.col(f"`{c}`") for c in identity], F.lit(seed)), 12).cast("double") + 0.5) / float(2**52)
     q = F.coalesce(quality.cast("double"), F.lit(1.0))
@@ -59,9 +59,9 @@ def mix_sources(df: DataFrame, source: str, size: Column, quality: Column, ident
     slim = rows.select(F.col(src).alias("source"), F.col(uid).alias("uid"), F.col(k).alias("key"), F.col(s).alias("size")).filter("size > 0")
     drawn = _draw(slim, targets.select(F.col("source").alias("t_source"), (F.col("target") - F.col("epochs") * F.col("source_size")).alias("left")), n)
     out = join_small(rows, targets.select(F.col("source").alias("t_source"), "source_size", "target", "epochs"), F.col(src).eqNullSafe(F.col("t_source")), rows=n)
-    out = out.join(drawn.select(F.col("uid").alias("d_uid"), F.col("source").alias("d_source")), (F.col(uid) == F.col("d_uid")) & F.col(src).eqNullSafe(F.col("d_source")), "left")
-    out = out.withColumn("taken", F.col(s) * (F.col("epochs") + F.col("d_uid").isNotNull().cast("long")))
-    return out.select(*[F.col(f"`{c}`") for c in keep], F.col(s).alias("size"), "source_size", F.col("target").cast("double"), "taken")
+    out = join_small(out, drawn.select(F.col("uid").alias("d_uid"), F.col("source").alias("d_source")), (F.col(uid) == F.col("d_uid")) & F.col(src).eqNullSafe(F.col("d_source")))
+    out = out.withColumn("copies", F.col("epochs") + F.col("d_uid").isNotNull().cast("long")).withColumn("taken", F.col(s) * F.col("copies"))
+    return out.select(*[F.col(f"`{c}`") for c in keep], F.col(s).alias("size"), "source_size", F.col("target").cast("double"), "copies", "taken")
 
 
 def _draw(slim: DataFrame, budgets: DataFrame, n_sources: int) -> DataFrame:

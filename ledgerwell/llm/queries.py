@@ -13,12 +13,14 @@ from ledgerwell.llm.decontaminate import find_leaks
 from ledgerwell.llm.jaccard_join import near_duplicates
 from ledgerwell.llm.metric_tree import quantise, top_k
 from ledgerwell.llm.pseudonyms import pseudonymise
-from ledgerwell.llm.shared import words_in
+from ledgerwell.llm.shared import join_small, words_in
 from ledgerwell.llm.site_templates import main_text
 from ledgerwell.llm.url_rules import RULE_SCHEMA, judge_urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table, and batches for Python workers small enough for long texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -53,12 +55,17 @@ def op2_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def label_weights(docs: DataFrame, labels: DataFrame, name: str) -> DataFrame:
+    """docs with the weight of the fractional draw: 1 without a label, 0.5 to 1.5 by the mean of the quality labels."""
+    marks = labels.filter("doc_id is not null").groupBy(F.col("doc_id").alias("m_id")).agg(F.avg("quality").alias("m_mark"))
+    weight = F.coalesce(F.col("m_mark") + 0.5, F.lit(1.0))
+    return join_small(docs, marks, F.col("doc_id") == F.col("m_id")).withColumn(name, weight).drop("m_id", "m_mark")
+
+
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", words_in(F.col("text")).alias("words"), F.xxhash64("text").alias("text_hash"))
-    marks = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.avg("quality").alias("mark")).filter("doc_id is not null")
-    docs = docs.join(marks, "doc_id", "left")
-    quality = F.when(F.col("mark").isNull(), 1.0).otherwise(0.5 + F.col("mark"))
-    return mixing.mix_sources(docs, "source", F.col("words"), quality, ["doc_id", "text_hash"]).select("doc_id", "size", "source_size", "target", "taken")
+    docs = label_weights(docs, table(spark, sf_dir, "labels"), "mark")
+    return mixing.mix_sources(docs, "source", F.col("words"), F.col("mark"), ["doc_id", "text_hash"]).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op4_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
