@@ -25,7 +25,11 @@ from ledgerwell.llm.shared import partitions, shared_path
 MEMO_WORDS = 400_000
 NULL_DOC = -(2**63)
 
-_memo: dict[tuple, tuple[dict, dict]] = {}
+_memo: dict[tuple, dict] = {}
+
+#: The character that byte-level tokenizers write for each byte; printable ones stand for themselves.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_CHARS = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 
 
 def id_type(vocabulary: int) -> str:
@@ -36,8 +40,8 @@ def id_type(vocabulary: int) -> str:
 def encoder(path: str, end_id: int) -> tuple[str, Callable[[list[str]], list[bytes]]]:
     """(id type, function from texts to their ids as bytes, each with end_id at its end) for a tokenizers file.
 
-    Where the tokenizer never joins anything across spaces or between letters and other ASCII marks (it is asked, not
-    assumed), words and letter runs already seen are taken from a memory; else whole texts are encoded.
+    Where the tokenizer is byte-level and never joins anything across spaces or between letters and marks (it is asked,
+    not assumed), words and letter runs already seen are taken from a memory; else whole texts are encoded.
     """
     from tokenizers import Tokenizer
 
@@ -50,50 +54,47 @@ def encoder(path: str, end_id: int) -> tuple[str, Callable[[list[str]], list[byt
     def whole(texts: list[str]) -> list[bytes]:
         return [as_bytes(e.ids) for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    pieces = [p for p, _ in tok.pre_tokenizer.pre_tokenize_str(tok.normalizer.normalize_str("ab., CD\n?e") if tok.normalizer else "ab., CD\n?e")] if tok.pre_tokenizer else []
-    runs_apart = pieces == ["ab", ".,", "cd", "?", "e"] and all([t.id for t in tok.model.tokenize(w)] == tok.encode(w.upper(), add_special_tokens=False).ids for w in ("ab", "tokenizers", "ththtionre"))
-    if not runs_apart:
+    probe = "ab., C\u00c9\n?e"
+    if tok.pre_tokenizer is None or tok.encode(probe, add_special_tokens=False).ids != [i for p in ("ab", ".,", "c\u00e9", "?", "e") for i in tok.encode(p, add_special_tokens=False).ids]:
+        return kind, lambda texts: [x + end for x in whole(texts)]
+    pieces = [p for p, _ in tok.pre_tokenizer.pre_tokenize_str("ab., c\u00e9\n?e")]
+    model_only = lambda run: [t.id for t in tok.model.tokenize("".join(map(_BYTE_CHARS.__getitem__, run.encode())))]
+    if len(pieces) != 5 or any(model_only(w) != tok.encode(w.upper(), add_special_tokens=False).ids for w in ("ab", "tokenizers", "c\u00e9l\u00e8bre")):
         return kind, lambda texts: [x + end for x in whole(texts)]
 
-    words, runs = _memo.setdefault((path, end_id), ({}, {}))
-    simple = re.compile(r"([A-Za-z]+)([.,;:!?|*#%$&]*)")
-
-    def learn(new: list[str]) -> None:
-        if len(words) + len(new) > MEMO_WORDS:
-            words.clear()
-        if len(runs) > MEMO_WORDS:
-            runs.clear()
-        hard = []
-        for word in new:
-            m = simple.fullmatch(word)
-            if not m:
-                hard.append(word)
-                continue
+    memory = _memo.setdefault((path, end_id), _Words(lambda run: as_bytes(model_only(run)), lambda text: whole([text])[0]))
+    look = memory.__getitem__
+    return kind, lambda texts: [b"".join(map(look, text.replace("\n", " ").split(" "))) + end for text in texts]
+
+
+class _Words(dict):
+    """Ids of words seen so far. A word of Latin-1 letters and marks is the ids of its letters, then of its marks."""
+
+    SIMPLE = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?|*#%$&]*)")
+
+    def __init__(self, of_run: Callable[[str], bytes], of_text: Callable[[str], bytes]):
+        super().__init__()
+        self.of_run, self.of_text, self.runs = of_run, of_text, {}
+
+    def __missing__(self, word: str) -> bytes:
+        for known in (self, self.runs):
+            if len(known) >= MEMO_WORDS:
+                known.clear()
+        m = self.SIMPLE.fullmatch(word)
+        if m is None:
+            ids = self.of_text(word)
+        else:
             run, marks = m[1].lower(), m[2]
-            ids = runs.get(run)
+            ids = self.runs.get(run)
             if ids is None:
-                ids = runs[run] = as_bytes([t.id for t in tok.model.tokenize(run)])
+                ids = self.runs[run] = self.of_run(run)
             if marks:
-                tail = runs.get(marks)
+                tail = self.runs.get(marks)
                 if tail is None:
-                    tail = runs[marks] = whole([marks])[0]
+                    tail = self.runs[marks] = self.of_text(marks)
                 ids += tail
-            words[word] = ids
-        words.update(zip(hard, whole(hard), strict=True))
-
-    def by_word(texts: list[str]) -> list[bytes]:
-        out = []
-        for text in texts:
-            split = text.replace("\n", " ").split(" ")
-            new = [w for w in set(split) if w not in words]
-            if new:
-                learn(new)
-                if any(w not in words for w in split):  # the memory was emptied meanwhile
-                    learn([w for w in set(split) if w not in words])
-            out.append(b"".join(map(words.__getitem__, split)) + end)
-        return out
-
-    return kind, by_word
+        self[word] = ids
+        return ids
 
 
 def local_path(path: str) -> str:
