@@ -49,7 +49,7 @@ def table_cut(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: later plans start here and survive lost executors."""
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

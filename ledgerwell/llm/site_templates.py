@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerwell.llm.shared import free_name, table_cut
+from ledgerwell.llm.shared import free_name, join_small, table_cut
 from ledgerwell.llm.url_rules import url_host
 
 #: A subtree belongs to the template if it is on so many pages of its host and on this share of them.
@@ -166,6 +166,6 @@ def main_text(pages: DataFrame, url: str = "url", html_column: str = "html") ->
     template = table_cut(template, "templates")
     # pages that have a block in a template subtree: few rows travel, those with the subtrees they have
     on_page = parsed.select(uid, "host_", F.explode(F.array_distinct(F.flatten(F.col("blocks_.around")))).alias("subtree")).join(template, ["host_", "subtree"]).groupBy(uid).agg(F.collect_set("subtree").alias("gone_"))
-    out = parsed.join(on_page, uid, "left")
+    out = join_small(parsed, table_cut(on_page, "template-pages"), uid)
     left = F.when(F.col("gone_").isNull(), F.col("blocks_.text")).otherwise(F.transform(F.filter("blocks_", lambda b: ~F.arrays_overlap(b["around"], F.col("gone_"))), lambda b: b["text"]))
     return out.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.array_join(left, " "), F.lit("")).alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))
