@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from ledgerwell.llm.shared import partitions, shared_path
 
-#: Words and letter runs that a Python worker remembers at most (about 25 MB each); a full memory is emptied, which costs time but changes no id.
-MEMO_WORDS = 120_000
+#: Words and letter runs that a Python worker remembers at most (about 45 MB each); a full memory is emptied, which costs time but changes no id.
+MEMO_WORDS = 220_000
 NULL_DOC = -(2**63)
 
 _memo: dict[tuple, dict] = {}
