@@ -6,8 +6,9 @@ first shingles (subsets of size k = 2) and meet in equal pairs; large sets post
 lists, which are scanned. The boundary between small and large is the set size that makes the cost least. The order puts
 rare shingles first, by a sketch of shingle counts over all texts; it sets the speed only.
 
-A list is not expanded into pairs. Each class first checks one candidate, the leader it shares most lists with;
-what this links is one group. Only then the members of a list that are outside its leader's group are compared with the
+A list is not expanded into pairs. Each class first checks one candidate, the leader it shares most lists with (a list's
+leader is the class that has the list's shingle earliest, with the fewest shingles of its own before it); what this links
+is one group. Only then the members of a list that are outside its leader's group are compared with the
 list's other groups. So groups of near copies cost about one check a member, while every link between two groups is
 found. Bitmaps of the sets rule out most candidates before their sets are fetched for the exact test.
 """
@@ -20,7 +21,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerwell.llm import wordhash as wh
@@ -34,7 +35,7 @@ MOST_SMALL, SCAN_COST = 64, 3.0
 #: Words of 64 bits in a set's bitmap: a set bit for each of its shingles' hashes.
 BITMAP = 16
 #: Rounds in which each class checks one leader before groups are compared.
-LEADER_ROUNDS = 2
+LEADER_ROUNDS = 3
 
 
 def _prefix(n: int, num: int, den: int, k: int) -> int:
@@ -111,8 +112,10 @@ def _boundary(survey: DataFrame, num: int, den: int) -> int:
 
 
 def _postings(docs: DataFrame, size: int, num: int, den: int, ranks: bytes, small: int) -> DataFrame:
-    """(key, cls, n): a row for each enumerated pair of a small set and for each posted shingle of a large one.
+    """(key, cls, n, pos): a row for each enumerated pair of a small set and for each posted shingle of a large one.
 
+    pos is the place of the (first) shingle in the set's order: of a pair of sets whose first common shingle it is, at most
+    n - pos shingles are common.
     Small sets so near the boundary that a large set can be similar post shingles too. Sets that only an equal set can
     be similar to have no rows.
     """
@@ -123,7 +126,7 @@ def _postings(docs: DataFrame, size: int, num: int, den: int, ranks: bytes, smal
         seen = set()  # classes that this task has posted
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
-                keys, owners, sizes = [], [], []
+                keys, owners, sizes, places = [], [], [], []
                 for s in _sets(batch.column(0).slice(at, 1000), size):
                     n = len(s)
                     if num * (n + 1) > den * n and num * n > den * (n - 1):  # no set with one more or one less is similar
@@ -133,19 +136,22 @@ def _postings(docs: DataFrame, size: int, num: int, den: int, ranks: bytes, smal
                         continue
                     seen.add((cls, n))
                     first = s[np.argsort(rank[(s & np.uint64(SKETCH_CELLS - 1)).astype(np.int64)], kind="stable")]
-                    mine = [first[: _prefix(n, num, den, 1)]] if n * den >= (small + 1) * num else []
+                    got, at_ = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+                    if n * den >= (small + 1) * num:
+                        got = first[: _prefix(n, num, den, 1)]
+                        at_ = np.arange(len(got))
                     if n <= small:
-                        head = np.sort(first[: _prefix(n, num, den, 2)])
-                        i, j = np.array(list(combinations(range(len(head)), 2)), np.int64).reshape(-1, 2).T
-                        mine.append(wh.mix(head[i] * np.uint64(0x9E3779B97F4A7C15) + wh.mix(head[j])))
-                    got = np.concatenate(mine)
+                        i, j = np.array(list(combinations(range(_prefix(n, num, den, 2)), 2)), np.int64).reshape(-1, 2).T
+                        pairs = wh.mix(np.minimum(first[i], first[j]) * np.uint64(0x9E3779B97F4A7C15) + wh.mix(np.maximum(first[i], first[j])))
+                        got, at_ = np.concatenate((got, pairs)), np.concatenate((at_, i))
                     keys.append(got)
+                    places.append(at_.astype(np.int32))
                     owners.append(np.full(len(got), cls, np.int64))
                     sizes.append(np.full(len(got), n, np.int32))
                 if keys:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(owners)), pa.array(np.concatenate(sizes))], names=["key", "cls", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(owners)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(places))], names=["key", "cls", "n", "pos"])
 
-    return docs.select("text").mapInArrow(run, "key long, cls long, n int")
+    return docs.select("text").mapInArrow(run, "key long, cls long, n int, pos int")
 
 
 def _sets_of(docs: DataFrame, size: int, wanted: DataFrame, rows: int) -> DataFrame:
@@ -189,10 +195,10 @@ def _similar(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, n
 
 
 def _lists(postings: DataFrame) -> DataFrame:
-    """Postings of keys that more than one class has. They are dealt by key once, for the count and for the join."""
-    postings = postings.repartition("key")
-    shared = postings.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.min("n").alias("n0"), F.max("n").alias("n1")).filter("lo <> hi or n0 <> n1").select("key")
-    return postings.join(shared, "key", "left_semi").distinct()
+    """Postings of keys that more than one class has. They are dealt by key once."""
+    of_key = Window.partitionBy("key")
+    ends = {"lo": F.min("cls"), "hi": F.max("cls"), "n0": F.min("n"), "n1": F.max("n")}
+    return postings.withColumns({k: v.over(of_key) for k, v in ends.items()}).filter("lo <> hi or n0 <> n1").drop(*ends).distinct()
 
 
 def similar_classes(docs: DataFrame, size: int = 5, threshold: tuple[int, int] = (80, 100)) -> tuple[DataFrame, DataFrame]:
@@ -209,24 +215,28 @@ def similar_classes(docs: DataFrame, size: int = 5, threshold: tuple[int, int] =
     lists = table_cut(_lists(_postings(docs, size, num, den, ranks, small)), "shingle-lists")
     reps = members.join(lists.select("cls", "n").distinct(), ["cls", "n"], "left_semi").groupBy("cls", "n").agg(F.min("id").alias("rep"), F.first("bits").alias("bits"))
     classes = table_cut(reps, "shingle-classes")
-    fits = lambda an, bn: (den * F.col(an) >= num * F.col(bn)) & (den * F.col(bn) >= num * F.col(an))
+
+    def fits(an: str, bn: str, apos: str, bpos: str) -> Column:
+        """Sizes and the places of a common shingle allow similarity."""
+        an, bn, apos, bpos = (F.col(c) for c in (an, bn, apos, bpos))
+        return (den * an >= num * bn) & (den * bn >= num * an) & ((num + den) * F.least(an - apos, bn - bpos) >= num * (an + bn))
 
     links, checked = None, None
     roots = None
     for turn in range(LEADER_ROUNDS + 1):
         marked = _marked(lists, roots)
-        order = F.struct(F.xxhash64("cls", "n", F.lit(turn)).alias("o"), "cls", "n", "root")
+        order = F.struct("pos", F.xxhash64("cls", "n", F.lit(turn)).alias("o"), "cls", "n", "root")
         heads = marked.groupBy("key").agg(F.min(order).alias("head"))
         open_rows = marked.join(heads, "key").filter(F.col("root") != F.col("head.root"))
         if turn < LEADER_ROUNDS:
-            led = open_rows.select(F.col("cls").alias("a"), F.col("n").alias("an"), F.col("head.cls").alias("b"), F.col("head.n").alias("bn")).filter(fits("an", "bn"))
+            led = open_rows.filter(fits("n", "head.n", "pos", "head.pos")).select(F.col("cls").alias("a"), F.col("n").alias("an"), F.col("head.cls").alias("b"), F.col("head.n").alias("bn"))
             led = led.groupBy("a", "an", "b", "bn").count()
             pairs = led.groupBy("a", "an").agg(F.max_by(F.struct("b", "bn"), F.struct("count", "b", "bn")).alias("l")).select("a", "an", "l.b", "l.bn")
         else:
-            outside = open_rows.select("key", F.col("cls").alias("a"), F.col("n").alias("an"), F.col("root").alias("a_root"), F.col("head.root").alias("h_root"))
-            others = marked.select("key", F.col("cls").alias("b"), F.col("n").alias("bn"), F.col("root").alias("b_root"))
+            outside = open_rows.select("key", F.col("cls").alias("a"), F.col("n").alias("an"), F.col("pos").alias("a_pos"), F.col("root").alias("a_root"), F.col("head.root").alias("h_root"))
+            others = marked.select("key", F.col("cls").alias("b"), F.col("n").alias("bn"), F.col("pos").alias("b_pos"), F.col("root").alias("b_root"))
             once = (F.col("b_root") == F.col("h_root")) | (F.struct("a", "an") < F.struct("b", "bn"))
-            pairs = outside.join(others, "key").filter((F.col("a_root") != F.col("b_root")) & once & fits("an", "bn")).select("a", "an", "b", "bn").distinct()
+            pairs = outside.join(others, "key").filter((F.col("a_root") != F.col("b_root")) & once & fits("an", "bn", "a_pos", "b_pos")).select("a", "an", "b", "bn").distinct()
         lo, hi = F.least(F.struct(F.col("a").alias("c"), F.col("an").alias("m")), F.struct(F.col("b").alias("c"), F.col("bn").alias("m"))), F.greatest(F.struct(F.col("a").alias("c"), F.col("an").alias("m")), F.struct(F.col("b").alias("c"), F.col("bn").alias("m")))
         pairs = pairs.select(lo.alias("lo"), hi.alias("hi")).select(F.col("lo.c").alias("a"), F.col("lo.m").alias("an"), F.col("hi.c").alias("b"), F.col("hi.m").alias("bn")).distinct()
         pairs = table_cut(pairs if checked is None else pairs.join(checked, ["a", "an", "b", "bn"], "left_anti"), "shingle-pairs")
@@ -247,7 +257,7 @@ def _marked(lists: DataFrame, roots: DataFrame | None) -> DataFrame:
     if roots is None:
         return lists.withColumn("root", own)
     known = roots.select("node.cls", "node.n", F.col("root").alias("r"))
-    return join_small(lists, known, ["cls", "n"]).select("key", "cls", "n", F.coalesce("r", own).alias("root"))
+    return join_small(lists, known, ["cls", "n"]).select("key", "cls", "n", "pos", F.coalesce("r", own).alias("root"))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, threshold: tuple[int, int] = (80, 100)) -> DataFrame:

@@ -166,7 +166,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     first = table_cut(visit(routed.select("query_id", "x", "block", F.col("to")[0]["tree"].alias("tree"), F.lit(None).cast("double").alias("score"))), "first-visits")
     kth = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).cast("double").alias("score"))
     q2 = F.aggregate("x", F.lit(0).cast("long"), lambda a, v: a + v * v)
-    reach = F.coalesce(F.sqrt(F.greatest(q2 + F.lit(m2) - 2 * F.col("score"), F.lit(0.0))) * (1 + SLACK) + SLACK, F.lit(float("inf")))
+    reach = F.when(F.col("score").isNull(), F.lit(float("inf"))).otherwise(F.sqrt(F.greatest(q2 + F.lit(m2) - 2 * F.col("score"), F.lit(0.0))) * (1 + SLACK) + SLACK)
     rest = routed.join(kth, "query_id", "left").withColumn("reach", reach).select("query_id", "x", "block", "score", "reach", F.explode(F.slice("to", 2, len(trees))).alias("t")).filter("t.bound <= reach")
     second = visit(rest.select("query_id", "x", "block", F.col("t.tree").alias("tree"), "score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))

@@ -50,7 +50,7 @@ def mix_sources(df: DataFrame, source: str, size: Column, quality: Column, ident
     keep = [c for c in df.columns if c.lower() not in made]
     u = (F.shiftrightunsigned(F.xxhash64(*[F.col(f"`{c}`") for c in identity], F.lit(seed)), 12).cast("double") + 0.5) / float(2**52)
     q = F.coalesce(quality.cast("double"), F.lit(1.0))
-    key = F.when(q > 0, -F.log(u) / q).otherwise(F.lit(float("inf")))
+    key = F.when(q > 0, -F.log(u) / q).otherwise(F.lit(1e300) * (1 + u))
     s, k, src, uid = (free_name(df, n) for n in ("size_", "key", "src", "uid"))
     rows = df.select(*[F.col(f"`{c}`") for c in keep], F.greatest(F.coalesce(size, F.lit(0)), F.lit(0)).cast("long").alias(s), key.alias(k), F.col(f"`{source}`").cast("string").alias(src), F.xxhash64(u, *[F.col(f"`{c}`") for c in identity]).alias(uid))
     targets = source_targets(rows.groupBy(F.col(src).alias("source")).agg(F.sum(s).alias("source_size")), weights, most)

@@ -1 +1,17 @@
-"""Part of ledgerwell; see the README for the layout."""
+"""Queries over the driver's tables and SQL for the same results."""
+
+from __future__ import annotations
+
+
+def _modules() -> list:
+    from ledgerwell.plans import portfolio
+
+    return [portfolio]
+
+
+def queries() -> dict:
+    return {k: v for m in _modules() for k, v in m.QUERIES.items()}
+
+
+def oracle_sql() -> dict:
+    return {k: v for m in _modules() for k, v in m.ORACLE_SQL.items()}
