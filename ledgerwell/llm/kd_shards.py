@@ -17,6 +17,8 @@ from ledgerwell.llm.shared import free_name, join_small, table_cut
 
 #: The most of a shard's target bytes that one group of equal texts may weigh and still stay whole.
 WHOLE_GROUP = 1 / 64
+#: Pieces that the rows of a heavier group are dealt to, for each shard (1024 at least); a piece counts by its own weight.
+PIECES_PER_SHARD = 128
 #: A sort key has 63 bits: a dimension's value scaled to its range on top, a hash below to tell equal values apart.
 VALUE_BITS, KEY_BITS, DIGIT_BITS = 31, 62, 10
 #: Buckets per shard in the numbering of slots.
@@ -45,18 +47,19 @@ def kd_shards(df: DataFrame, group: list[str], weight: str, dims: list[Column],
     names = [c for c in df.columns if c.lower() != "shard"]
     h, piece = free_name(df, "h"), free_name(df, "piece")
     rows = df.select(*keep, F.struct(*[F.xxhash64(*[F.col(f"`{c}`") for c in group], F.lit(i)).alias(f"h{i}") for i in (1, 2)]).alias(h))
-    facts = rows.select(F.col(h).alias("g"), F.coalesce(F.col(f"`{weight}`"), F.lit(0)).cast("long").alias("w"), F.array(*[F.coalesce(d.cast("double"), F.lit(float("-inf"))) for d in dims]).alias("d"))
-    groups = table_cut(facts.groupBy("g").agg(F.sum("w").alias("w"), F.min("d").alias("d"), F.count("*").alias("n")), "kd-groups")
-    total = groups.agg(F.sum("w")).first()[0] or 0
+    row_hash = F.xxhash64(*[c for c, x in zip(keep, names, strict=True) if df.schema[x].dataType.typeName() not in ("map", "variant")])
+    sub = F.pmod(row_hash, F.lit(max(1024, PIECES_PER_SHARD * (shards or 0))))
+    facts = rows.select(F.col(h).alias("g"), sub.alias("sub"), F.coalesce(F.col(f"`{weight}`"), F.lit(0)).cast("long").alias("w"), F.array(*[F.coalesce(d.cast("double"), F.lit(float("-inf"))) for d in dims]).alias("d"))
+    parts = table_cut(facts.groupBy("g", "sub").agg(F.sum("w").alias("w"), F.min("d").alias("d")), "kd-groups")
+    total = parts.agg(F.sum("w")).first()[0] or 0
     n = shards or max(1, -(-total // max(1, target or 1)))
     cap = max(1, int(total / n * whole))
-    groups = groups.withColumn("pieces", F.greatest(F.lit(1), F.least(F.ceil(F.col("w") / cap), F.col("n"))).cast("long"))
-    points = groups.select("g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("piece"), (F.col("w") / F.col("pieces")).alias("weight"), "d")
+    heavy = table_cut(parts.groupBy("g").agg(F.sum("w").alias("w"), F.count("*").alias("n")).filter((F.col("w") > cap) & (F.col("n") > 1)).select(F.col("g").alias("s_g")), "kd-heavy")  # at most n / whole groups
+    marked = join_small(parts, heavy, F.col("g") == F.col("s_g")).withColumn("piece", F.when(F.col("s_g").isNotNull(), F.col("sub") + 1).otherwise(F.lit(0)).cast("long"))
+    points = marked.groupBy("g", "piece").agg(F.sum("w").alias("weight"), F.min("d").alias("d"))
     points = points.withColumn("salt", F.shiftrightunsigned(F.xxhash64("g", "piece", F.lit("kd")), 64 - (KEY_BITS - VALUE_BITS)))
     placed = _grow(points, len(dims), int(n)).select(F.col("g").alias("p_g"), F.col("piece").alias("p_piece"), "shard")
-    heavy = groups.filter("pieces > 1").select(F.col("g").alias("s_g"), "pieces")  # at most n / whole groups
-    row_hash = F.xxhash64(*[c for c, x in zip(keep, names, strict=True) if df.schema[x].dataType.typeName() not in ("map", "variant")])
-    rows = join_small(rows, heavy, F.col(h) == F.col("s_g")).withColumn(piece, F.coalesce(F.pmod(row_hash, F.col("pieces")), F.lit(0).cast("long"))).drop("s_g", "pieces")
+    rows = join_small(rows, heavy, F.col(h) == F.col("s_g")).withColumn(piece, F.when(F.col("s_g").isNotNull(), sub + 1).otherwise(F.lit(0)).cast("long")).drop("s_g")
     return join_small(rows, placed, (F.col(h) == F.col("p_g")) & (F.col(piece) == F.col("p_piece")), "inner").select(*keep, "shard")
 
 
