@@ -56,7 +56,7 @@ HOLD = EV + f"""
 , fxd AS (SELECT pr.*, x.rate_date, x.eur_per_unit FROM pr ASOF LEFT JOIN v_fx x ON pr.currency = x.currency AND pr.d >= x.rate_date)
 , hold0 AS (SELECT account_id, d AS as_of_date, ticker, quantity, currency, price_date, rate_date, CASE WHEN d - price_date <= {STALE} THEN close_price END AS close_price,
   CASE WHEN currency = 'EUR' THEN 1 WHEN d - rate_date <= {STALE} THEN eur_per_unit END AS fx FROM fxd)
-, hold AS (SELECT *, CAST(quantity AS DECIMAL(14,2)) * CAST(close_price AS DECIMAL(12,4)) * CAST(fx AS DECIMAL(8,4)) AS v,
+, hold AS (SELECT *, CAST(quantity AS DECIMAL(22,2)) * CAST(close_price AS DECIMAL(12,4)) * CAST(fx AS DECIMAL(8,4)) AS v,
   CASE WHEN price_date IS NULL THEN 'MISSING_PRICE' WHEN close_price IS NULL THEN 'STALE_PRICE' WHEN fx IS NULL AND rate_date IS NULL THEN 'MISSING_FX' WHEN fx IS NULL THEN 'STALE_FX'
     WHEN as_of_date > price_date OR (currency <> 'EUR' AND as_of_date > rate_date) THEN 'FORWARD_FILL' ELSE 'VALUED' END AS status FROM hold0)
 """
