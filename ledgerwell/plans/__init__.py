@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules() -> list:
-    from ledgerwell.plans import portfolio
+    from ledgerwell.plans import household, portfolio
 
-    return [portfolio]
+    return [portfolio, household]
 
 
 def queries() -> dict:

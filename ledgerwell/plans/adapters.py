@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ledgerwell.functions.money import MONEY, QTY
 from ledgerwell.operators.ledger import Ledger
 
-START, END = "1995-01-01", "2001-12-31"
+START, END = "1995-01-01", "2001-11-04"
 STALE = 10
 
 VIEWS = {
@@ -25,19 +25,19 @@ FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_cu
 WHERE l_returnflag = 'A' AND l_linenumber = 2""",
     "v_prices": """
 SELECT p_brand AS ticker, CAST(l_shipdate AS DATE) AS price_date, CAST(MAX(floor(l_extendedprice / l_quantity * 100)) / 100 AS DECIMAL(12,4)) AS close_price
-FROM {lineitem} JOIN {part} ON l_partkey = p_partkey WHERE l_linenumber = 1 AND l_quantity > 0 GROUP BY p_brand, CAST(l_shipdate AS DATE)""",
+FROM {lineitem} JOIN {part} ON l_partkey = p_partkey WHERE l_quantity > 0 GROUP BY p_brand, CAST(l_shipdate AS DATE)""",
     "v_instruments": """
 SELECT DISTINCT p_brand AS ticker, CASE CAST(substr(p_brand, length(p_brand), 1) AS INTEGER) % 3 WHEN 0 THEN 'EUR' WHEN 1 THEN 'USD' ELSE 'GBP' END AS currency,
   CASE CAST(substr(p_brand, length(p_brand), 1) AS INTEGER) % 2 WHEN 0 THEN 'Energy' ELSE 'Health Care' END AS sector
 FROM {part}""",
     "v_fx": """
 SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'USD' ELSE 'GBP' END AS currency, CAST(o_orderdate AS DATE) AS rate_date, CAST(0.7 + (MAX(o_orderkey) % 500) / 1000.0 AS DECIMAL(8,4)) AS eur_per_unit
-FROM {orders} WHERE o_orderstatus = 'P' GROUP BY CASE WHEN o_orderkey % 2 = 0 THEN 'USD' ELSE 'GBP' END, CAST(o_orderdate AS DATE)""",
+FROM {orders} GROUP BY CASE WHEN o_orderkey % 2 = 0 THEN 'USD' ELSE 'GBP' END, CAST(o_orderdate AS DATE)""",
     "v_cash": """
 SELECT CASE user_id % 5 WHEN 0 THEN 'AUTOMOBILE' WHEN 1 THEN 'BUILDING' WHEN 2 THEN 'FURNITURE' WHEN 3 THEN 'HOUSEHOLD' ELSE 'MACHINERY' END AS account_id, event_id AS reference,
   DATE '1995-01-01' + CAST(event_id % 2500 AS INTEGER) AS day, CASE event_type WHEN 'signup' THEN 'DEPOSIT' WHEN 'purchase' THEN 'WITHDRAW' WHEN 'view' THEN 'INTEREST' WHEN 'click' THEN 'DEPOSIT' ELSE 'FEE' END AS transaction_type,
   CASE event_type WHEN 'purchase' THEN 'Card debit' WHEN 'click' THEN 'Spending cashback' ELSE '' END AS action, CASE WHEN event_id % 4 = 0 THEN 'USD' ELSE 'EUR' END AS currency,
-  CAST(value AS DECIMAL(14,2)) * CASE WHEN event_type IN ('purchase', 'error') THEN -1 ELSE 1 END AS amount
+  CAST(value AS DECIMAL(14,2)) * CASE WHEN event_type IN ('purchase', 'error') THEN -1 WHEN event_type = 'signup' THEN 20000 ELSE 1 END AS amount
 FROM {events}""",
     "v_card": """
 SELECT event_id, user_id, ts, CAST(ts AS DATE) AS day, concat('merchant ', CAST(user_id % 20 AS VARCHAR(9))) AS merchant, concat('category ', CAST(event_id % 8 AS VARCHAR(9))) AS category, CAST(value AS DECIMAL(14,2)) AS spent
