@@ -8,6 +8,7 @@ Every pair within the radius is then checked by the exact weighted similarity of
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerwell.llm import wordhash as wh
-from ledgerwell.llm.shared import free_name
+from ledgerwell.llm.shared import free_name, table_cut
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Fingerprints further apart than this aren't compared. At similarity 0.8 of shingles, 95 % or more of the words agree.
@@ -51,31 +52,50 @@ def _pack(sums: np.ndarray) -> np.ndarray:
     return np.packbits(sums > 0, axis=1).view(np.uint64).reshape(-1)
 
 
-def prepare(ids: list, texts: list[str]) -> Items:
-    """Items with at least one word. A shingle's weight is 1 over the number of items that have it."""
-    hashes, counts = wh.words(*wh.text_bytes(pa.array(texts, pa.string())))
+def _shingles_of(texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, list[bytes]]:
+    """(sets of shingles, word hashes, numbers of words, word sequences as bytes) of benchmark texts."""
+    hashes, counts = wh.words(*wh.text_bytes(texts))
     sets = [np.unique(s) for s in wh.shingles(hashes, counts, SHINGLE)]
+    return sets, hashes, counts, [x.tobytes() for x in np.split(hashes, np.cumsum(counts)[:-1])] if len(counts) else []
+
+
+def prepare(ids: list, texts: list[str], shared: tuple[np.ndarray, np.ndarray] | None = None) -> Items:
+    """Items with at least one word. A shingle's weight is 1 over the number of distinct item texts that have it.
+
+    `shared`: sorted shingles that several texts of the whole benchmark have, and how many. If not given, the texts are
+    the whole benchmark. Texts of the same words are one text.
+    """
+    sets, hashes, counts, sequences = _shingles_of(pa.array(texts, pa.string()))
+    if shared is None:
+        one_each = {x: sets[i] for i, x in enumerate(sequences)}
+        shared = np.unique(np.concatenate(list(one_each.values())), return_counts=True) if one_each else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
     ends = np.cumsum(counts)
     solid = [i for i, c in enumerate(counts) if c]
     prints = np.array([_pack(_bits(hashes[ends[i] - counts[i] : ends[i]]).sum(axis=0)[None, :])[0] for i in solid], np.uint64)
     every = np.concatenate([sets[i] for i in solid]) if solid else np.zeros(0, np.uint64)
     size_of = np.repeat([counts[i] for i in solid], [len(sets[i]) for i in solid]) if solid else np.zeros(0, np.int64)
     order = np.argsort(every, kind="stable")
-    keys, first, n = np.unique(every[order], return_index=True, return_counts=True)
+    keys, first = np.unique(every[order], return_index=True)
     key_sizes = [np.unique(x) for x in np.split(size_of[order], first[1:])] if len(keys) else []
+    n = np.ones(len(keys))
+    if len(shared[0]):
+        at = np.minimum(np.searchsorted(shared[0], keys), len(shared[0]) - 1)
+        n = np.where(shared[0][at] == keys, shared[1][at], 1)
     return Items([ids[i] for i in solid], np.array([counts[i] for i in solid], np.int64), prints, [sets[i] for i in solid], keys, key_sizes, 1.0 / n)
 
 
-def _weight(items: Items, s: np.ndarray) -> np.ndarray:
-    at = np.minimum(np.searchsorted(items.keys, s), max(0, len(items.keys) - 1))
-    return np.where(items.keys[at] == s, items.weights[at], 1.0) if len(items.keys) else np.ones(len(s))
-
+def similarity(items: Items, window: np.ndarray, item: np.ndarray) -> float:
+    """Weighted Jaccard similarity of a window's shingles and an item's.
 
-def similarity(items: Items, a: np.ndarray, b: np.ndarray) -> float:
-    """Weighted Jaccard similarity of two shingle sets."""
-    both, either = np.intersect1d(a, b, assume_unique=True), np.union1d(a, b)
-    total = _weight(items, either).sum()
-    return float(_weight(items, both).sum() / total) if total else 0.0
+    A shingle that isn't the item's weighs as much as those in both do on average, so an item whose passage stands in
+    other items too is as near to a changed copy as one that stands alone.
+    """
+    both = np.isin(item, window, assume_unique=True)
+    if not both.any():
+        return 0.0
+    weights = items.weights[np.searchsorted(items.keys, item)]
+    common = weights[both].sum()
+    return float(common / (weights.sum() + (len(window) - both.sum()) * common / both.sum()))
 
 
 def _near(prints: np.ndarray, others: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -148,13 +168,27 @@ def _search(sent):
     return F.arrow_udf(search, LEAKS)
 
 
+def _shared_shingles(texts: DataFrame) -> DataFrame:
+    """(shingle, n): the shingles that several distinct texts have, over the whole table."""
+
+    def cut(column: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        kind = pa.struct([("words", pa.binary()), ("shingles", pa.list_(pa.int64()))])
+        for part in column:
+            sets, _, _, sequences = _shingles_of(part)
+            yield pa.array([{"words": hashlib.blake2b(x, digest_size=16).digest(), "shingles": s.view(np.int64)} for x, s in zip(sequences, sets, strict=True)], kind)
+
+    parts = texts.select(F.arrow_udf(cut, "struct<words:binary,shingles:array<bigint>>")("text").alias("p")).select("p.*").dropDuplicates(["words"])
+    return parts.select(F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 1")
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """docs with `leaks`: an array of (item_id, similarity, start, words), one for each benchmark item found in the text.
 
     Whole texts are searched, case (A-Z) and white space don't count. Null and empty texts have no leaks; items that are
     null or without words are never found, items of fewer than five words only in a text that is just them. Rows of items
     that repeat an id count as one item each. Either table may be empty; an input column called leaks is replaced. The
-    benchmark is taken ITEMS_AT_ONCE items at a time, each such block a broadcast of bounded size.
+    benchmark is taken ITEMS_AT_ONCE items at a time, each such block a broadcast of bounded size; shingles are weighed
+    over the whole benchmark, so the blocks don't change a similarity.
     """
     spark = docs.sparkSession
     keep = [c for c in docs.columns if c.lower() != "leaks"]
@@ -162,9 +196,20 @@ def find_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_id: s
     blocks = max(1, -(-usable.count() // ITEMS_AT_ONCE))
     out = docs.select(*[F.col(f"`{c}`") for c in keep])
     found = []
+    shared = _shared_shingles(usable)
+    if blocks > 1:
+        shared = table_cut(shared, "shared-shingles")
     for block in range(blocks):
         rows = usable.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()
-        sent = spark.sparkContext.broadcast(prepare([r["item_id"] for r in rows], [r["text"] for r in rows]))
+        ids, texts = [r["item_id"] for r in rows], [r["text"] for r in rows]
+        known = shared
+        if blocks > 1:
+            here = np.unique(np.concatenate(_shingles_of(pa.array(texts, pa.string()))[0] or [np.zeros(0, np.uint64)])).view(np.int64)
+            known = shared.join(spark.createDataFrame(pa.table({"shingle": here})), "shingle", "left_semi")
+        counted = known.toArrow()
+        mine, n = counted["shingle"].to_numpy().view(np.uint64), counted["n"].to_numpy()
+        order = np.argsort(mine)
+        sent = spark.sparkContext.broadcast(prepare(ids, texts, (mine[order], n[order])))
 
         name = free_name(out, f"leaks{block}")
         out = out.withColumn(name, _search(sent)(F.col(f"`{text}`")))

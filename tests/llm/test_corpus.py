@@ -179,6 +179,41 @@ def test_leaks_are_found_and_clean_texts_left_alone(spark):
     assert [r.leaks for r in dc.find_leaks(_docs(spark, rows[:1]), items.filter("false")).collect()] == [[]]
 
 
+def _brute_leaks(texts, items):
+    """Best similarity of each (text, item) by all windows; weights over the distinct texts of the items."""
+    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+    of = collections.Counter(x for t in {" ".join(t.lower().split()) for _, t in items} for x in shingles(t.split()))
+    out = {}
+    for d, text in texts:
+        w = text.lower().split()
+        for i, t in items:
+            mine, n = shingles(t.lower().split()), len(t.split())
+            for p in range(max(1, len(w) - n + 1)):
+                window = shingles(w[p : p + n])
+                both = mine & window
+                if both:
+                    common = sum(1 / of[x] for x in both)
+                    s = common / (sum(1 / of[x] for x in mine) + len(window - mine) * common / len(both))
+                    if s >= 0.8 - 1e-9:
+                        out[d, i] = max(s, out.get((d, i), 0))
+    return {k: round(v, 9) for k, v in out.items()}
+
+
+def test_leaks_of_items_that_repeat_a_passage(spark, monkeypatch):
+    rng = random.Random(14)
+    passage, other, tail = _prose(rng, 59, 9000), _prose(rng, 30, 9000), _prose(rng, 30, 9000)
+    items = [(0, " ".join(passage)), (1, " ".join(passage).upper()), (2, "  ".join(passage)), (3, " ".join(other + tail)), (4, " ".join(passage[:40] + tail[:19])), (5, " ".join(tail))]
+    changed = lambda w, at: " ".join([*_prose(rng, 20, 9000), *w[:at], "changed", *w[at + 1 :], *_prose(rng, 20, 9000)])
+    texts = [(1, changed(passage, 30)), (2, changed(other + tail, 45)), (3, changed(tail, 29)), (4, changed(passage[:40] + tail[:19], 20)), (5, changed(passage[:30], 1))]
+    want = _brute_leaks(texts, items)
+    assert {(1, 0), (1, 1), (1, 2), (2, 3), (3, 5), (4, 4)} <= set(want) and want[1, 0] == want[1, 1] and not any(d == 5 for d, _ in want)
+    table = spark.createDataFrame(items, "item_id long, text string")
+    for at_once in (50_000, 3):
+        monkeypatch.setattr(dc, "ITEMS_AT_ONCE", at_once)
+        got = {(r.doc_id, x.item_id): round(x.similarity, 9) for r in dc.find_leaks(_docs(spark, texts), table).collect() for x in r.leaks}
+        assert got == want, at_once
+
+
 def test_hamming_blocks_miss_nothing_within_the_radius():
     rng = np.random.default_rng(1)
     a, b = rng.integers(0, 2**64, 60, np.uint64), rng.integers(0, 2**64, 50, np.uint64)
