@@ -1,9 +1,9 @@
-"""Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact weighted shingles.
+"""Benchmark decontamination: SimHash of item-sized windows, Hamming distances, exact weighted shingles.
 
 A window of a text has as many words as a benchmark item. Only windows that hold a five-word shingle of an item of their
-size are looked at, as any other has similarity 0 to all of them. Windows and items get a 64-bit SimHash of their words.
-Cut into RADIUS + 1 blocks, two fingerprints at most RADIUS apart agree in a block, so equal blocks find all of them.
-Every pair within the radius is then checked by the exact weighted similarity of its shingles.
+size are looked at, as any other has similarity 0 to all of them, and of these only windows without too many shingles of
+no item. Windows and items get a 64-bit SimHash of their words. Every pair within the radius is then checked by the exact
+weighted similarity of its shingles.
 """
 
 from __future__ import annotations
@@ -21,8 +21,11 @@ from ledgerwell.llm import wordhash as wh
 from ledgerwell.llm.shared import free_name, table_cut
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: Fingerprints further apart than this aren't compared. At similarity 0.8 of shingles, 95 % or more of the words agree.
-RADIUS = 15
+#: Fingerprints further apart than this aren't verified. Words changed at an end cost one shingle each, so at similarity 0.8
+#: a tenth of the words may differ (a fifth where the missing shingles weigh little): 9 (13) bits on average, but the bits scatter.
+RADIUS = 28
+#: Pairs of fingerprints that are compared at once.
+PAIRS_AT_ONCE = 1 << 20
 #: Items in one pass over the documents; a larger benchmark takes several passes.
 ITEMS_AT_ONCE = 50_000
 #: Words of a text whose fingerprint sums are held at once.
@@ -99,21 +102,24 @@ def similarity(items: Items, window: np.ndarray, item: np.ndarray) -> float:
 
 
 def _near(prints: np.ndarray, others: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Pairs at most RADIUS bits apart, by equal values in one of RADIUS + 1 blocks of bits."""
-    cuts = np.linspace(0, 64, RADIUS + 2).astype(int)
-    found = []
-    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-        block = lambda x: (x >> np.uint64(lo)) & np.uint64((1 << (hi - lo)) - 1)  # noqa: B023, E731
-        mine, theirs = block(prints), block(others)
-        order = np.argsort(theirs, kind="stable")
-        left, right = np.searchsorted(theirs[order], mine, "left"), np.searchsorted(theirs[order], mine, "right")
-        n = right - left
-        i = np.repeat(np.arange(len(prints)), n)
-        j = order[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(left, n)]
-        near = np.bitwise_count(prints[i] ^ others[j]) <= RADIUS
-        found.append(i[near] * len(others) + j[near])
-    for pair in np.unique(np.concatenate(found)).tolist():
-        yield divmod(pair, len(others))
+    """Pairs at most RADIUS bits apart. Every pair is compared: at this radius blocks of equal bits rule nothing out."""
+    step = max(1, PAIRS_AT_ONCE // max(1, len(others)))
+    for at in range(0, len(prints), step):
+        near = np.bitwise_count(prints[at : at + step, None] ^ others[None, :]) <= RADIUS
+        for i, j in np.argwhere(near).tolist():
+            yield at + i, j
+
+
+def _possible(starts: np.ndarray, n: int, foreign: np.ndarray, again: np.ndarray) -> np.ndarray:
+    """Those of the starts whose window of n words can be similar enough to an item.
+
+    Similarity s takes at most (1 / s - 1) foreign shingles for each matched one. Runs of no item are foreign; only those
+    that don't stand earlier in the window (`again`: how far back a run stands) are counted, and every other run as matched.
+    """
+    ends = np.minimum(starts + max(1, n - SHINGLE + 1), len(foreign))
+    sums = np.concatenate(([0], np.cumsum(foreign & (again >= n))))
+    known = np.concatenate(([0], np.cumsum(~foreign)))
+    return starts[sums[ends] - sums[starts] <= (1 / SIMILARITY - 1) * (known[ends] - known[starts]) + 1e-9]
 
 
 def leaks_of(word_hashes: np.ndarray, run: np.ndarray, items: Items) -> list[dict]:
@@ -125,6 +131,11 @@ def leaks_of(word_hashes: np.ndarray, run: np.ndarray, items: Items) -> list[dic
     hits = np.flatnonzero(items.keys[at] == run)
     if not len(hits):
         return []
+    foreign = items.keys[at] != run
+    order = np.argsort(run, kind="stable")
+    again = np.full(len(run), m + 1, np.int64)
+    same = run[order[1:]] == run[order[:-1]]
+    again[order[1:][same]] = (order[1:] - order[:-1])[same]
     windows: dict[int, set[int]] = {}
     for p in hits.tolist():
         for n in items.key_sizes[at[p]].tolist():
@@ -133,7 +144,7 @@ def leaks_of(word_hashes: np.ndarray, run: np.ndarray, items: Items) -> list[dic
     best: dict[int, tuple] = {}
     for n, starts in windows.items():
         mine = np.flatnonzero(items.sizes == n)
-        first = np.array(sorted(starts), np.int64)
+        first = _possible(np.array(sorted(starts), np.int64), n, foreign, again)
         while len(first):
             upto = int(np.searchsorted(first, first[0] + STRETCH, "right"))
             part, first = first[:upto], first[upto:]

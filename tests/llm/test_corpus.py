@@ -214,6 +214,34 @@ def test_leaks_of_items_that_repeat_a_passage(spark, monkeypatch):
         assert got == want, at_once
 
 
+def _leaks_in(text, items):
+    hashes, counts = wh.words(*wh.text_bytes(pa.array([text])))
+    return {x["item_id"] for x in dc.leaks_of(hashes, next(wh.shingles(hashes, counts, dc.SHINGLE)), items)}
+
+
+def test_passages_cut_at_an_end_are_found_like_brute_force():
+    rng = random.Random(23)
+    items, texts = [], []
+    for n in (15, 23, 40, 50, 59):
+        for _ in range(250):
+            w = _prose(rng, n, 50_000)
+            cut = rng.choice([k for k in range(1, n) if (n - 4 - k) >= 0.8 * (n - 4 + k)][-1:])
+            items.append((len(items), " ".join(w)))
+            texts.append((len(texts), " ".join([*_prose(rng, 9, 50_000), *w[: n - cut], *_prose(rng, cut + 9, 50_000)])))
+    ready = dc.prepare(*map(list, zip(*items)))
+    got = {(d, i) for d, t in texts for i in _leaks_in(t, ready)}
+    want = {(d, i) for d, t in texts for d, i in _brute_leaks([(d, t)], [items[d]])}
+    assert len(want) == len(texts) and got == want
+
+
+def test_windows_left_out_early_are_never_similar():
+    rng = random.Random(24)
+    items = [(i, " ".join(_prose(rng, n, 4))) for i, n in enumerate([5, 8, 12, 15, 20, 30] * 3)]
+    texts = [(d, " ".join([*_prose(rng, 3, 4), *items[d][1].split()[:-1], *_prose(rng, 4, 4), *["w1"] * 8])) for d in range(len(items))]
+    ready = dc.prepare(*map(list, zip(*items)))
+    assert {(d, i) for d, t in texts for i in _leaks_in(t, ready)} == set(_brute_leaks(texts, items))
+
+
 def test_hamming_blocks_miss_nothing_within_the_radius():
     rng = np.random.default_rng(1)
     a, b = rng.integers(0, 2**64, 60, np.uint64), rng.integers(0, 2**64, 50, np.uint64)
