@@ -38,6 +38,8 @@ ASIDE_WORDS = (
     "sidebar", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget",
 )
 ASIDE_ROLES = ("navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "dialog", "alert")
+#: Never without main text themselves, nor is an element around them.
+NEVER_ASIDE = ("html", "body", *MAIN)
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
 #: Elements that don't end a block.
 INLINE = (
@@ -53,17 +55,58 @@ _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)", re.I) for t in RAW}
 _CLOSES = {"li": ("li",), "p": ("p",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
 
-def _is_aside(tag: str, attributes: str) -> bool:
+def _is_aside(tag: str, attributes: str) -> str:
+    """What tells that an element holds no main text: "tag", "role", "word" or nothing."""
+    if tag in NEVER_ASIDE:
+        return ""
     if tag in ASIDE:
-        return True
+        return "tag"
+    found = ""
     for m in _NAMED.finditer(attributes) if "=" in attributes else ():
         value = (m[2] or m[3] or m[4] or "").lower()
         if m[1].lower() == "role":
             if value in ASIDE_ROLES:
-                return True
+                return "role"
         elif any(w in ASIDE_WORDS for w in _WORD.findall(value)):
-            return True
-    return False
+            found = "word"
+    return found
+
+
+def _above(node: list) -> Iterator[list]:
+    """The flagged and main elements around an element."""
+    while node[4] is not None:
+        node = node[4]
+        yield node
+
+
+def _clear_wrappers(nodes: list[list], sizes: list[int]) -> None:
+    """Take the flag from elements around the main text; where nothing would be left, from all that only words flag."""
+    flagged = [node for node in nodes if node[1] and node[2]]
+    if not flagged:
+        return
+    total = sum(sizes)
+    chars = lambda node: sum(sizes[i] for i in node[2])
+    span = lambda node: (node[2][0], node[2][-1])
+    mains = [(node, *span(node), chars(node)) for node in nodes if node[0] in NEVER_ASIDE and node[2]]
+    longest = max((c for node, _, _, c in mains if node[0] == "article"), default=0)
+    # articles that are much shorter than the page's longest are comments, teasers and the like
+    mains = [x for x in mains if x[0][0] != "article" or 2 * x[3] >= longest]
+    around_main = {id(up) for m in mains for up in _above(m[0])}
+    for node in flagged:
+        lo, hi = span(node)
+        if id(node) in around_main:
+            node[1] = ""
+        elif 2 * chars(node) > total and (node[0] not in ASIDE or node[0] == "form"):
+            # most of the page, unless the main text stands in its own element elsewhere
+            apart = any((b < lo or a > hi) and m[0] in MAIN and not any(up[1] for up in _above(m)) for m, a, b, _ in mains)
+            within = any(up[0] in MAIN for up in _above(node))
+            if within or not apart:
+                node[1] = ""
+    hidden = set().union(*(node[2] for node in flagged if node[1]))
+    if len(hidden) == len(sizes):
+        for node in flagged:
+            if node[1] == "word":
+                node[1] = ""
 
 
 def parse_blocks(page: str) -> list[tuple[str, bool, list[int]]]:
@@ -72,8 +115,8 @@ def parse_blocks(page: str) -> list[tuple[str, bool, list[int]]]:
     The text has character references decoded and white space collapsed. A subtree's hash covers its tag and the text of
     its blocks. Broken markup never fails: what isn't closed ends with the page.
     """
-    root = ["", False, [], None]  # tag, aside, numbers of blocks below, the outermost main element around it
-    stack, blocks, spans, buffer = [root], [], [], []
+    root = ["", "", [], None, None]  # tag, aside, numbers of blocks below, the outermost main element around it, the next flagged or main one
+    stack, nodes, blocks, spans, buffer = [root], [], [], [], []
 
     def flush() -> None:
         text = " ".join(html.unescape("".join(buffer)).split())
@@ -81,7 +124,7 @@ def parse_blocks(page: str) -> list[tuple[str, bool, list[int]]]:
         if text:
             for node in stack:
                 node[2].append(len(blocks))
-            blocks.append((text, any(node[1] for node in stack)))
+            blocks.append((text, [node for node in stack if node[1]]))
 
     def close() -> None:
         node = stack.pop()
@@ -124,21 +167,25 @@ def parse_blocks(page: str) -> list[tuple[str, bool, list[int]]]:
                 break
             if stack[k][0] in ("ul", "ol", "dl", "table", "div", "article", "section", "select", "body"):
                 break
-        node = [tag, _is_aside(tag, m[3]), [], stack[-1][3]]
+        above = stack[-1]
+        node = [tag, _is_aside(tag, m[3]), [], above[3], above if above[1] or above[0] in MAIN else above[4]]
+        if node[1] or tag in NEVER_ASIDE:
+            nodes.append(node)
         if node[3] is None and tag in MAIN:
             node[3] = node
         stack.append(node)
     flush()
     while len(stack) > 1:
         close()
+    _clear_wrappers(nodes, [len(text) for text, _ in blocks])
     around: list[list[int]] = [[] for _ in blocks]
-    for tag, _, inside, main in spans:
+    for tag, _, inside, main, _ in spans:
         text = "\n".join(blocks[i][0] for i in inside)
         if len(text) >= TEMPLATE_CHARS and (main is None or 2 * len(text) < sum(len(blocks[i][0]) for i in main[2])):
             h = xxhash.xxh64_intdigest(f"{tag}\n{text}") - (1 << 63)
             for i in inside:
                 around[i].append(h)
-    return [(text, aside, hashes) for (text, aside), hashes in zip(blocks, around, strict=True)]
+    return [(text, any(node[1] for node in asides), hashes) for (text, asides), hashes in zip(blocks, around, strict=True)]
 
 
 def main_text(pages: DataFrame, url: str = "url", html_column: str = "html") -> DataFrame:
@@ -146,7 +193,8 @@ def main_text(pages: DataFrame, url: str = "url", html_column: str = "html") ->
 
     Every page is parsed whole; null html is empty; pages without a host form one host. Repeated rows stay and count once
     each; an empty table gives an empty result; input columns called text or n_chars are replaced. Text inside an element
-    that holds no main text goes even if it is on one page only.
+    that holds no main text goes even if it is on one page only. Elements around the main text or most of the page are
+    never such, whatever their class, and if all text of a page would go, class and id words don't count.
     """
     made = ("text", "n_chars", html_column.lower())
     keep = [c for c in pages.columns if c.lower() not in made]

@@ -62,6 +62,25 @@ def test_main_text_drops_templates_of_a_host(spark):
     assert main_text(spark.createDataFrame([], "page_id int, url string, html string")).count() == 0
 
 
+def _left(page):
+    return " ".join(text for text, aside, _ in parse_blocks(page) if not aside)
+
+
+def test_wrappers_of_the_page_are_no_asides():
+    nav, body = "<nav>Home About</nav><div class='sidebar'>Ads</div>", "<p>Long text of the page</p><p>and more of it</p>"
+    want = "Long text of the page and more of it"
+    for opening, closing in [
+        ("<body class='has-sidebar'>", "</body>"), ("<html class='no-cookie'><body>", "</body></html>"), ("<body><div id='page' class='site header-fixed'><article>", "</article></div></body>"),
+        ("<body><article class='post comment-open'>", "</article></body>"), ("<body><main role='form' class='widget'>", "</main></body>"), ("<form id='aspnetForm'><main>", "</main></form>"),
+        ("<form id='aspnetForm'><div>", "</div></form>"), ("<body><div class='page menu-open'>", "</div></body>"), ("<main><div class='post comment-open'>", "</div></main>"),
+    ]:
+        assert _left(opening + nav + body + closing) == want, opening
+    assert _left(f"<div class='sidebar'>{'x ' * 99}</div><article><p>Short</p></article>") == "Short"
+    assert _left(f"<nav>{'x ' * 99}</nav><p>Short</p>") == "Short"
+    assert _left("<article><p>The text of the post</p></article><div class='comments'><article>I see</article></div>") == "The text of the post"
+    assert _left("<nav>Home</nav><div class='builder-widget'>One part</div><div class='builder-widget'>Two part</div>") == "One part Two part"
+
+
 def _luhn(s):
     return sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(s))) % 10 == 0
 
