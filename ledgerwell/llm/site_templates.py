@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 from ledgerwell.llm.shared import free_name, join_small, table_cut
 from ledgerwell.llm.url_rules import url_host
 
-#: A subtree belongs to the template if it is on so many pages of its host and on this share of them.
-TEMPLATE_PAGES, TEMPLATE_SHARE = 10, 0.3
+#: A subtree belongs to the template if it is on so many different pages of its host; of a small host half of the pages are
+#: enough (but no less than LEAST_PAGES), of a large one it must be this share of them.
+TEMPLATE_PAGES, LEAST_PAGES, SMALL_SHARE, LARGE_SHARE = 10, 3, 0.5, 0.01
 #: Subtrees with fewer characters than this are too common to tell a template.
 TEMPLATE_CHARS = 12
 
@@ -191,8 +192,8 @@ def parse_blocks(page: str) -> list[tuple[str, bool, list[int]]]:
 def main_text(pages: DataFrame, url: str = "url", html_column: str = "html") -> DataFrame:
     """pages with `text` (main text, empty if none) and `n_chars` in place of the html column.
 
-    Every page is parsed whole; null html is empty; pages without a host form one host. Repeated rows stay and count once
-    each; an empty table gives an empty result; input columns called text or n_chars are replaced. Text inside an element
+    Every page is parsed whole; null html is empty; pages without a host form one host. Repeated rows stay; pages of a
+    host with the same text count once for its template; an empty table gives an empty result; input columns called text or n_chars are replaced. Text inside an element
     that holds no main text goes even if it is on one page only. Elements around the main text or most of the page are
     never such, whatever their class, and if all text of a page would go, class and id words don't count.
     """
@@ -208,9 +209,14 @@ def main_text(pages: DataFrame, url: str = "url", html_column: str = "html") ->
     blocks = F.arrow_udf(parse, "array<struct<text:string,around:array<bigint>>>")(F.col(f"`{html_column}`"))
     parsed = pages.select(*[F.col(f"`{c}`") for c in keep], F.monotonically_increasing_id().alias(uid), url_host(F.col(f"`{url}`")).alias("host_"), blocks.alias("blocks_"))
     parsed = table_cut(parsed, "parsed-pages")
-    subtrees = parsed.select("host_", F.explode(F.array_distinct(F.flatten(F.col("blocks_.around")))).alias("subtree")).groupBy("host_", "subtree").count().filter(F.col("count") >= TEMPLATE_PAGES)
-    sizes = parsed.groupBy(F.col("host_").alias("h_host")).agg(F.count("*").alias("n_pages"))
-    template = subtrees.join(sizes, F.col("host_") == F.col("h_host")).filter(F.col("count") >= TEMPLATE_SHARE * F.col("n_pages")).select("host_", "subtree")
+    # pages of the same text, such as repeated rows, count as one
+    different = parsed.groupBy("host_", F.xxhash64("blocks_.text").alias("page_")).agg(F.min(uid).alias(uid))
+    needed = F.greatest(F.lit(LEAST_PAGES), F.least(F.lit(TEMPLATE_PAGES), F.ceil(SMALL_SHARE * F.col("n_pages"))), F.ceil(LARGE_SHARE * F.col("n_pages")))
+    different = table_cut(different.select(uid, "host_"), "different-pages")
+    counted = parsed.select(uid, "host_", F.array_distinct(F.flatten(F.col("blocks_.around"))).alias("subtrees")).join(different.select(uid), uid, "left_semi")
+    subtrees = counted.select("host_", F.explode("subtrees").alias("subtree")).groupBy("host_", "subtree").count().filter(F.col("count") >= LEAST_PAGES)
+    sizes = different.groupBy(F.col("host_").alias("h_host")).agg(F.count("*").alias("n_pages"))
+    template = subtrees.join(sizes, F.col("host_") == F.col("h_host")).filter(F.col("count") >= needed).select("host_", "subtree")
     template = table_cut(template, "templates")
     # pages that have a block in a template subtree: few rows travel, those with the subtrees they have
     on_page = parsed.select(uid, "host_", F.explode(F.array_distinct(F.flatten(F.col("blocks_.around")))).alias("subtree")).join(template, ["host_", "subtree"]).groupBy(uid).agg(F.collect_set("subtree").alias("gone_"))

@@ -81,6 +81,23 @@ def test_wrappers_of_the_page_are_no_asides():
     assert _left("<nav>Home</nav><div class='builder-widget'>One part</div><div class='builder-widget'>Two part</div>") == "One part Two part"
 
 
+def test_templates_of_small_and_large_hosts_and_copies_of_a_page(spark):
+    page = "<body><div>{1}</div><p>The text of page {0} stands here</p></body>"
+    menu, section = "Home Products About us", "Section news and sport"
+    rows = [(i, "http://small.com/", page.format(i, menu)) for i in range(9)]
+    rows += [(100 + i, "http://large.com/", page.format(i, section if i < 29 else f"Only here {i}, not elsewhere")) for i in range(100)]
+    rows += [(300 + i, None, page.format("alone", "Its own introduction")) for i in range(12)]
+    rows += [(400 + i, "http://copies.com/x", page.format("one", "Its own introduction")) for i in range(12)] + [(500 + i, "http://copies.com/y", page.format(i, f"Begin {i} of another")) for i in range(12)]
+    rows += [(600 + i, "http://two.com/", page.format(i, menu)) for i in range(2)]
+    got = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
+    assert len(got) == len(rows)
+    assert got[3] == "The text of page 3 stands here" and got[105] == "The text of page 5 stands here"
+    assert got[150] == "Only here 50, not elsewhere The text of page 50 stands here"
+    assert got[300] == got[311] == "Its own introduction The text of page alone stands here"
+    assert got[400] == got[411] == "Its own introduction The text of page one stands here"
+    assert got[600] == f"{menu} The text of page 0 stands here"
+
+
 def _luhn(s):
     return sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(s))) % 10 == 0
 
