@@ -38,6 +38,7 @@ _CLASSES[33:48] = _CLASSES[58:65] = _CLASSES[91:97] = _CLASSES[123:128] = 2
 class Model:
     weights: np.ndarray
     thresholds: np.ndarray
+    rows: int
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
@@ -67,7 +68,7 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, steps: int =
     cuts0 = np.arange(1, n_grades) / n_grades
     b = np.log(cuts0 / (1 - cuts0))
     if not len(rows):
-        return Model(np.zeros(size, np.float32), b)
+        return Model(np.zeros(size, np.float32), b, 0)
     share = np.clip([(grades <= k).mean() for k in range(n_grades - 1)], 1e-3, 1 - 1e-3)
     b = np.log(share / (1 - share))
     every, row = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
@@ -103,7 +104,7 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, steps: int =
         theta -= 0.03 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     weights = np.zeros(size, np.float32)
     weights[used] = theta[: len(used)]
-    return Model(weights, theta[len(used)] + np.concatenate(([0], np.cumsum(np.exp(theta[len(used) + 1 :])))))
+    return Model(weights, theta[len(used)] + np.concatenate(([0], np.cumsum(np.exp(theta[len(used) + 1 :])))), len(rows))
 
 
 def train(docs: DataFrame, grades: DataFrame, doc_id: str = "doc_id", text: str = "text", grade: str = "grade", n_grades: int = 3, bound: int = FIT_ROWS) -> Model:
@@ -153,8 +154,9 @@ def select_good(docs: DataFrame, labels: DataFrame, at_least: float = 0.5) -> Da
     """docs with expected_grade, tail_probability and `kept`.
 
     The grade is quality + (1 - toxic), 0 to 2: 2 is good and clean text. A document is kept if its probability of
-    grade 2 is `at_least`. A document with a label is judged by the model like every other.
+    grade 2 is `at_least`. A document with a label is judged by the model like every other. Without any labelled document
+    nothing is known of the grades, and all documents are kept.
     """
     graded = labels.select("doc_id", (F.col("quality") + 1 - F.col("toxic")).alias("grade"))
     model = train(docs, graded)
-    return score(docs, model).withColumn("kept", F.col("tail_probability") >= at_least)
+    return score(docs, model).withColumn("kept", F.col("tail_probability") >= at_least if model.rows else F.lit(True))

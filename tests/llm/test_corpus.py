@@ -293,6 +293,15 @@ def test_classifier_ranks_held_out_documents(spark):
     assert abs(ordinal.score(d, empty).first().expected_grade - 1) < 0.4 and ordinal.score(d.filter("false"), model).count() == 0
 
 
+def test_all_documents_are_kept_without_labels(spark):
+    docs = _docs(spark, [(1, "a clean text of some words"), (2, None), (3, "")])
+    kind = "doc_id long, quality int, toxic int"
+    for rows in ([], [(9, 1, 0)], [(1, None, 0), (None, 1, 0)], [(2, 1, 0)]):
+        assert [r.kept for r in ordinal.select_good(docs, spark.createDataFrame(rows, kind)).collect()] == [True] * 3, rows
+    marked = ordinal.select_good(docs, spark.createDataFrame([(1, 0, 1)], kind)).collect()
+    assert not any(r.kept for r in marked)
+
+
 def test_top_k_matches_brute_force(spark):
     rng = np.random.default_rng(7)
     x = rng.normal(size=(700, 8))
