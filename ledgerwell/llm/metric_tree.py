@@ -85,15 +85,13 @@ def search_subtree(pages: pd.DataFrame, queries: pd.DataFrame, m2: float, k: int
                 if bound > reach:
                     break
                 ids, entries, entry_d = leaves[page]
-                some = np.flatnonzero(np.abs(d_centre - entry_d) <= reach)
+                some = np.flatnonzero((np.abs(d_centre - entry_d) <= reach) & (ids != q_id))
                 scores = np.rint(entries[some] @ x).astype(np.int64)
                 floor_score = best[0][0] if len(best) == k else None
                 if floor_score is not None:
                     some, scores = some[scores >= floor_score], scores[scores >= floor_score]
                 order = np.lexsort((ids[some], -scores))
-                for i in order[: k + 1]:
-                    if ids[some[i]] == q_id:
-                        continue
+                for i in order[:k]:
                     pair = (int(scores[i]), -int(ids[some[i]]))
                     if len(best) < k:
                         heapq.heappush(best, pair)
@@ -109,19 +107,21 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query the k vectors with the highest integer inner product.
 
     Both have (vec_id, x) with x from quantise. Vectors with null x or null id take no part, nor do those of another
-    length than the longest. A vector isn't a candidate for the query of its own id. Ties go to the smaller vec_id; rows
+    length than the most frequent (the longest of equals). A vector isn't a candidate for the query of its own id. Ties go to the smaller vec_id; rows
     that repeat an id with another vector count one each. With fewer than k candidates all are returned, and an empty
     table gives an empty result.
     """
     spark = vectors.sparkSession
     clean = lambda df: df.select(F.col("vec_id").cast("long").alias("vec_id"), "x").filter("vec_id is not null and x is not null")
     vectors, queries = table_cut(clean(vectors), "vectors"), clean(queries)
-    facts = vectors.agg(F.max(F.size("x")), F.count("*")).first()
-    dim = facts[0] or 0
+    usual = vectors.groupBy(F.size("x").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).first()
+    if usual is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    dim = usual["dim"]
     vectors, queries = vectors.filter(F.size("x") == dim), queries.filter(F.size("x") == dim)
     norm = F.aggregate("x", F.lit(0).cast("long"), lambda a, v: a + v * v)
     m2 = float(vectors.agg(F.max(norm)).first()[0] or 0)
-    pivots = _matrix([r["x"] for r in vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOTS).collect()]) if facts[1] else np.zeros((1, dim))
+    pivots = _matrix([r["x"] for r in vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOTS).collect()])
     pivots = _lift(pivots, m2) if pivots.size else np.zeros((1, dim + 1))
 
     @F.pandas_udf("int")
@@ -152,8 +152,6 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
         near = np.maximum(_dist(np.hstack([q, np.zeros((len(q), 1))]), centres) - reaches[None, :], 0)
         return pd.Series([sorted(({"tree": t, "bound": float(b)} for t, b in zip(trees, row, strict=True)), key=lambda d: (d["bound"], d["tree"])) for row in near])
 
-    if not trees:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     routed = table_cut(queries.withColumn("to", bounds("x")), "routed")
     copies = pages.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
 

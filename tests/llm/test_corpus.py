@@ -319,6 +319,21 @@ def test_top_k_matches_brute_force(spark):
     assert mt.top_k(few, few.filter("vec_id = 0"), 5).count() == 2 and mt.top_k(df.filter("false"), df, 5).count() == 0
 
 
+def test_top_k_with_repeated_rows_and_a_longer_vector(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(60, 4))
+    ids = [*range(60), *[0] * 8]
+    x = np.vstack([x, np.repeat(x[:1] * 3, 8, axis=0)])
+    rows = [(i, [float(v) for v in r]) for i, r in zip(ids, x)] + [(100, [9.0] * 7)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").select("vec_id", mt.quantise(F.col("embedding")).alias("x"))
+    one = df.filter("vec_id = 0").limit(1)
+    q = np.floor(256 * x).astype(int)
+    mine = np.array(one.first().x)
+    want = sorted((-int(mine @ q[j]), j) for j in range(1, 60))[:5]
+    got = sorted((r.rank, r.vec_id, r.score) for r in mt.top_k(df, one, 5).collect())
+    assert got == [(k + 1, j, -s) for k, (s, j) in enumerate(want)]
+
+
 def test_pipeline_stages_do_their_work(spark):
     import corpus_pipeline as cp
 
