@@ -6,11 +6,13 @@ first shingles (subsets of size k = 2) and meet in equal pairs; large sets post
 lists, which are scanned. The boundary between small and large is the set size that makes the cost least. The order puts
 rare shingles first, by a sketch of shingle counts over all texts; it sets the speed only.
 
-A list is not expanded into pairs. Each class first checks one candidate, the leader it shares most lists with (a list's
+A list is not expanded into all its pairs. Each class first checks one candidate, the leader it shares most lists with (a list's
 leader is the class that has the list's shingle earliest, with the fewest shingles of its own before it); what this links
-is one group. Only then the members of a list that are outside its leader's group are compared with the
-list's other groups. So groups of near copies cost about one check a member, while every link between two groups is
-found. Bitmaps of the sets rule out most candidates before their sets are fetched for the exact test.
+is one group. Only then the members of a list that are outside its leader's group are compared with the list's other
+groups, block against block of similar sizes: a passage in many texts that aren't similar still costs a comparison for
+each two of them that their sizes and places allow. So groups of near copies cost about one check a member, while every
+link between two groups is found. Bitmaps of the sets rule out most candidates before their sets are fetched for the
+exact test.
 """
 
 from __future__ import annotations
@@ -36,6 +38,8 @@ MOST_SMALL, SCAN_COST = 64, 3.0
 BITMAP = 16
 #: Rounds in which each class checks one leader before groups are compared.
 LEADER_ROUNDS = 3
+#: Rows in a block of a long list, and the ratio of sizes that one range of a list spans.
+LIST_BLOCK, SIZE_RANGE = 2000, 1.1
 
 
 def _prefix(n: int, num: int, den: int, k: int) -> int:
@@ -195,10 +199,30 @@ def _similar(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, n
 
 
 def _lists(postings: DataFrame) -> DataFrame:
-    """Postings of keys that more than one class has. They are dealt by key once."""
-    of_key = Window.partitionBy("key")
-    ends = {"lo": F.min("cls"), "hi": F.max("cls"), "n0": F.min("n"), "n1": F.max("n")}
-    return postings.withColumns({k: v.over(of_key) for k, v in ends.items()}).filter("lo <> hi or n0 <> n1").drop(*ends).distinct()
+    """Postings of keys that more than one class has. Keys are summed up first, so no task holds a whole list."""
+    postings = table_cut(postings, "shingle-postings")
+    several = postings.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.min("n").alias("n0"), F.max("n").alias("n1")).filter("lo <> hi or n0 <> n1").select("key")
+    return postings.join(several, "key", "left_semi").distinct()
+
+
+def _in_blocks(outside: DataFrame, others: DataFrame, num: int, den: int) -> DataFrame:
+    """Rows of outside (key, a, an, a_pos, ..) with those of others (key, b, bn, ..) of the same list, where sizes and a's place allow it.
+
+    Lists are cut by size ranges, and long ones into blocks of LIST_BLOCK rows that are joined block against block, so no
+    task has a whole long list.
+    """
+    band = lambda n: F.floor(F.log(n.cast("double")) / F.lit(float(np.log(SIZE_RANGE)))).cast("int")
+    least = F.greatest(F.ceil(num * F.col("an") / den), F.lit(1))
+    most = F.least(F.floor(den * F.col("an") / num), F.floor((num + den) * (F.col("an") - F.col("a_pos")) / num) - F.col("an"))
+    # a band more on either side, so that rounding loses nothing
+    outside = outside.filter(most >= least).withColumn("band", F.explode(F.sequence(band(least) - 1, band(most) + 1)))
+    others = others.withColumn("band", band(F.col("bn")))
+    blocks = lambda df, name: df.groupBy("key", "band").agg(F.ceil(F.count("*") / LIST_BLOCK).alias(name))
+    cuts = table_cut(blocks(outside, "a_blocks").join(blocks(others, "b_blocks"), ["key", "band"]), "list-blocks")
+    numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = outside.join(cuts, ["key", "band"]).withColumn("a_block", F.pmod(F.xxhash64("a", "an"), F.col("a_blocks"))).withColumn("b_block", numbers("b_blocks")).drop("a_blocks", "b_blocks")
+    right = others.join(cuts, ["key", "band"]).withColumn("b_block", F.pmod(F.xxhash64("b", "bn"), F.col("b_blocks"))).withColumn("a_block", numbers("a_blocks")).drop("a_blocks", "b_blocks")
+    return left.join(right, ["key", "band", "a_block", "b_block"])
 
 
 def similar_classes(docs: DataFrame, size: int = 5, threshold: tuple[int, int] = (80, 100)) -> tuple[DataFrame, DataFrame]:
@@ -236,7 +260,7 @@ def similar_classes(docs: DataFrame, size: int = 5, threshold: tuple[int, int] =
             outside = open_rows.select("key", F.col("cls").alias("a"), F.col("n").alias("an"), F.col("pos").alias("a_pos"), F.col("root").alias("a_root"), F.col("head.root").alias("h_root"))
             others = marked.select("key", F.col("cls").alias("b"), F.col("n").alias("bn"), F.col("pos").alias("b_pos"), F.col("root").alias("b_root"))
             once = (F.col("b_root") == F.col("h_root")) | (F.struct("a", "an") < F.struct("b", "bn"))
-            pairs = outside.join(others, "key").filter((F.col("a_root") != F.col("b_root")) & once & fits("an", "bn", "a_pos", "b_pos")).select("a", "an", "b", "bn").distinct()
+            pairs = _in_blocks(outside, others, num, den).filter((F.col("a_root") != F.col("b_root")) & once & fits("an", "bn", "a_pos", "b_pos")).select("a", "an", "b", "bn").distinct()
         lo, hi = F.least(F.struct(F.col("a").alias("c"), F.col("an").alias("m")), F.struct(F.col("b").alias("c"), F.col("bn").alias("m"))), F.greatest(F.struct(F.col("a").alias("c"), F.col("an").alias("m")), F.struct(F.col("b").alias("c"), F.col("bn").alias("m")))
         pairs = pairs.select(lo.alias("lo"), hi.alias("hi")).select(F.col("lo.c").alias("a"), F.col("lo.m").alias("an"), F.col("hi.c").alias("b"), F.col("hi.m").alias("bn")).distinct()
         pairs = table_cut(pairs if checked is None else pairs.join(checked, ["a", "an", "b", "bn"], "left_anti"), "shingle-pairs")

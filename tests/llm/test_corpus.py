@@ -154,6 +154,21 @@ def test_jaccard_prefixes_hold_what_similar_sets_share():
                 assert n - jj._prefix(n, 80, 100, 1) < need and m - jj._prefix(m, 80, 100, 1) < need
 
 
+def test_jaccard_of_a_passage_in_many_texts(spark, monkeypatch):
+    rng = random.Random(31)
+    passage = _prose(rng, 60, 9000)
+    rows = [(i, " ".join([*passage, *_prose(rng, 10 + i % 23, 9000)])) for i in range(70)] + [(100 + i, " ".join([*passage[i % 5 :], "end"])) for i in range(10)]
+    monkeypatch.setattr(jj, "LIST_BLOCK", 7)
+    got = collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in jj.near_duplicates(_docs(spark, rows)).collect())
+    assert got == _components(rows)
+    outside = spark.createDataFrame([(1, i, 100, 0) for i in range(40)], "key long, a long, an int, a_pos int")
+    others = spark.createDataFrame([(1, i, n) for i, n in enumerate([79, 80, 81, 100, 124, 125, 126, 300] * 5)], "key long, b long, bn int")
+    met = jj._in_blocks(outside, others, 80, 100)
+    pairs = [(r.a, r.b) for r in met.filter("bn between 80 and 125").collect()]
+    assert len(pairs) == len(set(pairs)) == 40 * 25 and not met.filter("bn = 300").count()
+    assert met.groupBy("band", "a_block", "b_block").count().agg(F.max("count")).first()[0] < 40 * 10
+
+
 def test_near_duplicates_of_an_empty_table_and_one_stays(spark):
     assert jj.near_duplicates(_docs(spark, [])).count() == 0
     docs = _docs(spark, [(3, "a b c d e f"), (1, "A B c d e f"), (2, None), (2, None), (4, "")]).withColumn("row_key", F.lit("mine"))
