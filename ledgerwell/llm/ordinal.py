@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerwell.llm import wordhash as wh
-from ledgerwell.llm.shared import free_name
+from ledgerwell.llm.shared import free_name, table_cut
 
 FEATURE_BITS = 18
 #: Bytes of a word that form its stems, which inflected forms share.
@@ -27,6 +27,8 @@ FIT_ROWS = 12_000
 STEPS, PENALTY = 400, 1e-3
 #: To get a weight, a feature must be in so many sampled documents, and their mean grade so many standard errors off.
 LEAST_ROWS, LEAST_SCORE = 3, 6.0
+#: Features with a weight at most: the ones furthest off. With FIT_ROWS it bounds what the driver holds, however long the texts.
+MOST_FEATURES = 4096
 
 #: Byte classes: 0 separates, 1 letters and digits (and all of UTF-8 beyond ASCII), 2 marks.
 _CLASSES = np.ones(256, np.uint8)
@@ -63,7 +65,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
 
 
 def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, steps: int = STEPS, penalty: float = PENALTY) -> Model:
-    """Fit by Adam on the mean negative log likelihood. Without rows every grade is as likely as another."""
+    """Fit by Adam on the mean negative log likelihood; each feature of `rows` gets a weight. Without rows every grade is as likely as another."""
     size = 1 << FEATURE_BITS
     cuts0 = np.arange(1, n_grades) / n_grades
     b = np.log(cuts0 / (1 - cuts0))
@@ -72,11 +74,7 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, steps: int =
     share = np.clip([(grades <= k).mean() for k in range(n_grades - 1)], 1e-3, 1 - 1e-3)
     b = np.log(share / (1 - share))
     every, row = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    n_docs = np.bincount(every, minlength=size)
-    off = np.bincount(every, (grades - grades.mean())[row], size) / np.sqrt(np.maximum(n_docs, 1)) / max(grades.std(), 1e-9)
-    told = (n_docs >= LEAST_ROWS) & (np.abs(off) >= LEAST_SCORE)
-    row, every = row[told[every]], every[told[every]]
-    used, flat = np.flatnonzero(told), (np.cumsum(told) - 1)[every]
+    used, flat = np.unique(every, return_inverse=True)
     theta = np.zeros(len(used) + n_grades - 1)
     theta[len(used)] = b[0]
     theta[len(used) + 1 :] = np.log(np.maximum(np.diff(b), 1e-2))
@@ -110,8 +108,8 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, steps: int =
 def train(docs: DataFrame, grades: DataFrame, doc_id: str = "doc_id", text: str = "text", grade: str = "grade", n_grades: int = 3, bound: int = FIT_ROWS) -> Model:
     """Fit on at most `bound` labelled documents. Rows without id, text or a grade within 0 .. n_grades - 1 are left out.
 
-    The sample is made in Spark (smallest id hashes, so a rerun takes the same rows) and features are made by tasks; only
-    the sample's feature numbers come to the driver.
+    The sample is made in Spark (smallest id hashes, so a rerun takes the same rows; of rows that repeat an id, one by the
+    hash of its features) and stored. Features are counted in Spark too; only those that get a weight come to the driver.
     """
     g = grades.select(F.col(f"`{doc_id}`").alias("g_id"), F.col(f"`{grade}`").cast("int").alias("grade")).filter(F.col("grade").between(0, n_grades - 1) & F.col("g_id").isNotNull())
     picked = g.groupBy("g_id").agg(F.min("grade").alias("grade")).orderBy(F.xxhash64("g_id"), "g_id").limit(bound)
@@ -119,11 +117,32 @@ def train(docs: DataFrame, grades: DataFrame, doc_id: str = "doc_id", text: str
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [x.astype(np.int32).tobytes() for x in features(*wh.text_bytes(batch.column(0)))]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), batch.column(1), batch.column(2)], names=["f", "grade", "id"])
+            found = pa.array(list(features(*wh.text_bytes(batch.column(0)))), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([found, batch.column(1), batch.column(2)], names=["f", "grade", "id"])
 
-    rows = sample.select("text", "grade", "id").mapInArrow(extract, "f binary, grade int, id long").orderBy("id", "f").limit(bound).collect()
-    return fit([np.frombuffer(r["f"], np.int32) for r in rows], np.array([r["grade"] for r in rows], np.int64), n_grades)
+    rows = sample.select("text", "grade", "id").mapInArrow(extract, "f array<int>, grade int, id long")
+    rows = table_cut(rows.groupBy("id").agg(F.min(F.struct(F.xxhash64("f").alias("h"), "f", "grade")).alias("r")).select("id", "r.f", "r.grade"), "fit-rows")
+    told = told_features(rows)
+
+    def reduce_to(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, every = np.asarray(batch.column(0).offsets), batch.column(0).values.to_numpy()
+            kept = [x[np.isin(x, told)] for x in (every[a:b] for a, b in zip(at[:-1], at[1:], strict=True))]
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in kept], pa.binary()), batch.column(1), batch.column(2)], names=["f", "grade", "id"])
+
+    found = rows.select("f", "grade", "id").mapInArrow(reduce_to, "f binary, grade int, id long").toArrow().sort_by("id")
+    return fit([np.frombuffer(x, np.int32) for x in found["f"].to_pylist()], found["grade"].to_numpy().astype(np.int64), n_grades)
+
+
+def told_features(rows: DataFrame) -> np.ndarray:
+    """The features of (f, grade) that tell the grade: by their rows' number and mean grade, both summed up in Spark."""
+    mean, spread = rows.agg(F.avg("grade"), F.coalesce(F.stddev_pop("grade"), F.lit(0.0))).first()
+    if mean is None:
+        return np.zeros(0, np.int32)
+    sums = rows.select(F.explode("f").alias("feature"), (F.col("grade") - mean).alias("off")).groupBy("feature").agg(F.count("*").alias("n"), F.sum("off").alias("off"))
+    off = F.abs(F.col("off")) / F.sqrt("n") / max(spread, 1e-9)
+    best = sums.filter((F.col("n") >= LEAST_ROWS) & (off >= LEAST_SCORE)).orderBy(off.desc(), "feature").limit(MOST_FEATURES)
+    return np.sort(np.array([r["feature"] for r in best.select("feature").collect()], np.int32))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", tail: int | None = None) -> DataFrame:
