@@ -1,8 +1,9 @@
 """URL filters: a sort-merge range join of urls with host and path prefix rules, in DataFrame operations only.
 
 A rule (host, path) fits its host and all subdomains if the url's path starts with the rule's path. Written with the
-host's labels reversed (`com/example/` + `/en/7`), a rule is a prefix and so an interval of sorted keys; a url has one
-such key for each suffix of its host. Intervals of prefixes are disjoint or nested, so a sweep over sorted keys needs a
+host's labels reversed (`com#example#` + `/en/7`), a rule is a prefix and so an interval of sorted keys; a url has one
+such key for each suffix of its host. Neither hosts nor paths hold a `#`, so keys can be read in one way only, whatever
+labels are empty. Keys are sorted by their bytes. Intervals of prefixes are disjoint or nested, so a sweep over sorted keys needs a
 stack of active rules only: a rule's start pushes it, its end pops it and uncovers the rule around it. Each start and
 end becomes an event that carries the top of that stack, urls are sorted among the events, and the last event before a
 url (a running window) holds the innermost rule around it.
@@ -37,25 +38,29 @@ def url_path(url):
 
 
 def _reversed_host(host):
-    """`a.b.com` -> `com/b/a/`: no host holds a slash, so one key is a prefix of another only at a label's end."""
-    return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), "/"), F.lit("/"))
+    """`a.b.com` -> `com#b#a#`: one key is a prefix of another only at a label's end."""
+    return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), "#"), F.lit("#"))
+
+
+def _bytes(key):
+    return F.encode(key, "UTF-8")
 
 
 def _prefix_end(key):
-    """A string above all that start with key and below every other that is above key: U+10FFFF sorts last in UTF-8."""
-    return F.concat(key, F.lit("\U0010ffff"))
+    """Bytes above all that start with key and below every other key that is above it: no UTF-8 text holds 0xFF."""
+    return F.concat(_bytes(key), F.lit(b"\xff"))
 
 
 def rule_events(rules: DataFrame) -> DataFrame:
     """(pos, top): the innermost active rule from `pos` on, as struct(key, size, host_size, rule, verdict) or null.
 
-    Repeated rules count once; if they disagree, block wins. Rules without host or verdict, or with a path that doesn't
-    start with a slash, fit nothing and are left out. The rule around another one is found by joining the
+    `pos` is in bytes. Repeated rules count once; if they disagree, block wins. Rules without host or verdict, with a `#`, or
+    with a path that doesn't start with a slash, fit nothing and are left out. The rule around another one is found by joining the
     prefixes of its key with the rules' keys, so no task sees all rules at once.
     """
     host = F.translate(F.coalesce("host", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     path = F.coalesce("path", F.lit(""))
-    usable = F.col("verdict").isNotNull() & (F.length(host) > 0) & ((path == "") | F.startswith(path, F.lit("/")))
+    usable = F.col("verdict").isNotNull() & (F.length(host) > 0) & ((path == "") | F.startswith(path, F.lit("/"))) & ~F.contains(F.concat(host, path), F.lit("#"))
     rules = (
         rules.filter(usable)
         .select(F.concat(_reversed_host(host), path).alias("key"), F.length(_reversed_host(host)).alias("host_size"), F.concat(host, path).alias("rule"), "verdict")
@@ -67,7 +72,7 @@ def rule_events(rules: DataFrame) -> DataFrame:
     around = shorter.join(rules, "key").groupBy("inner").agg(F.max_by("own", F.length("key")).alias("around"))
     both = rules.join(around, rules["key"] == around["inner"], "left")
     events = both.select(F.explode(F.array(
-        F.struct(F.col("key").alias("pos"), F.lit(1).alias("rank"), F.length("key").alias("depth"), F.col("own").alias("top")),
+        F.struct(_bytes(F.col("key")).alias("pos"), F.lit(1).alias("rank"), F.length("key").alias("depth"), F.col("own").alias("top")),
         F.struct(_prefix_end(F.col("key")).alias("pos"), F.lit(0).alias("rank"), (-F.length("key")).alias("depth"), F.col("around").alias("top")),
     )).alias("e")).select("e.*")
     return events.select("pos", "rank", "depth", "top")
@@ -86,7 +91,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     row = pages.select([F.col(f"`{c}`") for c in pages.columns if c.lower() not in made or c == url])
     keep = row.columns
     events = rule_events(rules).withColumn("bucket", F.lit(0))
-    keys_of = F.expr("transform(sequence(1, size(labels)), n -> struct(n as level, concat(array_join(slice(labels, 1, n), '/'), '/', path) as key))")
+    keys_of = F.expr("transform(sequence(1, size(labels)), n -> struct(n as level, encode(concat(array_join(slice(labels, 1, n), '#'), '#', path), 'UTF-8') as key))")
     uid, link = free_name(row, "uid"), F.col(f"`{url}`")
     urls = (
         row.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.monotonically_increasing_id().alias(uid), url_host(link).alias("host"), url_path(link).alias("path"))
@@ -107,17 +112,17 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     order = Window.partitionBy("bucket", "salt").orderBy("pos", "rank", "depth").rowsBetween(Window.unboundedPreceding, 0)
     innermost = F.last(F.when(F.col("event"), F.struct("top")), ignorenulls=True).over(order)["top"]
     hit = swept.withColumn("hit", innermost).filter(~F.col("event"))
-    best = F.max(F.when(F.startswith("pos", F.col("hit.key")), F.struct("hit.size", "hit.host_size", "hit.rule", "hit.verdict")))
+    best = F.max(F.when(F.startswith("pos", _bytes(F.col("hit.key"))), F.struct("hit.size", "hit.host_size", "hit.rule", "hit.verdict")))
     judged = hit.groupBy(uid).agg(F.first("carried", ignorenulls=True).alias("carried"), best.alias("best"))
     return judged.select(*[F.col("carried.row")[c].alias(c) for c in keep], "carried.host", "carried.path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
 
 
-def _bucket_of(pos, splitters: list[str]):
+def _bucket_of(pos, splitters: list[bytes]):
     """Number of splitters at or below pos; bucket 0 has no event before it."""
     return reduce(lambda a, s: a + (pos >= F.lit(s)).cast("int"), splitters, F.lit(0)) if len(splitters) < 16 else F.size(F.filter(F.array(*[F.lit(s) for s in splitters]), lambda s: s <= pos))
 
 
-def _layout(spark: SparkSession, events: DataFrame, urls: DataFrame) -> tuple[list[str], list[int]]:
+def _layout(spark: SparkSession, events: DataFrame, urls: DataFrame) -> tuple[list[bytes], list[int]]:
     """Where the sweep is cut, at most MAX_BUCKETS event positions, and in how many salted groups each bucket is swept.
 
     Every cut is an event's position, so that a bucket starts with the event that tells its stack's top. A bucket with
@@ -125,10 +130,10 @@ def _layout(spark: SparkSession, events: DataFrame, urls: DataFrame) -> tuple[li
     """
     n = events.count()
     buckets = min(MAX_BUCKETS, n // EVENTS_PER_BUCKET + 1)
-    splitters: list[str] = []
+    splitters: list[bytes] = []
     if buckets > 1:
         tiles = events.select("pos").repartitionByRange(buckets, "pos").groupBy(F.spark_partition_id().alias("p")).agg(F.min("pos").alias("pos"))
-        splitters = sorted({r["pos"] for r in tiles.collect()})[1:]
+        splitters = sorted({bytes(r["pos"]) for r in tiles.collect()})[1:]
     counts = dict(urls.groupBy(_bucket_of(F.col("pos"), splitters).alias("b")).count().collect())
     least = partitions(spark) if len(splitters) == 0 else 1
     return splitters, [max(least, counts.get(b, 0) // KEYS_PER_GROUP + 1) for b in range(len(splitters) + 1)]
