@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerwell.llm.shared import free_name, join_small, table_cut
+from ledgerwell.llm.shared import join_small, table_cut
 
 #: The most of a shard's target bytes that one group of equal texts may weigh and still stay whole.
 WHOLE_GROUP = 1 / 64
@@ -43,24 +43,27 @@ def kd_shards(df: DataFrame, group: list[str], weight: str, dims: list[Column],
     columns that equal texts share. Rows of a group stay together, nulls being equal, except in groups heavier than
     `whole` times a leaf. An empty table gives an empty result; repeated rows are kept.
     """
-    keep = [F.col(f"`{c}`") for c in df.columns if c.lower() != "shard"]
     names = [c for c in df.columns if c.lower() != "shard"]
-    h, piece = free_name(df, "h"), free_name(df, "piece")
-    rows = df.select(*keep, F.struct(*[F.xxhash64(*[F.col(f"`{c}`") for c in group], F.lit(i)).alias(f"h{i}") for i in (1, 2)]).alias(h))
+    keep = [F.col(f"`{c}`") for c in names]
     row_hash = F.xxhash64(*[c for c, x in zip(keep, names, strict=True) if df.schema[x].dataType.typeName() not in ("map", "variant")])
     sub = F.pmod(row_hash, F.lit(max(1024, PIECES_PER_SHARD * (shards or 0))))
-    facts = rows.select(F.col(h).alias("g"), sub.alias("sub"), F.coalesce(F.col(f"`{weight}`"), F.lit(0)).cast("long").alias("w"), F.array(*[F.coalesce(d.cast("double"), F.lit(float("-inf"))) for d in dims]).alias("d"))
-    parts = table_cut(facts.groupBy("g", "sub").agg(F.sum("w").alias("w"), F.min("d").alias("d")), "kd-groups")
+    # the caller's columns travel as one struct, so none of their names can clash with those made here
+    made = (
+        F.struct(*keep).alias("row"), F.struct(*[F.xxhash64(*[F.col(f"`{c}`") for c in group], F.lit(i)).alias(f"h{i}") for i in (1, 2)]).alias("g"), sub.alias("sub"),
+        F.coalesce(F.col(f"`{weight}`"), F.lit(0)).cast("long").alias("w"), F.array(*[F.coalesce(d.cast("double"), F.lit(float("-inf"))) for d in dims]).alias("d"),
+    )
+    rows = df.select(*made)
+    parts = table_cut(rows.groupBy("g", "sub").agg(F.sum("w").alias("w"), F.min("d").alias("d")), "kd-groups")
     total = parts.agg(F.sum("w")).first()[0] or 0
     n = shards or max(1, -(-total // max(1, target or 1)))
     cap = max(1, int(total / n * whole))
-    heavy = table_cut(parts.groupBy("g").agg(F.sum("w").alias("w"), F.count("*").alias("n")).filter((F.col("w") > cap) & (F.col("n") > 1)).select(F.col("g").alias("s_g")), "kd-heavy")  # at most n / whole groups
-    marked = join_small(parts, heavy, F.col("g") == F.col("s_g")).withColumn("piece", F.when(F.col("s_g").isNotNull(), F.col("sub") + 1).otherwise(F.lit(0)).cast("long"))
-    points = marked.groupBy("g", "piece").agg(F.sum("w").alias("weight"), F.min("d").alias("d"))
+    heavy = table_cut(parts.groupBy("g").agg(F.sum("w").alias("w"), F.count("*").alias("n")).filter((F.col("w") > cap) & (F.col("n") > 1)).select("g", F.lit(True).alias("heavy")), "kd-heavy")  # at most n / whole groups
+    piece = F.when(F.col("heavy"), F.col("sub") + 1).otherwise(F.lit(0)).cast("long").alias("piece")
+    points = join_small(parts, heavy, "g").select("g", piece, "w", "d").groupBy("g", "piece").agg(F.sum("w").alias("weight"), F.min("d").alias("d"))
     points = points.withColumn("salt", F.shiftrightunsigned(F.xxhash64("g", "piece", F.lit("kd")), 64 - (KEY_BITS - VALUE_BITS)))
-    placed = _grow(points, len(dims), int(n)).select(F.col("g").alias("p_g"), F.col("piece").alias("p_piece"), "shard")
-    rows = join_small(rows, heavy, F.col(h) == F.col("s_g")).withColumn(piece, F.when(F.col("s_g").isNotNull(), sub + 1).otherwise(F.lit(0)).cast("long")).drop("s_g")
-    return join_small(rows, placed, (F.col(h) == F.col("p_g")) & (F.col(piece) == F.col("p_piece")), "inner").select(*keep, "shard")
+    placed = _grow(points, len(dims), int(n)).select("g", "piece", "shard")
+    rows = join_small(rows.select("row", "g", "sub"), heavy, "g").select("row", "g", piece)
+    return join_small(rows, placed, ["g", "piece"], "inner").select(*[F.col("row")[c].alias(c) for c in names], "shard")
 
 
 def _grow(points: DataFrame, n_dims: int, shards: int) -> DataFrame:
@@ -127,12 +130,12 @@ def _medians(level: DataFrame, dim: dict[int, int], left: dict[int, float]) -> d
 
 
 def number_rows(df: DataFrame, shard: str, order: list[str], name: str = "slot") -> DataFrame:
-    """df with 0, 1, ... in each shard. Rows are numbered in hash buckets of a shard, after the buckets before them."""
-    bucket, local = free_name(df, "bucket"), free_name(df, "local")
-    df = df.withColumn(bucket, F.pmod(F.xxhash64(*order), F.lit(SLOT_BUCKETS)))
-    counts = df.groupBy(F.col(shard).alias("c_shard"), F.col(bucket).alias("c_bucket")).count()
-    before = F.sum("count").over(Window.partitionBy("c_shard").orderBy("c_bucket").rowsBetween(Window.unboundedPreceding, -1))
-    bases = counts.select("c_shard", "c_bucket", F.coalesce(before, F.lit(0)).alias("base"))
-    df = df.withColumn(local, F.row_number().over(Window.partitionBy(shard, bucket).orderBy(*order)))
-    df = join_small(df, bases, (F.col(shard) == F.col("c_shard")) & (F.col(bucket) == F.col("c_bucket")), "inner")
-    return df.withColumn(name, (F.col("base") + F.col(local) - 1).cast("long")).drop(bucket, local, "c_shard", "c_bucket", "base")
+    """df with column `name` (replacing one of that name): 0, 1, ... in each shard. Rows are numbered in hash buckets of a shard, after the buckets before them."""
+    names = [c for c in df.columns if c.lower() != name.lower()]
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(f"`{shard}`").alias("shard"), F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in order]), F.lit(SLOT_BUCKETS)).alias("bucket"))
+    counts = rows.groupBy("shard", "bucket").count()
+    before = F.sum("count").over(Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
+    bases = counts.select("shard", "bucket", F.coalesce(before, F.lit(0)).alias("base"))
+    local = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy(*[F.col("row")[c] for c in order]))
+    rows = join_small(rows.withColumn("local", local), bases, ["shard", "bucket"], "inner")
+    return rows.select(*[F.col("row")[c].alias(c) for c in names], (F.col("base") + F.col("local") - 1).cast("long").alias(name))
