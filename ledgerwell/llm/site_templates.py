@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
@@ -28,6 +30,8 @@ TEMPLATE_CHARS = 12
 
 #: Elements whose content is no text of the page, and elements and class or id words that hold no main text.
 RAW = ("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object")
+#: Of these, elements that a tag may close at once.
+FOREIGN = ("svg", "math")
 ASIDE = ("head", "nav", "header", "footer", "aside", "form", "button", "select", "menu", "dialog")
 #: Elements around the main text. Inside them only containers with less than half of it can belong to a template, never
 #: paragraphs and the like: a passage that many articles share is still text.
@@ -48,8 +52,11 @@ INLINE = (
     "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img",
 )
 
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|\Z)", re.S)
-_NAMED = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+#: A tag's attributes: a quote opens a string only right after an equals sign. All possessive, so markup of any kind takes linear time.
+_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+))*+)(?:>|\Z)", re.S)
+_NAMED = re.compile(r"(?:^|[\s/])(class|id|role|style|hidden)(?![^\s=/])(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+_BASE, _PRIME = 0x9E3779B97F4A7C1, (1 << 61) - 1
 _WORD = re.compile(r"[a-z0-9]+")
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)", re.I) for t in RAW}
 #: An opening tag that ends an open element of these kinds (their end tags may be left out).
@@ -57,79 +64,106 @@ _CLOSES = {"li": ("li",), "p": ("p",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "
 
 
 def _is_aside(tag: str, attributes: str) -> str:
-    """What tells that an element holds no main text: "tag", "role", "word" or nothing."""
+    """What tells that an element holds no main text: "tag", "role", "hidden", "word" or nothing."""
     if tag in NEVER_ASIDE:
         return ""
     if tag in ASIDE:
         return "tag"
     found = ""
-    for m in _NAMED.finditer(attributes) if "=" in attributes else ():
-        value = (m[2] or m[3] or m[4] or "").lower()
-        if m[1].lower() == "role":
-            if value in ASIDE_ROLES:
-                return "role"
-        elif any(w in ASIDE_WORDS for w in _WORD.findall(value)):
+    for m in _NAMED.finditer(attributes):
+        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+        if name == "hidden" or (name == "style" and _UNSEEN.search(value)):
+            return "hidden"
+        if name == "role" and value in ASIDE_ROLES:
+            return "role"
+        if name in ("class", "id") and any(w in ASIDE_WORDS for w in _WORD.findall(value)):
             found = "word"
     return found
 
 
-def _above(node: list) -> Iterator[list]:
-    """The flagged and main elements around an element."""
-    while node[4] is not None:
-        node = node[4]
-        yield node
+class _Node:
+    """An element: its blocks are those from `first` up to `last`, `above` is the next flagged or main element around it."""
 
+    __slots__ = ("above", "aside", "first", "last", "main", "tag")
 
-def _clear_wrappers(nodes: list[list], sizes: list[int]) -> None:
+    def __init__(self, tag: str, aside: str, first: int, main: _Node | None, above: _Node | None) -> None:
+        self.tag, self.aside, self.first, self.last, self.main, self.above = tag, aside, first, first, main, above
+
+
+def _covered(nodes: list[_Node], n: int) -> list[bool]:
+    """Which of n blocks are in one of the nodes."""
+    steps = [0] * (n + 1)
+    for node in nodes:
+        steps[node.first] += 1
+        steps[node.last] -= 1
+    return [depth > 0 for depth in accumulate(steps[:n])]
+
+
+def _clear_wrappers(nodes: list[_Node], sums: list[int]) -> None:
     """Take the flag from elements around the main text; where nothing would be left, from all that only words flag."""
-    flagged = [node for node in nodes if node[1] and node[2]]
+    flagged = [node for node in nodes if node.aside and node.last > node.first]
     if not flagged:
         return
-    total = sum(sizes)
-    chars = lambda node: sum(sizes[i] for i in node[2])
-    span = lambda node: (node[2][0], node[2][-1])
-    mains = [(node, *span(node), chars(node)) for node in nodes if node[0] in NEVER_ASIDE and node[2]]
-    longest = max((c for node, _, _, c in mains if node[0] == "article"), default=0)
+    total, chars = sums[-1], lambda node: sums[node.last] - sums[node.first]
+    mains = [node for node in nodes if node.tag in NEVER_ASIDE and node.last > node.first]
+    longest = max((chars(node) for node in mains if node.tag == "article"), default=0)
     # articles that are much shorter than the page's longest are comments, teasers and the like
-    mains = [x for x in mains if x[0][0] != "article" or 2 * x[3] >= longest]
-    around_main = {id(up) for m in mains for up in _above(m[0])}
+    mains = [node for node in mains if node.tag != "article" or 2 * chars(node) >= longest]
+    around_main: set[int] = set()
+    for node in mains:
+        up = node.above
+        while up is not None and id(up) not in around_main:
+            around_main.add(id(up))
+            up = up.above
     for node in flagged:
-        lo, hi = span(node)
         if id(node) in around_main:
-            node[1] = ""
-        elif 2 * chars(node) > total and (node[0] not in ASIDE or node[0] == "form"):
+            node.aside = ""
+    # main elements in no flagged one; nodes come in page order, the outer before the inner
+    in_aside: set[int] = set()
+    in_main: set[int] = set()
+    for node in nodes:
+        up = node.above
+        if up is not None and (up.aside or id(up) in in_aside):
+            in_aside.add(id(node))
+        if up is not None and (up.tag in MAIN or id(up) in in_main):
+            in_main.add(id(node))
+    free = [node for node in mains if node.tag in MAIN and id(node) not in in_aside]
+    ends, starts = min((m.last for m in free), default=None), max((m.first for m in free), default=None)
+    for node in flagged:
+        if 2 * chars(node) > total and (node.tag not in ASIDE or node.tag == "form") and node.aside not in ("", "hidden"):
             # most of the page, unless the main text stands in its own element elsewhere
-            apart = any((b < lo or a > hi) and m[0] in MAIN and not any(up[1] for up in _above(m)) for m, a, b, _ in mains)
-            within = any(up[0] in MAIN for up in _above(node))
-            if within or not apart:
-                node[1] = ""
-    hidden = set().union(*(node[2] for node in flagged if node[1]))
-    if len(hidden) == len(sizes):
+            apart = bool(free) and (ends <= node.first or starts >= node.last)
+            if id(node) in in_main or not apart:
+                node.aside = ""
+    if all(_covered([node for node in flagged if node.aside], len(sums) - 1)):
         for node in flagged:
-            if node[1] == "word":
-                node[1] = ""
+            if node.aside == "word":
+                node.aside = ""
 
 
-def parse_blocks(page: str) -> list[tuple[str, bool, list[int]]]:
-    """Blocks of a page in order: (text, whether it is in an element that holds no main text, hashes of subtrees around it).
+def parse_blocks(page: str, least_chars: int = TEMPLATE_CHARS) -> tuple[list[str], list[tuple[int, int, int]]]:
+    """(blocks, subtrees) of a page: its blocks of text in order, without those in elements that hold no main text, and for
+    each element that may belong to a template (hash, first block, block after its last).
 
     The text has character references decoded and white space collapsed. A subtree's hash covers its tag and the text of
-    its blocks. Broken markup never fails: what isn't closed ends with the page.
+    its blocks. Broken markup never fails: what isn't closed ends with the page. Time and memory are linear in the page:
+    elements are ranges of blocks, and their hashes come from running sums.
     """
-    root = ["", "", [], None, None]  # tag, aside, numbers of blocks below, the outermost main element around it, the next flagged or main one
+    root = _Node("", "", 0, None, None)
     stack, nodes, blocks, spans, buffer = [root], [], [], [], []
+    open_tags: Counter[str] = Counter()
 
     def flush() -> None:
         text = " ".join(html.unescape("".join(buffer)).split())
         buffer.clear()
         if text:
-            for node in stack:
-                node[2].append(len(blocks))
-            blocks.append((text, [node for node in stack if node[1]]))
+            blocks.append(text)
 
     def close() -> None:
         node = stack.pop()
-        if node[2] and node[0] not in ("body", "html", *MAIN) and not (node[3] and node[0] in TEXT):
+        open_tags[node.tag] -= 1
+        node.last = len(blocks)
+        if node.last > node.first and node.tag not in ("body", "html", *MAIN) and not (node.main and node.tag in TEXT):
             spans.append(node)
 
     at, n = 0, len(page)
@@ -146,14 +180,16 @@ def parse_blocks(page: str) -> list[tuple[str, bool, list[int]]]:
         if tag not in INLINE:
             flush()
         if m[1]:
-            if any(node[0] == tag for node in stack[1:]):
-                while stack[-1][0] != tag:
+            if open_tags[tag] > 0:
+                while stack[-1].tag != tag:
                     close()
                 close()
             continue
         if tag in VOID:
             continue
         if tag in _RAW_END:
+            if tag in FOREIGN and m[3].endswith("/"):
+                continue
             end = _RAW_END[tag].search(page, at)
             at = end.start() if end else n
             skip = _MARKUP.match(page, at) if end else None
@@ -161,65 +197,93 @@ def parse_blocks(page: str) -> list[tuple[str, bool, list[int]]]:
             continue
         if tag in INLINE:
             continue
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] in _CLOSES.get(tag, ()):
+        for k in range(len(stack) - 1 if any(open_tags[c] > 0 for c in _CLOSES.get(tag, ())) else 0, 0, -1):
+            if stack[k].tag in _CLOSES[tag]:
                 while len(stack) > k:
                     close()
                 break
-            if stack[k][0] in ("ul", "ol", "dl", "table", "div", "article", "section", "select", "body"):
+            if stack[k].tag in ("ul", "ol", "dl", "table", "div", "article", "section", "select", "body"):
                 break
         above = stack[-1]
-        node = [tag, _is_aside(tag, m[3]), [], above[3], above if above[1] or above[0] in MAIN else above[4]]
-        if node[1] or tag in NEVER_ASIDE:
+        node = _Node(tag, _is_aside(tag, m[3]), len(blocks), above.main, above if above.aside or above.tag in MAIN else above.above)
+        if node.aside or tag in NEVER_ASIDE:
             nodes.append(node)
-        if node[3] is None and tag in MAIN:
-            node[3] = node
+        if node.main is None and tag in MAIN:
+            node.main = node
         stack.append(node)
+        open_tags[tag] += 1
     flush()
     while len(stack) > 1:
         close()
-    _clear_wrappers(nodes, [len(text) for text, _ in blocks])
-    around: list[list[int]] = [[] for _ in blocks]
-    for tag, _, inside, main, _ in spans:
-        text = "\n".join(blocks[i][0] for i in inside)
-        if len(text) >= TEMPLATE_CHARS and (main is None or 2 * len(text) < sum(len(blocks[i][0]) for i in main[2])):
-            h = xxhash.xxh64_intdigest(f"{tag}\n{text}") - (1 << 63)
-            for i in inside:
-                around[i].append(h)
-    return [(text, any(node[1] for node in asides), hashes) for (text, asides), hashes in zip(blocks, around, strict=True)]
-
-
-def main_text(pages: DataFrame, url: str = "url", html_column: str = "html") -> DataFrame:
+    sums = [0, *accumulate(len(text) for text in blocks)]
+    _clear_wrappers(nodes, sums)
+    gone = _covered([node for node in nodes if node.aside], len(blocks))
+    # a polynomial of the blocks' hashes: that of a range is a difference of running ones
+    power, running = [1], [0]
+    for text in blocks:
+        power.append(power[-1] * _BASE % _PRIME)
+        running.append((running[-1] * _BASE + xxhash.xxh64_intdigest(text) % _PRIME) % _PRIME)
+    places = [0, *accumulate(int(not g) for g in gone)]
+    subtrees = []
+    for node in spans:
+        chars = sums[node.last] - sums[node.first]
+        if chars >= least_chars and places[node.last] > places[node.first] and (node.main is None or 2 * chars < sums[node.main.last] - sums[node.main.first]):
+            inside = (running[node.last] - running[node.first] * power[node.last - node.first]) % _PRIME
+            h = xxhash.xxh64_intdigest(f"{node.tag} {node.last - node.first} {inside}") - (1 << 63)
+            subtrees.append((h, places[node.first], places[node.last]))
+    return [text for text, g in zip(blocks, gone, strict=True) if not g], subtrees
+
+
+def main_text(pages: DataFrame, url: str = "url", html_column: str = "html", template_pages: int = TEMPLATE_PAGES, least_pages: int = LEAST_PAGES, least_chars: int = TEMPLATE_CHARS) -> DataFrame:
     """pages with `text` (main text, empty if none) and `n_chars` in place of the html column.
 
     Every page is parsed whole; null html is empty; pages without a host form one host. Repeated rows stay; pages of a
-    host with the same text count once for its template; an empty table gives an empty result; input columns called text or n_chars are replaced. Text inside an element
-    that holds no main text goes even if it is on one page only. Elements around the main text or most of the page are
-    never such, whatever their class, and if all text of a page would go, class and id words don't count.
+    host with the same text count once for its template; an empty table gives an empty result; input columns called text
+    or n_chars are replaced, others may have any name. Text inside an element that holds no main text, or is hidden, goes
+    even if it is on one page only. Elements around the main text or most of the page are never such, whatever their class,
+    and if all text of a page would go, class and id words don't count. A subtree of `least_chars` characters or more is
+    template if it is on `template_pages` different pages of its host; see TEMPLATE_PAGES for small and large hosts.
     """
     made = ("text", "n_chars", html_column.lower())
     keep = [c for c in pages.columns if c.lower() not in made]
-    uid = free_name(pages, "uid")
+    subtree_type = pa.struct([("h", pa.int64()), ("first", pa.int32()), ("last", pa.int32())])
 
     def parse(column: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        kind = pa.list_(pa.struct([("text", pa.string()), ("around", pa.list_(pa.int64()))]))
+        kind = pa.struct([("blocks", pa.list_(pa.string())), ("subtrees", pa.list_(subtree_type))])
         for texts in column:
-            yield pa.array([[{"text": t, "around": h} for t, aside, h in parse_blocks(x.as_py() or "") if not aside] for x in texts], kind)
+            found = (parse_blocks(x.as_py() or "", least_chars) for x in texts)
+            yield pa.array([{"blocks": b, "subtrees": [{"h": h, "first": i, "last": j} for h, i, j in t]} for b, t in found], kind)
+
+    def strip(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for pages_, gone in columns:
+            out = []
+            for page, g in zip(pages_.to_pylist(), gone.to_pylist(), strict=True):
+                if page is None:
+                    out.append("")
+                    continue
+                bad, steps = set(g), [0] * (len(page["blocks"]) + 1)
+                for t in page["subtrees"]:
+                    if t["h"] in bad:
+                        steps[t["first"]] += 1
+                        steps[t["last"]] -= 1
+                out.append(" ".join(b for b, depth in zip(page["blocks"], accumulate(steps), strict=False) if not depth))
+            yield pa.array(out, pa.string())
 
-    blocks = F.arrow_udf(parse, "array<struct<text:string,around:array<bigint>>>")(F.col(f"`{html_column}`"))
-    parsed = pages.select(*[F.col(f"`{c}`") for c in keep], F.monotonically_increasing_id().alias(uid), url_host(F.col(f"`{url}`")).alias("host_"), blocks.alias("blocks_"))
+    parsed_type = "struct<blocks:array<string>,subtrees:array<struct<h:bigint,first:int,last:int>>>"
+    # the caller's columns travel as one struct, so none of their names can clash with those made here
+    parsed = pages.select(F.struct(*[F.col(f"`{c}`") for c in keep], F.lit(None).cast("string").alias(free_name(pages, "none"))).alias("row"), F.monotonically_increasing_id().alias("uid"), url_host(F.col(f"`{url}`")).alias("host"), F.arrow_udf(parse, parsed_type)(F.col(f"`{html_column}`")).alias("page"))
     parsed = table_cut(parsed, "parsed-pages")
     # pages of the same text, such as repeated rows, count as one
-    different = parsed.groupBy("host_", F.xxhash64("blocks_.text").alias("page_")).agg(F.min(uid).alias(uid))
-    needed = F.greatest(F.lit(LEAST_PAGES), F.least(F.lit(TEMPLATE_PAGES), F.ceil(SMALL_SHARE * F.col("n_pages"))), F.ceil(LARGE_SHARE * F.col("n_pages")))
-    different = table_cut(different.select(uid, "host_"), "different-pages")
-    counted = parsed.select(uid, "host_", F.array_distinct(F.flatten(F.col("blocks_.around"))).alias("subtrees")).join(different.select(uid), uid, "left_semi")
-    subtrees = counted.select("host_", F.explode("subtrees").alias("subtree")).groupBy("host_", "subtree").count().filter(F.col("count") >= LEAST_PAGES)
-    sizes = different.groupBy(F.col("host_").alias("h_host")).agg(F.count("*").alias("n_pages"))
-    template = subtrees.join(sizes, F.col("host_") == F.col("h_host")).filter(F.col("count") >= needed).select("host_", "subtree")
-    template = table_cut(template, "templates")
+    different = table_cut(parsed.groupBy("host", F.xxhash64("page.blocks").alias("text")).agg(F.min("uid").alias("uid")).select("uid", "host"), "different-pages")
+    needed = F.greatest(F.lit(least_pages), F.least(F.lit(template_pages), F.ceil(SMALL_SHARE * F.col("n_pages"))), F.ceil(LARGE_SHARE * F.col("n_pages")))
+    counted = parsed.select("uid", "host", F.array_distinct("page.subtrees.h").alias("subtrees")).join(different.select("uid"), "uid", "left_semi")
+    subtrees = counted.select("host", F.explode("subtrees").alias("subtree")).groupBy("host", "subtree").count().filter(F.col("count") >= least_pages)
+    sizes = different.groupBy("host").agg(F.count("*").alias("n_pages"))
+    template = table_cut(subtrees.join(sizes, "host").filter(F.col("count") >= needed).select("host", "subtree"), "templates")
     # pages that have a block in a template subtree: few rows travel, those with the subtrees they have
-    on_page = parsed.select(uid, "host_", F.explode(F.array_distinct(F.flatten(F.col("blocks_.around")))).alias("subtree")).join(template, ["host_", "subtree"]).groupBy(uid).agg(F.collect_set("subtree").alias("gone_"))
-    out = join_small(parsed, table_cut(on_page, "template-pages"), uid)
-    left = F.when(F.col("gone_").isNull(), F.col("blocks_.text")).otherwise(F.transform(F.filter("blocks_", lambda b: ~F.arrays_overlap(b["around"], F.col("gone_"))), lambda b: b["text"]))
-    return out.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.array_join(left, " "), F.lit("")).alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))
+    on_page = parsed.select("uid", "host", F.explode(F.array_distinct("page.subtrees.h")).alias("subtree"))
+    on_page = join_small(on_page, template, ["host", "subtree"], "inner").groupBy("uid").agg(F.collect_set("subtree").alias("gone"))
+    out = join_small(parsed, table_cut(on_page, "template-pages"), "uid")
+    whole = F.coalesce(F.array_join("page.blocks", " "), F.lit(""))
+    text = F.when(F.col("gone").isNull(), whole).otherwise(F.arrow_udf(strip, "string")(F.when(F.col("gone").isNotNull(), F.col("page")), F.coalesce("gone", F.array().cast("array<bigint>"))))
+    return out.select("row", text.alias("text")).select(*[F.col("row")[c].alias(c) for c in keep], "text", F.char_length("text").cast("long").alias("n_chars"))
