@@ -1,6 +1,6 @@
 """PII pseudonyms by format-preserving Feistel permutations, in DataFrame expressions only.
 
-Numbers that pass their check (card numbers: Luhn; social security numbers and IPv4 addresses: their ranges; phone
+Numbers that pass their check (card numbers: Luhn; account numbers: IBAN's mod 97; social security numbers and IPv4 addresses: their ranges; phone
 numbers: their length; dates: the calendar) are permuted within their own format by a keyed Feistel network, so equal
 values get equal pseudonyms in every document, different values different ones, and a pseudonym passes the same check.
 The local parts of e-mail addresses are permuted letter for letter and digit for digit. What fails its check stays.
@@ -16,14 +16,18 @@ ROUNDS = 8
 #: What may be personal, in the order of trial. Every repetition is bounded or possessive.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])",
-    "date": r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\d/-]|\.\d)",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "date": r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\d/-]|\.\d)",
     "ip": r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"(?<![\d+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\d(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])",
-    "card": r"(?<![\d.-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?!\d)",
+    "card": r"(?<!\d)(?<!\d[.-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?!\d)",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-DATE_FORMATS = {r"^\d{4}-": ["yyyy-MM-dd"], r"^\d{2}\.": ["dd.MM.yyyy"], r"^\d{2}/": ["dd/MM/yyyy", "MM/dd/yyyy"]}
+DATE_FORMATS = {
+    r"^\d{4}-": ["yyyy-MM-dd"], r"^\d{4}/": ["yyyy/MM/dd"], r"^\d{2}\.\d{2}\.": ["dd.MM.yyyy"], r"^(?:\d\.|\d{2}\.\d\.)": ["d.M.yyyy"],
+    r"^\d{2}/\d{2}/\d": ["dd/MM/yyyy", "MM/dd/yyyy"], r"^(?:\d/|\d{2}/\d/)": ["d/M/yyyy", "M/d/yyyy"],
+}
 #: Dates within DAYS_A * DAYS_B days from the first are permuted among themselves.
 FIRST_DAY, DAYS_A, DAYS_B = "1900-01-01", 256, 285
 ALPHABETS = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789")
@@ -102,6 +106,28 @@ def _card(m: Column, key: str) -> Column:
     return F.when(F.pmod(luhn_sum(digits), F.lit(10)) == 0, _refill(m, F.concat(body, check.cast("string")))).otherwise(m)
 
 
+def mod97(code: Column) -> Column:
+    """Remainder by 97 of the number that digits and letters (A = 10 .. Z = 35) spell."""
+
+    def add(acc: Column, c: Column) -> Column:
+        letter = F.instr(F.lit(ALPHABETS[1]), c)
+        return F.pmod(F.when(letter > 0, acc * 100 + letter + 9).otherwise(acc * 10 + F.instr(F.lit(ALPHABETS[2]), c) - 1), F.lit(97))
+
+    return F.aggregate(F.regexp_extract_all(code, F.lit("[A-Z0-9]"), F.lit(0)), F.lit(0), add)
+
+
+def _iban(m: Column, key: str) -> Column:
+    """The country stays, letters and digits of the account are permuted, the check digits are made anew."""
+    code = F.regexp_replace(m, " ", "")
+    country, account = F.left(code, F.lit(2)), F.substr(code, F.lit(5), F.length(code))
+    moved = permute_text(account, key, "iban")
+    check = F.lpad((98 - mod97(F.concat(moved, country, F.lit("00")))).cast("string"), 2, "0")
+    new = F.concat(country, check, moved)
+    chars, gaps = F.regexp_extract_all(new, F.lit("[A-Z0-9]"), F.lit(0)), F.split(m, "[A-Z0-9]", -1)
+    refilled = F.array_join(F.zip_with(gaps, chars, lambda gap, c: F.concat(F.coalesce(gap, F.lit("")), F.coalesce(c, F.lit("")))), "")
+    return F.when(F.length(code).between(15, 34) & (mod97(F.concat(account, F.left(code, F.lit(4)))) == 1), refilled).otherwise(m)
+
+
 def _phone(m: Column, key: str) -> Column:
     """The country code (of a number with a plus: up to the first gap, else two digits) stays."""
     country = F.when(F.startswith(m, F.lit("+")), F.coalesce(F.nullif(F.regexp_extract(m, r"^\+(\d{1,3})[ .(-]", 1), F.lit("")), F.substr(m, F.lit(2), F.lit(2)))).otherwise(F.lit(""))
@@ -143,7 +169,7 @@ def _email(m: Column, key: str) -> Column:
     return F.concat(permute_text(local, key, "email"), F.substr(m, F.length(local) + 1, F.length(m)))
 
 
-_MAKE = {"email": _email, "date": _date, "ip": _ip, "ssn": _ssn, "phone": _phone, "card": _card}
+_MAKE = {"email": _email, "iban": _iban, "date": _date, "ip": _ip, "ssn": _ssn, "phone": _phone, "card": _card}
 
 
 def kind_of(m: Column) -> Column:
@@ -160,20 +186,27 @@ def pseudonym(m: Column, kind: Column, key: str) -> Column:
     return out
 
 
-def pseudonymise(docs: DataFrame, text: str = "text", key: str = "ledgerwell") -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """docs with `text` rewritten, and `replaced`: an array of (kind, pseudonym) in the order of the text.
 
-    Whole texts are searched. A null text stays null with a null array; an empty one, or one without finds, stays as it
-    is with an empty array. Repeated rows stay. An input column called replaced is replaced. Dates written with slashes
-    are read as day/month/year if that is a date, else as month/day/year. One key always gives the same pseudonyms.
+    `key` is the caller's secret: who has it can undo the pseudonyms, and one key always gives the same ones. Whole texts
+    are searched. A null text stays null with a null array; an empty one, or one without finds, stays as it is with an
+    empty array. Repeated rows stay; an input column called replaced is replaced, others may have any name. Dates written
+    with slashes are read as day/month/year if that is a date, else as month/day/year; dates of one-digit days or months
+    may get longer or shorter by the digits of the new ones. Dates before 1900 or after 2099, numbers that fail their
+    check and numbers in other forms than PATTERNS stay readable.
     """
+    if not key:
+        raise ValueError("a key is needed")
     keep = [c for c in docs.columns if c.lower() not in ("replaced",)]
     t = F.col(f"`{text}`")
     found = F.when(t.isNull(), None).when(F.rlike(t, F.lit("[0-9@]")), F.regexp_extract_all(t, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    marked = docs.select(*[F.col(f"`{c}`") for c in keep], F.transform(found, lambda m: F.struct(m.alias("was"), kind_of(m).alias("kind"))).alias("found_"))
-    named = F.transform("found_", lambda f: F.struct(f["was"].alias("was"), f["kind"].alias("kind"), pseudonym(f["was"], f["kind"], key).alias("pseudonym")))
-    marked = marked.withColumn("found_", F.when(F.size("found_") > 0, named).otherwise(F.array().cast("array<struct<was:string,kind:string,pseudonym:string>>")))
-    parts = F.zip_with(F.split(t, ANY, -1), F.transform("found_", lambda f: f["pseudonym"]), lambda p, n: F.concat(F.coalesce(p, F.lit("")), F.coalesce(n, F.lit(""))))
-    new = F.when(F.size("found_") > 0, F.array_join(parts, "")).otherwise(t)
-    replaced = F.when(t.isNotNull(), F.transform(F.filter("found_", lambda f: f["was"] != f["pseudonym"]), lambda f: F.struct(f["kind"].alias("kind"), f["pseudonym"].alias("pseudonym"))))
-    return marked.select(*[(new.alias(c) if c == text else F.col(f"`{c}`")) for c in keep], replaced.alias("replaced"))
+    # the caller's columns travel as one struct, so none of their names can clash with those made here
+    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.transform(found, lambda m: F.struct(m.alias("was"), kind_of(m).alias("kind"))).alias("found"))
+    named = F.transform("found", lambda f: F.struct(f["was"].alias("was"), f["kind"].alias("kind"), pseudonym(f["was"], f["kind"], key).alias("pseudonym")))
+    marked = marked.withColumn("found", F.when(F.size("found") > 0, named).otherwise(F.array().cast("array<struct<was:string,kind:string,pseudonym:string>>")))
+    t = F.col("row")[text]
+    parts = F.zip_with(F.split(t, ANY, -1), F.transform("found", lambda f: f["pseudonym"]), lambda p, n: F.concat(F.coalesce(p, F.lit("")), F.coalesce(n, F.lit(""))))
+    new = F.when(F.size("found") > 0, F.array_join(parts, "")).otherwise(t)
+    replaced = F.when(t.isNotNull(), F.transform(F.filter("found", lambda f: f["was"] != f["pseudonym"]), lambda f: F.struct(f["kind"].alias("kind"), f["pseudonym"].alias("pseudonym"))))
+    return marked.select(*[(new if c == text else F.col("row")[c]).alias(c) for c in keep], replaced.alias("replaced"))

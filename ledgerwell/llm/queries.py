@@ -13,7 +13,7 @@ from ledgerwell.llm.decontaminate import find_leaks
 from ledgerwell.llm.jaccard_join import near_duplicates
 from ledgerwell.llm.metric_tree import quantise, top_k
 from ledgerwell.llm.pseudonyms import pseudonymise
-from ledgerwell.llm.shared import join_small, words_in
+from ledgerwell.llm.shared import free_name, join_small, words_in
 from ledgerwell.llm.site_templates import main_text
 from ledgerwell.llm.url_rules import RULE_SCHEMA, judge_urls
 
@@ -33,6 +33,8 @@ URL_RULES = [
     ("org", "/es/", "block"),
 ]
 SHARDS = 8
+#: Where op7 takes its key from; the synthetic tables need no secret one.
+KEY_SETTING = "spark.ledgerwell.pseudonyms.key"
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,9 +59,10 @@ def op2_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def label_weights(docs: DataFrame, labels: DataFrame, name: str) -> DataFrame:
     """docs with the weight of the fractional draw: 1 without a label, 0.5 to 1.5 by the mean of the quality labels."""
-    marks = labels.filter("doc_id is not null").groupBy(F.col("doc_id").alias("m_id")).agg(F.avg("quality").alias("m_mark"))
-    weight = F.coalesce(F.col("m_mark") + 0.5, F.lit(1.0))
-    return join_small(docs, marks, F.col("doc_id") == F.col("m_id")).withColumn(name, weight).drop("m_id", "m_mark")
+    uid, mark = free_name(docs, "label_id"), free_name(docs, "label_mark")
+    marks = labels.filter("doc_id is not null").groupBy(F.col("doc_id").alias(uid)).agg(F.avg("quality").alias(mark))
+    weight = F.coalesce(F.col(mark) + 0.5, F.lit(1.0))
+    return join_small(docs, marks, F.col("doc_id") == F.col(uid)).withColumn(name, weight).drop(uid, mark)
 
 
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +85,7 @@ def op6_metric_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    done = pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), spark.conf.get(KEY_SETTING, "for tables of invented documents"))
     return done.select("doc_id", "text", F.size("replaced").cast("long").alias("n_replaced"), "replaced")
 
 
