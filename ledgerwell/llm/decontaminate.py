@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerwell.llm import wordhash as wh
-from ledgerwell.llm.shared import free_name, table_cut
+from ledgerwell.llm.shared import join_small, table_cut
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Fingerprints further apart than this aren't verified. Words changed at an end cost one shingle each, so at similarity 0.8
@@ -26,8 +26,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 RADIUS = 28
 #: Pairs of fingerprints that are compared at once.
 PAIRS_AT_ONCE = 1 << 20
-#: Items in one pass over the documents; a larger benchmark takes several passes.
-ITEMS_AT_ONCE = 50_000
+#: Items, and bytes of their texts, in one pass over the documents at most; a larger benchmark takes several passes.
+ITEMS_AT_ONCE, BYTES_AT_ONCE = 50_000, 1 << 25
 #: Words of a text whose fingerprint sums are held at once.
 STRETCH = 20_000
 LEAKS = "array<struct<item_id:bigint,similarity:double,start:bigint,words:bigint>>"
@@ -122,15 +122,29 @@ def _possible(starts: np.ndarray, n: int, foreign: np.ndarray, again: np.ndarray
     return starts[sums[ends] - sums[starts] <= (1 / SIMILARITY - 1) * (known[ends] - known[starts]) + 1e-9]
 
 
+def _short_leaks(word_hashes: np.ndarray, items: Items) -> dict[int, tuple]:
+    """Items of fewer than SHINGLE words, each at the first place where its words stand in a row."""
+    best: dict[int, tuple] = {}
+    for n in range(1, min(SHINGLE, len(word_hashes) + 1)):
+        mine = np.flatnonzero(items.sizes == n)
+        if len(mine):
+            runs = wh.short_runs(word_hashes, n)
+            wanted = np.array([items.sets[i][0] for i in mine], np.uint64)
+            first: dict[int, int] = {}
+            for p in np.flatnonzero(np.isin(runs, wanted)).tolist():
+                first.setdefault(int(runs[p]), p)
+            best.update({i: (-1.0, first[int(w)], n) for i, w in zip(mine.tolist(), wanted.tolist(), strict=True) if int(w) in first})
+    return best
+
+
 def leaks_of(word_hashes: np.ndarray, run: np.ndarray, items: Items) -> list[dict]:
     """Leaks in one text of given words and shingles: each item's most similar window, the first of equals."""
     m = len(word_hashes)
     if not m or not len(items.keys):
         return []
+    best = _short_leaks(word_hashes, items)
     at = np.minimum(np.searchsorted(items.keys, run), len(items.keys) - 1)
-    hits = np.flatnonzero(items.keys[at] == run)
-    if not len(hits):
-        return []
+    hits = np.flatnonzero(items.keys[at] == run) if m >= SHINGLE else np.zeros(0, np.int64)
     foreign = items.keys[at] != run
     order = np.argsort(run, kind="stable")
     again = np.full(len(run), m + 1, np.int64)
@@ -141,7 +155,6 @@ def leaks_of(word_hashes: np.ndarray, run: np.ndarray, items: Items) -> list[dic
         for n in items.key_sizes[at[p]].tolist():
             last = max(0, m - n)
             windows.setdefault(n, set()).update(range(max(0, min(last, p - max(0, n - SHINGLE))), min(p, last) + 1))
-    best: dict[int, tuple] = {}
     for n, starts in windows.items():
         mine = np.flatnonzero(items.sizes == n)
         first = _possible(np.array(sorted(starts), np.int64), n, foreign, again)
@@ -196,33 +209,41 @@ def find_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_id: s
     """docs with `leaks`: an array of (item_id, similarity, start, words), one for each benchmark item found in the text.
 
     Whole texts are searched, case (A-Z) and white space don't count. Null and empty texts have no leaks; items that are
-    null or without words are never found, items of fewer than five words only in a text that is just them. Rows of items
-    that repeat an id count as one item each. Either table may be empty; an input column called leaks is replaced. The
-    benchmark is taken ITEMS_AT_ONCE items at a time, each such block a broadcast of bounded size; shingles are weighed
-    over the whole benchmark, so the blocks don't change a similarity.
+    null or without words are never found; an item of fewer than five words is found wherever all its words stand in a
+    row. Rows of items that repeat an id count as one item each. Either table may be empty; an input column called leaks
+    is replaced, others may have any name. A benchmark beyond ITEMS_AT_ONCE or BYTES_AT_ONCE is taken in blocks, one on the
+    driver and in a broadcast at a time, and what each finds is stored; shingles are weighed over the whole benchmark, so
+    the blocks don't change a similarity.
     """
     spark = docs.sparkSession
     keep = [c for c in docs.columns if c.lower() != "leaks"]
     usable = items.select(F.col(f"`{item_id}`").cast("long").alias("item_id"), F.col(f"`{item_text}`").alias("text")).filter("text is not null").distinct()
-    blocks = max(1, -(-usable.count() // ITEMS_AT_ONCE))
-    out = docs.select(*[F.col(f"`{c}`") for c in keep])
-    found = []
+    n, size = usable.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    blocks = max(1, -(-n // ITEMS_AT_ONCE), -(-size // BYTES_AT_ONCE))
     shared = _shared_shingles(usable)
-    if blocks > 1:
-        shared = table_cut(shared, "shared-shingles")
+    if blocks == 1:
+        sent = spark.sparkContext.broadcast(_block(usable, shared))
+        return docs.select(*[F.col(f"`{c}`") for c in keep], _search(sent)(F.col(f"`{text}`")).alias("leaks"))
+    shared, usable = table_cut(shared, "shared-shingles"), table_cut(usable, "benchmark-items")
+    rows = table_cut(docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.monotonically_increasing_id().alias("uid")), "searched-rows")
+    found = None
     for block in range(blocks):
-        rows = usable.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()
-        ids, texts = [r["item_id"] for r in rows], [r["text"] for r in rows]
-        known = shared
-        if blocks > 1:
-            here = np.unique(np.concatenate(_shingles_of(pa.array(texts, pa.string()))[0] or [np.zeros(0, np.uint64)])).view(np.int64)
-            known = shared.join(spark.createDataFrame(pa.table({"shingle": here})), "shingle", "left_semi")
-        counted = known.toArrow()
-        mine, n = counted["shingle"].to_numpy().view(np.uint64), counted["n"].to_numpy()
-        order = np.argsort(mine)
-        sent = spark.sparkContext.broadcast(prepare(ids, texts, (mine[order], n[order])))
-
-        name = free_name(out, f"leaks{block}")
-        out = out.withColumn(name, _search(sent)(F.col(f"`{text}`")))
-        found.append(name)
-    return out.select(*[F.col(f"`{c}`") for c in keep], F.array_sort(F.concat(*[F.col(n) for n in found])).alias("leaks"))
+        mine = usable.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
+        sent = spark.sparkContext.broadcast(_block(mine, shared))
+        here = table_cut(rows.select("uid", _search(sent)(F.col("row")[text]).alias("l")).filter(F.size("l") > 0), "block-leaks")
+        sent.destroy()
+        found = here if found is None else found.unionByName(here)
+    leaks = found.groupBy("uid").agg(F.array_sort(F.flatten(F.collect_list("l"))).alias("leaks"))
+    out = join_small(rows, leaks, "uid")
+    return out.select(*[F.col("row")[c].alias(c) for c in keep], F.coalesce("leaks", F.array().cast(LEAKS)).alias("leaks"))
+
+
+def _block(items: DataFrame, shared: DataFrame) -> Items:
+    """The items of one block on the driver, with the shingles of theirs that several texts of the whole benchmark have."""
+    rows = items.orderBy("item_id", "text").collect()
+    texts = [r["text"] for r in rows]
+    here = np.unique(np.concatenate(_shingles_of(pa.array(texts, pa.string()))[0] or [np.zeros(0, np.uint64)])).view(np.int64)
+    known = join_small(shared, items.sparkSession.createDataFrame(pa.table({"shingle": here})), "shingle", "left_semi", len(here)).toArrow()
+    shingle, n = known["shingle"].to_numpy().view(np.uint64), known["n"].to_numpy()
+    order = np.argsort(shingle)
+    return prepare([r["item_id"] for r in rows], texts, (shingle[order], n[order]))

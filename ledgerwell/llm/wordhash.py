@@ -102,11 +102,15 @@ def shingles(word_hashes: np.ndarray, counts: np.ndarray, size: int = 5) -> Iter
         if c >= size:
             yield rolled[at : at + c - size + 1]
         elif c:
-            h = np.uint64(c)
-            with np.errstate(over="ignore"):
-                for w in word_hashes[at : at + c]:
-                    h = h * _Q + w
-            yield mix(np.array([h], np.uint64))
+            yield short_runs(word_hashes[at : at + c], int(c))
         else:
             yield rolled[:0]
         at += c
+
+
+def short_runs(word_hashes: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of a text's runs of n words, each as `shingles` gives for a text of just these n words."""
+    h = np.full(max(0, len(word_hashes) - n + 1), n, np.uint64)
+    for k in range(n):
+        h = h * _Q + word_hashes[k : k + len(h)]
+    return mix(h)
