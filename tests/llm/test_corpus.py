@@ -188,7 +188,9 @@ def test_leaks_are_found_and_clean_texts_left_alone(spark):
     near = [*item[:39], "changed"]
     rows = [(1, " ".join([*_prose(rng, 300, 9000), *item, *_prose(rng, 30, 9000)]).upper()), (2, " ".join(near)), (3, " ".join([*_prose(rng, 50, 9000), *item[:10], *_prose(rng, 50, 9000)])), (4, None), (5, ""), (6, "\n".join(other)), (7, " ".join(_prose(rng, 20000, 9000)) + " " + " ".join(item))]
     items = spark.createDataFrame([(0, " ".join(item)), (1, " ".join(other)), (2, None), (3, ""), (4, "two words")], "item_id long, text string")
+    rows.append((8, "these are two words, TWO\nwords two words"))
     got = {r.doc_id: [(x.item_id, x.start, x.words) for x in r.leaks] for r in dc.find_leaks(_docs(spark, rows), items).collect()}
+    assert got.pop(8) == [(4, 4, 2)]
     assert got == {1: [(0, 300, 40)], 2: [(0, 0, 40)], 3: [], 4: [], 5: [], 6: [(1, 0, 15)], 7: [(0, 20000, 40)]}
     assert dc.find_leaks(_docs(spark, []), items).count() == 0
     assert [r.leaks for r in dc.find_leaks(_docs(spark, rows[:1]), items.filter("false")).collect()] == [[]]

@@ -1,6 +1,8 @@
 """URL rules, HTML extraction and pseudonyms on small inputs, against brute force where there is one."""
 
+import math
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -47,9 +49,52 @@ def test_url_sweep_runs_in_dataframe_operations(spark):
 
 
 def test_parse_blocks_survives_broken_markup():
-    assert parse_blocks("") == []
-    assert [b[0] for b in parse_blocks("<p>a<br>b<p>c &amp; d</b></p><script>var x='</p>'</script>e<!-- f")] == ["a", "b", "c & d", "e"]
-    assert parse_blocks("<div class='side menu'>x</div>y")[0][1] and not parse_blocks("<div class='side menu'>x</div>y")[1][1]
+    assert parse_blocks("") == ([], [])
+    assert parse_blocks("<p>a<br>b<p>c &amp; d</b></p><script>var x='</p>'</script>e<!-- f")[0] == ["a", "b", "c & d", "e"]
+    assert parse_blocks("<div class='side menu'>x</div>y")[0] == ["y"]
+    assert parse_blocks("<p data-x=it's>Hello. It's fine</p>")[0] == ["Hello. It's fine"]
+    assert parse_blocks("a<svg/>b<svg x='1' /><p>c</p><svg>no</svg>d")[0] == ["a", "b", "c", "d"]
+    assert parse_blocks("<p>a</p><div hidden>b</div><p style='display: none'>c</p><div style='display:block' class=\"x\">d</div>")[0] == ["a", "d"]
+    assert parse_blocks("<p a=\"b>c")[0] == ["c"] and parse_blocks('<a title="x>y">t</a>')[0] == ["t"]
+
+
+def test_long_and_deep_pages_take_linear_time():
+    for page in ("<article><table>" + "<tr><td>x</td></tr>" * 30_000, "<div>x" * 20_000, "<article><div class=ad>x" * 10_000, "<p a='" * 50_000, "<x>" * 20_000 + "<li>y" * 20_000):
+        began = time.perf_counter()
+        parse_blocks(page)
+        assert time.perf_counter() - began < 5, page[:30]
+
+
+def test_subtrees_match_brute_force():
+    page = "<body><div><div>One two three four</div><p>five six seven</p></div><ul><li>eight nine ten eleven</ul><div class=ad>x</div><section>One two three four</section></body>"
+    blocks, subtrees = parse_blocks(page, 1)
+    ranges = sorted((tuple(blocks[i:j])) for _, i, j in subtrees)
+    assert ranges == sorted([("One two three four",), ("One two three four", "five six seven"), ("five six seven",), ("eight nine ten eleven",), ("eight nine ten eleven",), ("One two three four",)])
+    by = {}
+    for h, i, j in parse_blocks("<div>a b</div><div>a b</div><section>a b</section><div>a</div><div>b</div><div>a<br>b</div>", 1)[1]:
+        by.setdefault(h, []).append((i, j))
+    assert sorted(len(x) for x in by.values()) == [1, 1, 1, 1, 2]
+
+
+def test_template_counts_match_brute_force(spark):
+    rng = random.Random(9)
+    parts = [f"<div>Part number {i} of the site</div>" for i in range(12)]
+    rows = [(i, f"http://h{i % 3}.com/{i}", "".join(rng.sample(parts, rng.randrange(6))) + f"<p>The text of page {rng.randrange(40)} itself</p>") for i in range(90)]
+    rows += [(100 + i, "http://h0.com/", rows[0][2]) for i in range(15)]
+    want = {}
+    for host in range(3):
+        mine = {i: parse_blocks(h) for i, u, h in rows if f"//h{host}." in u}
+        distinct = {tuple(b): (b, t) for b, t in mine.values()}
+        count = {}
+        for _, t in distinct.values():
+            for h in {x[0] for x in t}:
+                count[h] = count.get(h, 0) + 1
+        need = max(3, min(10, math.ceil(0.5 * len(distinct))), math.ceil(0.01 * len(distinct)))
+        for i, (b, t) in mine.items():
+            gone = {k for h, a, z in t if count[h] >= need for k in range(a, z)}
+            want[i] = " ".join(x for k, x in enumerate(b) if k not in gone)
+    got = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
+    assert got == want and any("Part" not in v for v in want.values())
 
 
 def test_main_text_drops_templates_of_a_host(spark):
@@ -63,7 +108,7 @@ def test_main_text_drops_templates_of_a_host(spark):
 
 
 def _left(page):
-    return " ".join(text for text, aside, _ in parse_blocks(page) if not aside)
+    return " ".join(parse_blocks(page)[0])
 
 
 def test_wrappers_of_the_page_are_no_asides():
@@ -105,7 +150,7 @@ def _luhn(s):
 def test_pseudonyms_keep_formats_and_links(spark):
     text = "call +1 (743) 555-3824 or 743-555-3824, card 4041 8949 7460 8795 / 4041894974608796, ip 70.123.182.155 999.1.1.1, ssn 123-45-6789, born 1984-02-29 or 31.02.1990, a.Bc@x.co.uk."
     rows = [(1, text), (2, "4041894974608795 29/02/1984 A.bC@x.co.uk"), (3, None), (4, ""), (5, "nothing here"), (2, "4041894974608795 29/02/1984 A.bC@x.co.uk")]
-    out = ps.pseudonymise(spark.createDataFrame(rows, "doc_id int, text string")).collect()
+    out = ps.pseudonymise(spark.createDataFrame(rows, "doc_id int, text string"), "k").collect()
     by = {r.doc_id: r for r in out}
     kinds = {k: [p.pseudonym for p in by[1].replaced if p.kind == k] for k in ("phone", "card", "ip", "ssn", "date", "email")}
     assert len(out) == 6 and by[3].text is None and by[3].replaced is None and by[4].text == "" and by[5].text == "nothing here" and by[5].replaced == []
@@ -125,5 +170,32 @@ def test_permutations_are_permutations(spark):
 
 
 def test_pseudonyms_use_no_python(spark):
-    plan = ps.pseudonymise(spark.createDataFrame([(1, "a@b.com")], "doc_id int, text string"))._jdf.queryExecution().executedPlan().toString()
+    plan = ps.pseudonymise(spark.createDataFrame([(1, "a@b.com")], "doc_id int, text string"), "k")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def _iban_ok(code):
+    code = code.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1
+
+
+def test_pseudonyms_of_account_numbers_dates_and_cards_after_marks(spark):
+    rows = [(1, "pay DE89 3704 0044 0532 0130 00 or GB29NWBK60161331926819, not DE88 3704 0044 0532 0130 00."), (2, "DE89370400440532013000"), (3, "on 2020/01/31, 1/2/2020 and 01/02/2020, 31.1.2020"), (4, "No.4111 1111 1111 1111 and -4111111111111111 but 1.4111111111111111")]
+    got = {r.doc_id: r for r in ps.pseudonymise(spark.createDataFrame(rows, "doc_id int, text string"), "k").collect()}
+    ibans = [p.pseudonym for p in got[1].replaced]
+    assert len(ibans) == 2 and all(_iban_ok(x) for x in ibans) and ibans[0][:2] == "DE" and ibans[0].replace(" ", "") == got[2].text != "DE89370400440532013000" and "DE88 3704 0044 0532 0130 00" in got[1].text
+    assert [len(g) for g in ibans[0].split(" ")] == [4, 4, 4, 4, 4, 2]
+    a, b, c, d = (p.pseudonym for p in got[3].replaced)
+    day = lambda x: tuple(int(v) for v in x.split("/"))
+    assert day(b) == day(c) and tuple(int(v) for v in reversed(d.split("."))) == day(a)
+    cards = [p.pseudonym for p in got[4].replaced]
+    assert len(cards) == 2 and cards[0].replace(" ", "") == cards[1] and _luhn(cards[1]) and got[4].text.endswith(" 1.4111111111111111")
+    other = ps.pseudonymise(spark.createDataFrame(rows[1:2], "doc_id int, text string"), "another").first().text
+    assert other != got[2].text and _iban_ok(other)
+
+
+def test_url_rules_with_empty_labels_and_high_signs(spark):
+    rules = [("com", "/en/", "block"), ("net", "/de/", "allow"), ("org", "/es/", "block"), ("a#b", "/", "block")]
+    urls = ["http://en..com/x", "http://de..net/zz", "http://a.org/es/\U0010ffffz", "http://.com/en/", "http://com./en/", "http://com/en/#x", "http://..com/en/"]
+    got = {r.url: (r.rule, r.verdict) for r in judge_urls(spark.createDataFrame([(u,) for u in urls], "url string"), spark.createDataFrame(rules, RULE_SCHEMA)).collect()}
+    assert got == {u: _brute(u, rules[:3])[2:] for u in urls}
