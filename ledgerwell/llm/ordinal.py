@@ -73,8 +73,15 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, steps: int =
         return Model(np.zeros(size, np.float32), b, 0)
     share = np.clip([(grades <= k).mean() for k in range(n_grades - 1)], 1e-3, 1 - 1e-3)
     b = np.log(share / (1 - share))
-    every, row = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    used, flat = np.unique(every, return_inverse=True)
+    # entries by row and by feature, both as narrow as they can be: these arrays are most of the driver's memory
+    used = np.unique(np.concatenate([np.zeros(0, np.int32), *(np.unique(np.concatenate(rows[i : i + 256])) for i in range(0, len(rows), 256))]))
+    filled = np.flatnonzero([len(r) for r in rows])
+    of_row = np.cumsum([0, *(len(rows[i]) for i in filled)])
+    features_ = np.concatenate([np.searchsorted(used, rows[i]).astype(np.int32) for i in filled] or [np.zeros(0, np.int32)])
+    order = np.argsort(features_, kind="stable").astype(np.int32)
+    rows_ = (np.searchsorted(of_row, order, "right") - 1).astype(np.int32)
+    of_feature = np.concatenate(([0], np.cumsum(np.bincount(features_, minlength=len(used)))[:-1])).astype(np.int64)
+    del order
     theta = np.zeros(len(used) + n_grades - 1)
     theta[len(used)] = b[0]
     theta[len(used) + 1 :] = np.log(np.maximum(np.diff(b), 1e-2))
@@ -84,7 +91,9 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, steps: int =
     for t in range(1, steps + 1):
         w, gaps = theta[: len(used)], np.exp(theta[len(used) + 1 :])
         cuts = theta[len(used)] + np.concatenate(([0], np.cumsum(gaps)))
-        score = np.bincount(row, w[flat], len(rows))
+        score = np.zeros(len(rows))
+        if len(used):
+            score[filled] = np.add.reduceat(w[features_], of_row[:-1])
         up = np.where(grades < n_grades - 1, np.append(cuts, inf)[grades] - score, inf)
         low = np.where(grades > 0, np.append(-inf, cuts)[grades] - score, -inf)
         su, sl = sigmoid(up), sigmoid(low)
@@ -95,7 +104,8 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, steps: int =
         for k in range(n_grades - 1):
             g_cut[k] = (-du[grades == k].sum() + dl[grades == k + 1].sum()) / len(rows)
         grad = np.empty_like(theta)
-        grad[: len(used)] = np.bincount(flat, g_score[row], len(used)) + penalty * w
+        if len(used):
+            grad[: len(used)] = np.add.reduceat(g_score[filled][rows_], of_feature) + penalty * w
         grad[len(used)] = g_cut.sum()
         grad[len(used) + 1 :] = np.cumsum(g_cut[::-1])[::-1][1:] * gaps
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
