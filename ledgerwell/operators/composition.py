@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerwell.functions.money import ratio
+from ledgerwell.operators.asof import as_of
+
+#: Sectors of a benchmark at most: they become part of the plan.
+MOST_SECTORS = 500
 
 
 def latest_weights(holdings: DataFrame) -> DataFrame:
@@ -59,13 +63,16 @@ def brinson(portfolio: DataFrame, benchmark: DataFrame) -> DataFrame:
     A sector that only the benchmark has gets weight 0 and the benchmark's return; one it hasn't, benchmark weight and
     return 0.
     """
-    accounts = portfolio.select("account_id").distinct()
-    b = accounts.crossJoin(F.broadcast(benchmark))  # the benchmark has a handful of sectors
-    total = benchmark.agg(F.sum(F.col("wb") * F.col("rb")).alias("rb_total"))
-    j = portfolio.join(b, ["account_id", "sector"], "full_outer").crossJoin(F.broadcast(total))
+    sectors = benchmark.select("sector", "wb", "rb").limit(MOST_SECTORS + 1).collect()
+    if len(sectors) > MOST_SECTORS:
+        raise ValueError(f"a benchmark has at most {MOST_SECTORS} sectors")
+    rows = F.array(*[F.struct(F.lit(x.sector).alias("sector"), F.lit(x.wb).alias("wb"), F.lit(x.rb).alias("rb")) for x in sectors])
+    b = portfolio.select("account_id").distinct().select("account_id", F.explode(rows).alias("b")).select("account_id", "b.*")
+    rb_total = F.lit(sum((x.wb or 0.0) * (x.rb or 0.0) for x in sectors))
+    j = portfolio.join(b, ["account_id", "sector"], "full_outer")
     wp, wb, rb = (F.coalesce(F.col(c), F.lit(0.0)) for c in ("wp", "wb", "rb"))
     rp = F.coalesce(F.col("rp"), F.col("rb"), F.lit(0.0))
-    return j.select("account_id", "sector", ((wp - wb) * (rb - F.col("rb_total"))).alias("allocation"), (wb * (rp - rb)).alias("selection"), ((wp - wb) * (rp - rb)).alias("interaction"))
+    return j.select("account_id", "sector", ((wp - wb) * (rb - rb_total)).alias("allocation"), (wb * (rp - rb)).alias("selection"), ((wp - wb) * (rp - rb)).alias("interaction"))
 
 
 def histogram(values: DataFrame, by: str, value: str, bins: int = 18) -> DataFrame:
@@ -83,17 +90,17 @@ def donut(weights: DataFrame, top: int = 5) -> DataFrame:
     return weights.withColumn("rn", rn).groupBy("account_id", label.alias("slice")).agg(F.sum("weight").alias("weight"), F.count("*").alias("n"))
 
 
-def counterfactual(flows: DataFrame, prices: DataFrame, spine: DataFrame) -> DataFrame:
-    """(account_id, as_of_date, units, value): the same money in an index, bought at the flow day's price or the next.
+def counterfactual(flows: DataFrame, prices: DataFrame, spine: DataFrame, max_stale_days: int = 10) -> DataFrame:
+    """(account_id, as_of_date, units, value, excluded): the same money in an index, bought at the flow day's price or the next.
 
-    flows(account_id, as_of_date, eur), prices(key, price_date, close), spine(account_id, as_of_date).
+    flows(account_id, as_of_date, eur), prices(price_date, close), spine(account_id, as_of_date). `excluded` counts the
+    flows so far that no price was found for.
     """
-    from ledgerwell.operators.asof import as_of
-
-    keyed = flows.withColumn("key", F.lit("index"))
-    bought = as_of(keyed, prices, ["key"], "as_of_date", "price_date", ["close"], max_stale_days=10, or_next=True).filter("close is not null")
-    units = bought.groupBy("account_id", "as_of_date").agg(F.sum(ratio(F.col("eur"), F.col("close"))).alias("units"))
-    days = as_of(spine.withColumn("key", F.lit("index")), prices, ["key"], "as_of_date", "price_date", ["close"], max_stale_days=10, or_next=True)
-    run = F.sum("units").over(Window.partitionBy("account_id").orderBy("as_of_date").rowsBetween(Window.unboundedPreceding, 0))
-    out = days.join(units, ["account_id", "as_of_date"], "left").withColumn("held", run).filter("held is not null and close is not null")
-    return out.select("account_id", "as_of_date", F.col("held").alias("units"), (F.col("held") * F.col("close").cast("double")).alias("value"))
+    index = prices.select(F.lit("index").alias("key"), "price_date", "close")
+    at_price = lambda df: as_of(df.withColumn("key", F.lit("index")), index, ["key"], "as_of_date", "price_date", ["close"], max_stale_days=max_stale_days, or_next=True)
+    # prices by day are found once a day, not once a row
+    days = at_price(spine.select("as_of_date").unionByName(flows.select("as_of_date")).distinct()).select("as_of_date", F.col("close").cast("double").alias("close"))
+    bought = flows.join(days, "as_of_date").groupBy("account_id", "as_of_date").agg(F.sum(ratio(F.col("eur"), F.col("close"))).alias("units"), F.count(F.when(F.col("close").isNull(), 1)).alias("lost"))
+    run = lambda c: F.sum(c).over(Window.partitionBy("account_id").orderBy("as_of_date").rowsBetween(Window.unboundedPreceding, 0))
+    out = spine.join(days, "as_of_date").join(bought, ["account_id", "as_of_date"], "left").withColumn("held", run("units")).withColumn("excluded", F.coalesce(run("lost"), F.lit(0)))
+    return out.filter("held is not null and close is not null").select("account_id", "as_of_date", F.col("held").alias("units"), (F.col("held") * F.col("close")).alias("value"), "excluded")

@@ -32,11 +32,13 @@ def period_bounds(nav: DataFrame) -> DataFrame:
     """(account_id, period, start_date, end_date): start null is inception. 1D spans the last two valued weekdays."""
     valued = nav.filter("nav_eur is not null")
     ends = valued.groupBy("account_id").agg(F.max("as_of_date").alias("end_date"))
-    named = ends.select("account_id", "end_date", F.explode(F.array(*[F.lit(p) for p in PERIODS[1:]])).alias("period")).withColumn("nominal", nominal_start(F.col("period"), F.col("end_date")))
-    starts = named.filter("nominal is not null").join(valued.select("account_id", F.col("as_of_date").alias("day")), "account_id").filter("day <= nominal").groupBy("account_id", "period").agg(F.max("day").alias("start_date"))
+    starts = valued.select("account_id", F.col("as_of_date").alias("day")).join(ends, "account_id").groupBy("account_id", "end_date").agg(
+        *[F.max(F.when(F.col("day") <= nominal_start(F.lit(p), F.col("end_date")), F.col("day"))).alias(p) for p in PERIODS[1:]],
+    )
+    named = starts.select("account_id", "end_date", F.explode(F.array(*[F.struct(F.lit(p).alias("period"), F.col(p).alias("start_date")) for p in PERIODS[1:]])).alias("p"))
     weekdays = valued.filter(F.weekday("as_of_date") < 5).withColumn("rn", F.row_number().over(Window.partitionBy("account_id").orderBy(F.desc("as_of_date")))).filter("rn <= 2")
     day = weekdays.groupBy("account_id").agg(F.min("as_of_date").alias("start_date"), F.max("as_of_date").alias("end_date"), F.count("*").alias("n")).filter("n = 2")
-    rest = named.join(starts, ["account_id", "period"], "left").select("account_id", "period", "start_date", "end_date")
+    rest = named.select("account_id", "p.period", "p.start_date", "end_date")
     return rest.unionByName(day.select("account_id", F.lit("1D").alias("period"), "start_date", "end_date"))
 
 
@@ -54,11 +56,21 @@ def month_bounds(nav: DataFrame) -> DataFrame:
     return rows.select("account_id", F.date_format("month", "yyyy-MM").alias("period"), before.alias("start_date"), "end_date")
 
 
-def summarise(nav: DataFrame, twr: DataFrame, bounds: DataFrame) -> DataFrame:
+def summarise(nav: DataFrame, twr: DataFrame, bounds: DataFrame, disjoint: bool = False) -> DataFrame:
     """One row a bound: everything after start_date up to end_date. Value change = net deposits + result, and
-    result = market + dividends + interest + cashback + fees."""
+    result = market + dividends + interest + cashback + fees.
+
+    A few bounds that overlap take one pass over an account's days each. Of `disjoint` ones that follow each other, such
+    as months, each day belongs to the first that ends on it or later, so days are joined once.
+    """
     rows = money_in_out(nav).join(twr, ["account_id", "as_of_date"], "left")
-    window = bounds.join(rows, "account_id").filter("as_of_date <= end_date and (start_date is null or as_of_date > start_date)")
+    if disjoint:
+        ends = bounds.filter("end_date is not null").select("account_id", F.col("end_date").alias("as_of_date"), F.col("end_date").alias("ends_"))
+        later = Window.partitionBy("account_id").orderBy("as_of_date").rowsBetween(0, Window.unboundedFollowing)
+        rows = rows.join(ends, ["account_id", "as_of_date"], "left").withColumn("end_date", F.first("ends_", ignorenulls=True).over(later)).drop("ends_").filter("end_date is not null")
+        window = bounds.join(rows, ["account_id", "end_date"])
+    else:
+        window = bounds.join(rows, "account_id").filter("as_of_date <= end_date and (start_date is null or as_of_date > start_date)")
     money = lambda c: F.sum(F.coalesce(F.col(c), F.lit(0))).cast(MONEY).alias(c)
     sums = window.groupBy("account_id", "period", "start_date", "end_date").agg(*[money(c) for c in _PARTS], F.product(1 + F.col("twr")).alias("growth"), F.count(F.when(F.col("nav_eur").isNull(), 1)).alias("unvalued_days"))
     at = nav.select("account_id", F.col("as_of_date").alias("at_day"), F.col("nav_eur").alias("at_value"))

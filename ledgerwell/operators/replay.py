@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerwell.functions.money import BASE, MONEY, QTY, times_fx, times_price
+from ledgerwell.functions.storage import stored
 from ledgerwell.operators import ledger as lg
 from ledgerwell.operators.asof import CARRIED, EXACT, carry_forward, first_seen
 
@@ -17,6 +18,7 @@ class Replay:
     holdings: DataFrame
     nav: DataFrame
     flows: DataFrame
+    events: DataFrame
 
 
 def running_quantities(events: DataFrame, start: str, end: str) -> DataFrame:
@@ -79,9 +81,17 @@ def nav_rows(events: DataFrame, holdings: DataFrame, start: str, end: str) -> Da
 
 
 def replay(ledger: lg.Ledger, start: str, end: str, max_price_stale_days: int = 10, max_fx_stale_days: int = 10) -> Replay:
-    fx = lg.fx_daily(ledger.fx, max_fx_stale_days)
-    events = lg.ledger_events(ledger, fx)
+    return from_events(lg.ledger_events(ledger, lg.fx_daily(ledger.fx, max_fx_stale_days)), ledger, start, end, max_price_stale_days, max_fx_stale_days)
+
+
+def from_events(events: DataFrame, ledger: lg.Ledger, start: str, end: str, max_price_stale_days: int = 10, max_fx_stale_days: int = 10) -> Replay:
+    """The replay of events that ledger_events made of the ledger, for instance of its stored ones."""
     held = running_quantities(events, start, end)
-    holdings = value_holdings(held, ledger.prices, fx, ledger.instruments, max_price_stale_days)
+    holdings = value_holdings(held, ledger.prices, lg.fx_daily(ledger.fx, max_fx_stale_days), ledger.instruments, max_price_stale_days)
     flows = lg.holding_flows(events).filter(F.col("as_of_date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
-    return Replay(holdings, nav_rows(events, holdings, start, end), flows)
+    return Replay(holdings, nav_rows(events, holdings, start, end), flows, events)
+
+
+def store(rep: Replay) -> Replay:
+    """The replay's tables, each written once."""
+    return Replay(stored(rep.holdings, "holdings"), stored(rep.nav, "nav"), stored(rep.flows, "flows"), rep.events)

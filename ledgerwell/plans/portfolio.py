@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerwell.functions.money import money_out
+from ledgerwell.functions.storage import stored
 from ledgerwell.operators import composition as co
 from ledgerwell.operators import ledger as lg
 from ledgerwell.operators import periods as pe
@@ -34,10 +35,23 @@ def r(c: str, digits: int = 8):
     return F.round(F.col(c), digits).alias(c)
 
 
-def replayed(spark: SparkSession, sf_dir: str) -> rp.Replay:
+_replays: dict[tuple[str, str], rp.Replay] = {}
+
+
+def computed(spark: SparkSession, sf_dir: str) -> rp.Replay:
     return rp.replay(ledger(spark, sf_dir), START, END, STALE, STALE)
 
 
+def replayed(spark: SparkSession, sf_dir: str) -> rp.Replay:
+    """The replay as tables: made once in an application and read by every report, as its rows don't change between syncs."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _replays:
+        rep = computed(spark, sf_dir)
+        events = stored(rep.events, "events")
+        _replays[key] = rp.store(rp.from_events(events, ledger(spark, sf_dir), START, END, STALE, STALE))
+    return _replays[key]
+
+
 EV = sql_views("v_fills", "v_dividends", "v_prices", "v_instruments", "v_fx", "v_cash") + f"""
 , cash0 AS (SELECT c.*, CASE WHEN c.currency = 'EUR' THEN amount WHEN c.day - x.rate_date <= {STALE} THEN CAST(amount * x.eur_per_unit AS DECIMAL(28,10)) END AS eur
   FROM v_cash c ASOF LEFT JOIN v_fx x ON c.currency = x.currency AND c.day >= x.rate_date)
@@ -120,12 +134,12 @@ def at_or_next(spark, sf_dir):
 
 @query("prj16_daily_holdings", f"WITH {HOLD} SELECT account_id, as_of_date, ticker, CAST(quantity AS DOUBLE) AS quantity, status AS valuation_status, {D4('v', 'market_value_eur')} FROM hold")
 def daily_holdings(spark, sf_dir):
-    return replayed(spark, sf_dir).holdings.select("account_id", "as_of_date", "ticker", F.col("quantity").cast("double").alias("quantity"), "valuation_status", money_out(F.col("market_value_eur")).alias("market_value_eur"))
+    return computed(spark, sf_dir).holdings.select("account_id", "as_of_date", "ticker", F.col("quantity").cast("double").alias("quantity"), "valuation_status", money_out(F.col("market_value_eur")).alias("market_value_eur"))
 
 
 @query("agg02_daily_nav", f"WITH {NAV} SELECT account_id, as_of_date, {D4('cash', 'cash_balance_eur')}, {D4('nav', 'nav_eur')}, {D4('ext', 'external_flow_eur')}, {D4('internal', 'internal_cash_flow_eur')}, {D4('dividend', 'dividend_eur')}, {D4('interest', 'interest_eur')}, {D4('fee', 'fee_eur')}, {D4('deposit', 'deposit_eur')}, {D4('withdrawal', 'withdrawal_eur')}, {D4('card', 'card_spending_eur')}, {D4('cashback', 'cashback_eur')}, CASE WHEN mp + mf > 0 THEN 'PARTIAL' WHEN ff THEN 'FORWARD_FILL' ELSE 'VALUED' END AS valuation_status, CAST(mp AS BIGINT) AS missing_price_count, CAST(mf AS BIGINT) AS missing_fx_count FROM navs")
 def daily_nav(spark, sf_dir):
-    nav = replayed(spark, sf_dir).nav
+    nav = computed(spark, sf_dir).nav
     money = [c for c in nav.columns if c.endswith("_eur") and c != "securities_value_eur"]
     return nav.select("account_id", "as_of_date", *[money_out(F.col(c)).alias(c) for c in money], "valuation_status", "missing_price_count", "missing_fx_count")
 
@@ -286,8 +300,8 @@ SUMMARY = """
 SELECT account_id, period, start_date, end_date, """ + ", ".join([D4("v1 - v0", "value_change_eur"), D4("dep + wd", "net_deposits_eur"), D4("v1 - v0 - dep - wd", "result_eur"), D4("v1 - v0 - dep - wd - dv - it - cb - fe", "market_eur"), "round(twr, 6) AS twr", "unvalued_days"]) + " FROM sv"
 
 
-def _summary(nav: DataFrame, bounds: DataFrame) -> DataFrame:
-    s = pe.summarise(nav, rt.daily_twr(nav), bounds)
+def _summary(nav: DataFrame, bounds: DataFrame, disjoint: bool = False) -> DataFrame:
+    s = pe.summarise(nav, rt.daily_twr(nav), bounds, disjoint)
     return s.select("account_id", "period", "start_date", "end_date", *[money_out(F.col(c)).alias(c) for c in ("value_change_eur", "net_deposits_eur", "result_eur", "market_eur")], r("twr", 6), "unvalued_days")
 
 
@@ -300,7 +314,7 @@ def period_summaries(spark, sf_dir):
 @query("agg05_monthly_summaries", f"WITH {NAV} {MONTHS} {SUMMARY}")
 def monthly_summaries(spark, sf_dir):
     nav = replayed(spark, sf_dir).nav
-    return _summary(nav, pe.month_bounds(nav))
+    return _summary(nav, pe.month_bounds(nav), disjoint=True)
 
 
 @query("agg06_holding_movements", f"WITH {NAV} {BOUNDS}, fl AS (SELECT b.account_id, b.period, ev.ticker, sum(CASE kind WHEN 'buy' THEN eur ELSE 0 END) AS bo, sum(CASE kind WHEN 'sell' THEN eur ELSE 0 END) AS so, sum(CASE kind WHEN 'dividend' THEN eur ELSE 0 END) AS dv FROM bounds b JOIN ev ON ev.account_id = b.account_id AND ev.ticker IS NOT NULL AND ev.day <= b.end_date AND (b.start_date IS NULL OR ev.day > b.start_date) AND ev.day >= DATE '{START}' GROUP BY ALL), e AS (SELECT b.account_id, b.period, h.ticker, h.v FROM bounds b JOIN hold h ON h.account_id = b.account_id AND h.as_of_date = b.end_date), s AS (SELECT b.account_id, b.period, h.ticker, h.v FROM bounds b JOIN hold h ON h.account_id = b.account_id AND h.as_of_date = b.start_date), k AS (SELECT account_id, period, ticker FROM fl UNION SELECT account_id, period, ticker FROM e UNION SELECT account_id, period, ticker FROM s), m AS (SELECT k.*, CASE WHEN s.ticker IS NULL THEN 0 ELSE s.v END AS v0, CASE WHEN e.ticker IS NULL THEN 0 ELSE e.v END AS v1, coalesce(bo, 0) AS bo, coalesce(so, 0) AS so, coalesce(fl.dv, 0) AS dv FROM k LEFT JOIN s USING (account_id, period, ticker) LEFT JOIN e USING (account_id, period, ticker) LEFT JOIN fl USING (account_id, period, ticker)) SELECT account_id, period, ticker, {D4('v1 - v0 - bo + so + dv', 'result_eur')}, round(CASE WHEN v0 + bo > 0 THEN CAST(v1 - v0 - bo + so + dv AS DOUBLE) / CAST(v0 + bo AS DOUBLE) END, 6) AS return_pct FROM m")
