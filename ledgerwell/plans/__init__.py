@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules() -> list:
-    from ledgerwell.plans import household, portfolio
+    from ledgerwell.plans import household, markets, portfolio
 
-    return [portfolio, household]
+    return [portfolio, household, markets]
 
 
 def queries() -> dict:
