@@ -39,6 +39,27 @@ SELECT CASE user_id % 5 WHEN 0 THEN 'AUTOMOBILE' WHEN 1 THEN 'BUILDING' WHEN 2 T
   CASE event_type WHEN 'purchase' THEN 'Card debit' WHEN 'click' THEN 'Spending cashback' ELSE '' END AS action, CASE WHEN event_id % 4 = 0 THEN 'USD' ELSE 'EUR' END AS currency,
   CAST(value AS DECIMAL(14,2)) * CASE WHEN event_type IN ('purchase', 'error') THEN -1 WHEN event_type = 'signup' THEN 20000 ELSE 1 END AS amount
 FROM {events}""",
+    "v_orders": """
+SELECT c_mktsegment AS account_id, p_brand AS ticker, CASE WHEN l_returnflag = 'R' THEN 'SELL' WHEN l_linenumber = 7 AND l_quantity = 1 THEN NULL ELSE 'BUY' END AS side,
+  CASE WHEN l_quantity = 50 AND p_size = 50 THEN 'STOCK_SPLIT' ELSE 'TRADE' END AS fill_type, CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END * CAST(l_quantity AS DECIMAL(12,2)) AS quantity
+FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey JOIN {part} ON l_partkey = p_partkey""",
+    "v_positions": """
+SELECT c_mktsegment AS account_id, p_brand AS ticker, CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END * CAST(l_quantity AS DECIMAL(12,2)) + CASE WHEN p_brand LIKE '%3' AND l_orderkey = 1 THEN 5 ELSE 0 END AS quantity
+FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey JOIN {part} ON l_partkey = p_partkey WHERE p_brand NOT LIKE '%15'""",
+    "v_moves": """
+SELECT concat('account ', CAST(user_id % 3 AS VARCHAR(9))) AS account_id, CAST(event_id AS VARCHAR(20)) AS reference, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS ts,
+  CASE WHEN event_type IN ('purchase', 'error') THEN 'WITHDRAW' WHEN event_type = 'view' THEN 'FEE' ELSE 'DEPOSIT' END AS transaction_type,
+  CASE event_id % 5 WHEN 0 THEN 'USD' WHEN 1 THEN 'usd' WHEN 2 THEN 'GBP' ELSE 'EUR' END AS currency, CAST(value AS DECIMAL(14,2)) * CASE WHEN event_type IN ('purchase', 'error') THEN -1 ELSE 1 END AS amount
+FROM {events}""",
+    "v_export": """
+SELECT CAST(event_id AS VARCHAR(20)) AS row_id, CASE event_id % 3 WHEN 0 THEN 'Card debit' WHEN 1 THEN 'Spending cashback' ELSE 'Withdrawal' END AS action FROM {events} WHERE event_id % 7 < 4""",
+    "v_news": """
+SELECT page_id AS news_id, n_nationkey AS company_id,
+  concat(CASE page_id % 3 WHEN 1 THEN replace(url, 'http', 'HTTP') ELSE url END, CASE page_id % 4 WHEN 0 THEN '?utm_source=x&b=2&a=1' WHEN 1 THEN '/?fbclid=1&q=' WHEN 2 THEN '#top' ELSE '' END) AS url,
+  concat(CASE page_id % 4 WHEN 0 THEN 'Results: ' WHEN 1 THEN 'Shares of ' ELSE '' END, CASE page_id % 5 WHEN 0 THEN 'the market' WHEN 1 THEN lower(n_name) ELSE n_name END, ' -- up ', CAST(page_id % 7 AS VARCHAR(9)), '%!') AS headline,
+  CASE page_id % 2 WHEN 0 THEN concat('<p>News about <b>', n_name, '</b></p>') ELSE 'nothing' END AS summary,
+  CASE page_id % 4 WHEN 0 THEN concat('2024-01-', lpad(CAST(page_id % 28 + 1 AS VARCHAR(9)), 2, '0'), 'T08:30:00Z') WHEN 1 THEN concat('Mon, ', lpad(CAST(page_id % 28 + 1 AS VARCHAR(9)), 2, '0'), ' Jan 2024 09:15:30 GMT') WHEN 2 THEN NULL ELSE 'soon' END AS published
+FROM {pages} JOIN {nation} ON page_id % 25 = n_nationkey""",
     "v_card": """
 SELECT event_id, user_id, ts, CAST(ts AS DATE) AS day, concat('merchant ', CAST(user_id % 20 AS VARCHAR(9))) AS merchant, concat('category ', CAST(event_id % 8 AS VARCHAR(9))) AS category, CAST(value AS DECIMAL(14,2)) AS spent
 FROM {events} WHERE event_type = 'purchase'""",

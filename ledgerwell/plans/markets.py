@@ -85,7 +85,7 @@ def nav_and_passive(spark, sf_dir):
     return _nav(spark, sf_dir).join(_passive(spark, sf_dir), ["account_id", "as_of_date"], "left").select("account_id", "as_of_date", money_out(F.col("nav_eur")).alias("nav_eur"), F.round("value", 2).alias("passive_eur"))
 
 
-_UR = f"{pf.HOLD}, {pf.UNIT}, hp AS (SELECT account_id, ticker FROM ur WHERE ret IS NOT NULL GROUP BY account_id, ticker QUALIFY row_number() OVER (PARTITION BY account_id ORDER BY ticker) <= 6), rr AS (SELECT ur.* FROM ur JOIN hp USING (account_id, ticker) WHERE ret IS NOT NULL), cd AS (SELECT account_id, as_of_date FROM rr GROUP BY ALL HAVING count(DISTINCT ticker) = (SELECT count(*) FROM hp WHERE hp.account_id = rr.account_id)), cr AS (SELECT rr.* FROM rr JOIN cd USING (account_id, as_of_date))"
+_UR = f"{pf.HOLD}, {pf.UNIT}, hp AS (SELECT account_id, ticker FROM ur WHERE ret IS NOT NULL GROUP BY account_id, ticker QUALIFY row_number() OVER (PARTITION BY account_id ORDER BY ticker) <= 6), rr AS (SELECT ur.* FROM ur JOIN hp USING (account_id, ticker) WHERE ret IS NOT NULL), cd AS (SELECT account_id, as_of_date FROM rr GROUP BY account_id, as_of_date HAVING count(DISTINCT ticker) = (SELECT count(*) FROM hp WHERE hp.account_id = rr.account_id)), cr AS (SELECT rr.* FROM rr JOIN cd USING (account_id, as_of_date))"
 
 
 def _first_holdings(spark, sf_dir) -> DataFrame:
