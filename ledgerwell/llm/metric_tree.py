@@ -22,7 +22,7 @@ from ledgerwell.llm.shared import join_small, table_cut
 
 #: Pivots (a bounded sample) and the most rings around one, vectors in a subtree, children of a node and entries of a
 #: leaf page, queries that share one copy of a subtree.
-PIVOTS, RINGS, SUBTREE, FAN, PAGE, QUERY_BLOCK = 32, 64, 20_000, 32, 128, 4_000
+PIVOTS, RINGS, SUBTREE, FAN, PAGE, QUERY_BLOCK = 32, 64, 20_000, 32, 1024, 4_000
 #: Bounds are widened by these shares of the distance and of the norms, far more than doubles can be off.
 SLACK, NORM_SLACK = 1e-6, 1e-7
 LONGS = np.iinfo(np.int64)
@@ -51,11 +51,12 @@ def _dist(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum((a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2 * a @ b.T, 0))
 
 
+def _most(x: np.ndarray) -> float:
+    return float(np.abs(x.astype(np.float64)).max(initial=0))
+
+
 def _scores(entries: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Exact integer inner products; those beyond the range of a long count as its ends."""
-    most = float(np.abs(entries.astype(np.float64)).max(initial=0)) * float(np.abs(x.astype(np.float64)).max(initial=0)) * max(1, len(x))
-    if most < 2.0**52:
-        return np.rint(entries.astype(np.float64) @ x.astype(np.float64)).astype(np.int64)
     exact = entries.astype(object) @ x.astype(object) if len(x) else np.zeros(len(entries), object)
     return np.array([min(max(int(s), LONGS.min), LONGS.max) for s in exact], np.int64)
 
@@ -93,12 +94,15 @@ def search_tree(nodes: pd.DataFrame, queries: pd.DataFrame, m2: float, k: int) -
         parent, parent_d, radius = nodes["parent"].to_numpy(), nodes["parent_d"].to_numpy(), nodes["radius"].to_numpy()
         dim = centres.shape[1] - 1
         leaf = [None if i is None else (np.frombuffer(i, "<i8"), np.frombuffer(e, "<i8").reshape(-1, dim) if dim else np.zeros((len(i) // 8, 0), np.int64), np.frombuffer(d, "<f8")) for i, e, d in zip(nodes["ids"], nodes["entries"], nodes["entry_d"], strict=True)]
+        # doubles hold all products and sums exactly as long as these are below 2^52
+        quick = [None if leaf_ is None else (leaf_[1].astype(np.float64), _most(leaf_[1]) * max(1, dim)) for leaf_ in leaf]
         below = {p: np.flatnonzero(parent == p) for p in np.unique(parent) if p >= 0}
         for q_id, q_row, x, known in zip(queries["query_id"].tolist(), queries["q"].tolist(), _matrix(queries["x"], np.int64), queries["score"].tolist(), strict=True):
             q = np.append(x.astype(np.float64), 0.0)
             norm = float(q @ q)
             wide = NORM_SLACK * (np.sqrt(norm) + np.sqrt(m2)) + 1e-9
             reach_of = lambda score: np.sqrt(max(norm + m2 - 2 * float(score), 0)) * (1 + SLACK) + wide  # noqa: E731, B023
+            x_quick, x_most = x.astype(np.float64), _most(x)
             reach = np.inf if known is None or known != known else reach_of(known)
             d_root = float(np.linalg.norm(q - centres[0]))
             heap, best = [(max(d_root - radius[0], 0.0), 0, d_root)], []  # best: a heap of (score, -id)
@@ -116,9 +120,12 @@ def search_tree(nodes: pd.DataFrame, queries: pd.DataFrame, m2: float, k: int) -
                     continue
                 ids, entries, entry_d = leaf[node]
                 some = np.flatnonzero((np.abs(d - entry_d) <= reach) & (ids != q_id))
-                scores = _scores(entries[some], x)
+                numbers, most = quick[node]
+                near = numbers if len(some) == len(ids) else numbers[some]
+                scores = near @ x_quick if most * x_most < 2.0**52 else _scores(entries[some], x)
                 if len(best) == k:
-                    some, scores = some[scores >= best[0][0]], scores[scores >= best[0][0]]
+                    good = scores >= best[0][0]
+                    some, scores = some[good], scores[good]
                 for i in np.lexsort((ids[some], -scores))[:k]:
                     pair = (int(scores[i]), -int(ids[some[i]]))
                     if len(best) < k:
