@@ -48,7 +48,8 @@ def published_at(text: Column) -> Column:
     part = lambda i: F.regexp_extract(t, mail, i)
     month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(part(2)))
     offset = F.when(F.rlike(part(5), F.lit(r"^[+-]")), F.concat(F.left(part(5), F.lit(3)), F.lit(":"), F.right(part(5), F.lit(2)))).otherwise("Z")
-    rfc = F.when(F.rlike(t, F.lit(mail)) & (month > 0), F.concat(part(3), F.lit("-"), F.lpad(month.cast("string"), 2, "0"), F.lit("-"), F.lpad(part(1), 2, "0"), F.lit("T"), part(4), offset))
+    rfc = F.when(F.rlike(t, F.lit(mail)) & (month > 0), F.concat(part(3), F.lit("-"), F.lpad(month.cast("string"), 2, "0"), F.lit("-"), F.lpad(part(1), 2, "0"), F.lit("T"), part(4), F.when(F.length(part(4)) == 5, ":00").otherwise(""), offset))
+    iso = F.regexp_replace(iso, r"([T ]\d{2}:\d{2})(?![\d:])", "$1:00")
     return F.coalesce(iso.try_cast("timestamp"), rfc.try_cast("timestamp"))
 
 
