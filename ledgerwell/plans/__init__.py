@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules() -> list:
-    from ledgerwell.plans import household, markets, portfolio, positions, streams, texts
+    from ledgerwell.plans import exchange, household, markets, portfolio, positions, streams, texts
 
-    return [portfolio, household, markets, positions, texts, streams]
+    return [portfolio, household, markets, positions, texts, streams, exchange]
 
 
 def queries() -> dict:
