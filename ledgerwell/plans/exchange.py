@@ -119,7 +119,7 @@ def replace_future(spark, sf_dir):
     return tables.replace_future(o, new, "k", "day", "1997-01-01")
 
 
-@query("snk09_calendar_entries", "SELECT concat('e:', CAST(o_orderkey AS VARCHAR)) AS id, CAST(o_orderdate AS DATE) AS day, concat('BEGIN:VEVENT', chr(13), chr(10), 'UID:e-', CAST(o_orderkey AS VARCHAR), '@ledgerwell.local', chr(13), chr(10), 'DTSTAMP:20240101T000000Z', chr(13), chr(10), 'DTSTART;VALUE=DATE:', strftime(CAST(o_orderdate AS DATE), '%Y%m%d'), chr(13), chr(10), 'DTEND;VALUE=DATE:', strftime(CAST(o_orderdate AS DATE) + 1, '%Y%m%d'), chr(13), chr(10), 'SUMMARY:A\; B\\, ', CAST(o_custkey AS VARCHAR), chr(13), chr(10), 'DESCRIPTION:one\\ntwo', chr(13), chr(10), 'TRANSP:TRANSPARENT', chr(13), chr(10), 'END:VEVENT') AS entry FROM orders")
+@query("snk09_calendar_entries", "SELECT concat('e:', CAST(o_orderkey AS VARCHAR)) AS id, CAST(o_orderdate AS DATE) AS day, concat('BEGIN:VEVENT', chr(13), chr(10), 'UID:e-', CAST(o_orderkey AS VARCHAR), '@ledgerwell.local', chr(13), chr(10), 'DTSTAMP:20240101T000000Z', chr(13), chr(10), 'DTSTART;VALUE=DATE:', strftime(CAST(o_orderdate AS DATE), '%Y%m%d'), chr(13), chr(10), 'DTEND;VALUE=DATE:', strftime(CAST(o_orderdate AS DATE) + 1, '%Y%m%d'), chr(13), chr(10), 'SUMMARY:A\\; B\\, ', CAST(o_custkey AS VARCHAR), chr(13), chr(10), 'DESCRIPTION:one\\ntwo', chr(13), chr(10), 'TRANSP:TRANSPARENT', chr(13), chr(10), 'END:VEVENT') AS entry FROM orders")
 def calendar_entries(spark, sf_dir):
     o = _table(spark, sf_dir, "orders")
     events = o.select(F.concat(F.lit("e:"), F.col("o_orderkey").cast("string")).alias("id"), F.col("o_orderdate").cast("date").alias("day"), F.concat(F.lit("A; B, "), F.col("o_custkey").cast("string")).alias("summary"), F.lit("one\ntwo").alias("description"))
