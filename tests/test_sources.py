@@ -35,7 +35,7 @@ def test_calendar_lines_are_escaped_and_folded(spark):
     rows = [("a:1", dt.date(2024, 2, 29), "x;y,z\\", "l1\nl2 " + "w" * 160)]
     entry = tables.calendar_entries(spark.createDataFrame(rows, "id string, day date, summary string, description string"), "T").first().entry
     lines = entry.split("\r\n")
-    assert "UID:a-1@ledgerwell.local" in lines and "DTEND;VALUE=DATE:20240301" in lines and "SUMMARY:x\;y\\,z\\\\" in lines and max(map(len, lines)) <= 74
+    assert "UID:a-1@ledgerwell.local" in lines and "DTEND;VALUE=DATE:20240301" in lines and "SUMMARY:x\\;y\\,z\\\\" in lines and max(map(len, lines)) <= 74
     assert "DESCRIPTION:l1\\nl2 " + "w" * 160 in entry.replace("\r\n ", "")
 
 
