@@ -60,6 +60,20 @@ SELECT page_id AS news_id, n_nationkey AS company_id,
   CASE page_id % 2 WHEN 0 THEN concat('<p>News about <b>', n_name, '</b></p>') ELSE 'nothing' END AS summary,
   CASE page_id % 4 WHEN 0 THEN concat('2024-01-', lpad(CAST(page_id % 28 + 1 AS VARCHAR(9)), 2, '0'), 'T08:30:00Z') WHEN 1 THEN concat('Mon, ', lpad(CAST(page_id % 28 + 1 AS VARCHAR(9)), 2, '0'), ' Jan 2024 09:15:30 GMT') WHEN 2 THEN NULL ELSE 'soon' END AS published
 FROM {pages} JOIN {nation} ON page_id % 25 = n_nationkey""",
+    "v_facts": """
+SELECT company, metric, f_start, f_end, MAX_BY(val, o_orderkey) AS val, CAST(MAX_BY(filed, o_orderkey) AS DATE) AS filed FROM (
+  SELECT o_orderkey, o_custkey % 100 AS company, CASE o_orderkey % 4 WHEN 0 THEN 'revenue' WHEN 1 THEN 'net_income' WHEN 2 THEN 'operating_income' ELSE 'eps' END AS metric,
+    CAST(CASE WHEN o_orderkey % 3 = 0 THEN date_trunc('quarter', o_orderdate) ELSE date_trunc('year', o_orderdate) END AS DATE) AS f_start, last_day(CAST(date_trunc('quarter', o_orderdate) AS DATE) + INTERVAL 2 MONTH) AS f_end,
+    CAST(o_totalprice AS DOUBLE) AS val, o_orderdate AS filed FROM {orders}) x
+GROUP BY company, metric, f_start, f_end""",
+    "v_stakes": """
+SELECT c_mktsegment AS account_id, concat('N', CAST(c_nationkey AS VARCHAR(9))) AS ticker, concat('Nation ', CAST(c_nationkey AS VARCHAR(9))) AS name, CAST(sum(CAST(c_acctbal AS DECIMAL(14,2))) AS DOUBLE) AS value,
+  CASE WHEN c_nationkey % 4 = 2 THEN concat('US', 'Brand#', CAST(c_nationkey % 5 + 1 AS VARCHAR(9)), CAST(c_nationkey % 5 + 1 AS VARCHAR(9)), 'x0') ELSE 'DE0001234567' END AS isin,
+  CASE WHEN c_nationkey % 5 = 0 THEN concat('F', CAST(c_nationkey AS VARCHAR(9))) END AS fund, CASE WHEN c_nationkey % 7 = 3 THEN 'Gold' END AS asset
+FROM {customer} GROUP BY c_mktsegment, c_nationkey""",
+    "v_fund_rows": """
+SELECT concat('F', CAST(p_partkey % 4 * 5 AS VARCHAR(9))) AS fund, concat(p_brand, 'x') AS key, p_brand AS name, p_type AS country, CASE WHEN p_brand LIKE '%1' THEN NULL ELSE concat('sector ', substr(p_brand, 7, 1)) END AS sector, CAST(p_size AS DOUBLE) * CASE WHEN p_partkey % 4 = 1 THEN 0.0001 ELSE 0.01 END AS pct
+FROM {part}""",
     "v_card": """
 SELECT event_id, user_id, ts, CAST(ts AS DATE) AS day, concat('merchant ', CAST(user_id % 20 AS VARCHAR(9))) AS merchant, concat('category ', CAST(event_id % 8 AS VARCHAR(9))) AS category, CAST(value AS DECIMAL(14,2)) AS spent
 FROM {events} WHERE event_type = 'purchase'""",
