@@ -41,8 +41,8 @@ def trailing_year(facts: DataFrame, keys: list[str]) -> DataFrame:
     base = spans.groupBy(*keys).agg(F.max("end").alias("latest"), F.max(F.when(year, F.struct("end", -F.unix_date("start"), "val"))).alias("fiscal"))
     base = base.select(*keys, "latest", F.col("fiscal.end").alias("fiscal_end"), F.col("fiscal.val").alias("fiscal_val"))
     to_date = (F.col("end") == F.col("latest")) & (F.abs(F.datediff("start", "fiscal_end") - 1) <= 4)
-    current = spans.join(base.filter("fiscal_end < latest"), keys).filter(to_date).groupBy(*keys).agg(F.max(F.struct("n_days", "val")).alias("c"), F.first("latest").alias("latest"))
-    target = current.select(*keys, F.date_sub("latest", 364).alias("aim"), F.col("c.n_days").alias("aim_days"), F.col("c.val").alias("now_val"))
+    current = spans.join(base.filter("fiscal_end < latest"), keys).filter(to_date).groupBy(*keys).agg(F.max(F.struct("n_days", "val")).alias("now_"), F.first("latest").alias("latest"))
+    target = current.select(*keys, F.date_sub("latest", 364).alias("aim"), F.col("now_.n_days").alias("aim_days"), F.col("now_.val").alias("now_val"))
     rolled = nearest(target, spans, keys, 12).select(*keys, (F.col("now_val") - F.col("near.val")).alias("gain"))
     last = Window.partitionBy(*keys).orderBy(F.desc("end"), "start")
     four = spans.filter(F.col("n_days").between(*QUARTER_DAYS)).withColumn("rn", F.row_number().over(last)).filter("rn <= 4")

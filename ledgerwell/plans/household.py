@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerwell.operators import household as hh
+from ledgerwell.operators import planning as pl
 from ledgerwell.plans.adapters import sql_views, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,9 +21,11 @@ LIMITS = [("category 0", 1000.0), ("category 1", 2000.0), ("category 2", 500.0)]
 TARGETS = [("AUTOMOBILE", 0.3), ("BUILDING", 0.25), ("FURNITURE", 0.2), ("HOUSEHOLD", 0.15)]
 
 
-def query(name: str, sql: str):
+def query(name: str, sql: str | None = None):
     def put(f):
-        QUERIES[name], ORACLE_SQL[name] = f, sql
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
         return f
 
     return put
@@ -92,3 +95,16 @@ def future_value(spark, sf_dir):
     return c.select("c_custkey", F.round(value, 4).alias("future_value"), F.round(required, 4).alias("required_monthly"))
 
 
+
+
+@query("agg28_recurring_charges")
+def recurring_charges(spark, sf_dir):
+    card = view(spark, sf_dir, "v_card").select("user_id", "merchant", "ts", F.col("spent").cast("double").alias("amount"))
+    return pl.recurring(card, ["user_id", "merchant"], "2024-02-01")
+
+
+@query("sim01_value_ranges")
+def value_ranges(spark, sf_dir):
+    c = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    plans = c.select("n_nationkey", (F.col("n_nationkey") * 1000).alias("start"), F.lit(100).alias("monthly"), (F.col("n_nationkey") / 300).alias("yearly"), F.lit(0.15).alias("volatility"), F.lit(5).alias("years"))
+    return pl.value_ranges(plans, "n_nationkey")

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import io
+import zipfile
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: What stands for no number, and the columns that an export must have (one of the times).
 NO_NUMBER = ("", "none", "null", "-")
@@ -90,3 +95,102 @@ def feed_items(raw: DataFrame, body: str, most: int = 50) -> DataFrame:
     items = F.transform(inside, lambda x: F.struct(plain(tag(x, "title")).alias("headline"), link(x).alias("url"), plain(tag(x, "pubDate|published|updated")).alias("published"), plain(tag(x, "description|summary")).alias("summary")))
     usable = F.slice(F.filter(items, lambda i: i["headline"].isNotNull() & F.rlike(i["url"], F.lit("^https?://"))), 1, most)
     return raw.withColumn("i_", F.explode(usable)).select(*[c for c in raw.columns if c != body], "i_.*")
+
+
+def news_items(raw: DataFrame, body: str, most: int = 50) -> DataFrame:
+    """raw with headline, url, published and summary of the items of a JSON body ({"data": [...]}) of a news service.
+
+    Items without a title or an http address are left out, after `most` items of a body were taken in its order; the
+    summary is the description, else the snippet. A body that is no such JSON has no items.
+    """
+    items = F.from_json(F.get_json_object(F.col(body), "$.data"), "array<struct<title:string,url:string,description:string,snippet:string,published_at:string>>")
+    rows = raw.withColumn("i_", F.explode(F.slice(items, 1, most))).filter(F.col("i_.title").isNotNull() & F.rlike(F.col("i_.url"), F.lit("(?i)^https?:")))
+    summary = F.coalesce(F.nullif(F.col("i_.description"), F.lit("")), F.col("i_.snippet"))
+    return rows.select(*[c for c in raw.columns if c != body], F.trim("i_.title").alias("headline"), "i_.url", F.col("i_.published_at").alias("published"), _text(summary).alias("summary"))
+
+
+#: What a factor file writes for no value, and its names of the factors.
+NO_FACTOR = ("-99.99", "-999")
+FACTORS = {"Mkt-RF": "mkt_rf", "SMB": "smb", "HML": "hml", "RMW": "rmw", "CMA": "cma", "RF": "risk_free", "Mom": "mom"}
+
+
+@F.pandas_udf(T.StringType())
+def _unzipped(bodies: pd.Series) -> pd.Series:
+    """The first file of each archive as text; null for what is no archive or holds none."""
+
+    def text(body):
+        try:
+            with zipfile.ZipFile(io.BytesIO(body)) as archive:
+                return archive.read(archive.namelist()[0]).decode("latin-1")
+        except (zipfile.BadZipFile, IndexError, TypeError):
+            return None
+
+    return bodies.map(text)
+
+
+def factor_rows(raw: DataFrame, body: str) -> DataFrame:
+    """raw with as_of, factor and value (a fraction) of zipped daily factor files.
+
+    The table starts below the first row with an empty first cell and names after it, and ends at the first row after its
+    data that has no day. Values that stand for none are left out; a day given twice counts as given last. An archive
+    that can't be read, or a text without such a header, stops the job.
+    """
+    keys = [c for c in raw.columns if c != body]
+    lines = F.transform(F.split(F.col("t_"), r"\r?\n"), lambda x: F.transform(F.split(x, ","), lambda c: F.trim(c)))
+    is_header = lambda c: (F.size(c) > 1) & (F.get(c, F.lit(0)) == "") & F.exists(F.slice(c, 2, F.size(c)), lambda x: x != "")
+    is_day = lambda c: F.rlike(F.get(c, F.lit(0)), F.lit("^[0-9]{8}$"))
+    rows = raw.withColumn("t_", _unzipped(F.col(body))).withColumn("l_", lines).withColumn("at_", F.array_position(F.transform("l_", is_header), True))
+    rows = rows.withColumn("at_", F.when(F.col("at_") > 0, F.col("at_").cast("int")).otherwise(F.raise_error(F.lit("no factor file: it has no row of names")).cast("int")))
+    rows = rows.withColumn("h_", F.element_at("l_", F.col("at_"))).withColumn("d_", F.slice("l_", F.col("at_") + 1, F.size("l_")))
+    first = F.array_position(F.transform("d_", is_day), True).cast("int")
+    rows = rows.withColumn("d_", F.when(first > 0, F.slice("d_", F.greatest(first, F.lit(1)), F.size("d_"))).otherwise(F.slice("d_", 1, 0)))
+    stop = F.array_position(F.transform("d_", is_day), False).cast("int")
+    rows = rows.select(*keys, "h_", F.posexplode(F.when(stop > 0, F.slice("d_", 1, stop - 1)).otherwise(F.col("d_"))).alias("p_", "c_"))
+    days = rows.withColumn("as_of", F.to_date(F.get("c_", F.lit(0)), "yyyyMMdd")).groupBy(*keys, "as_of").agg(F.max_by(F.struct("h_", "c_"), "p_").alias("r_"))
+    tail = lambda c: F.slice(F.col(c), 2, F.size(c))
+    cells = days.select(*keys, "as_of", F.explode(F.arrays_zip(tail("r_.h_").alias("factor"), tail("r_.c_").alias("cell"))).alias("x"))
+    value = number(F.col("x.cell"))
+    return cells.filter(F.col("x.factor").isNotNull() & value.isNotNull() & ~value.isin(*[F.lit(v).cast("decimal(28,10)") for v in NO_FACTOR])).select(*keys, "as_of", F.col("x.factor").alias("factor"), (value.cast("double") / 100).alias("value"))
+
+
+def factor_days(five: DataFrame, momentum: DataFrame) -> DataFrame:
+    """(as_of, mkt_rf, smb, hml, rmw, cma, mom, risk_free) of the days that have every one of them; none is filled in."""
+    rows = five.filter("factor <> 'Mom'").select("as_of", "factor", "value").unionByName(momentum.filter("factor = 'Mom'").select("as_of", "factor", "value"))
+    wide = rows.groupBy("as_of").agg(*[F.max(F.when(F.col("factor") == name, F.col("value"))).alias(alias) for name, alias in FACTORS.items()])
+    return wide.dropna()
+
+
+_HOLDING = "struct<name:string,title:string,lei:string,cusip:string,pctVal:string,assetCat:string,invCountry:string,identifiers:struct<isin:struct<_value:string>>>"
+_REPORT = f"struct<formData:struct<genInfo:struct<repPdDate:string>,invstOrSecs:struct<invstOrSec:array<{_HOLDING}>>>>"
+NO_CUSIP = "000000000"
+TOP_HOLDINGS = 300
+
+
+def _report_rows(raw: DataFrame, body: str) -> tuple[DataFrame, list[str]]:
+    keys = [c for c in raw.columns if c != body]
+    rows = raw.select(*keys, F.from_xml(F.col(body), _REPORT, {"ignoreNamespace": "true"}).alias("r_"))
+    rows = rows.select(*keys, F.col("r_.formData.genInfo.repPdDate").try_cast("date").alias("report_date"), F.posexplode("r_.formData.invstOrSecs.invstOrSec").alias("p_", "x"))
+    cell = lambda c: _text(F.col(f"x.{c}"))
+    cusip = F.when(cell("cusip") != NO_CUSIP, cell("cusip"))
+    pct = F.coalesce(F.trim("x.pctVal").try_cast("double"), F.lit(0.0))
+    rows = rows.select(*keys, "report_date", "p_", F.coalesce(cell("lei"), cusip, cell("name"), F.lit("")).alias("issuer"), F.coalesce(cell("name"), cell("title")).alias("name"), cusip.alias("cusip"), F.col("x.identifiers.isin._value").alias("isin"), F.coalesce(cell("invCountry"), F.lit("Other")).alias("country"), cell("assetCat").alias("category"), pct.alias("pct"))
+    return rows, keys
+
+
+def fund_holdings(raw: DataFrame, body: str, keep: int = TOP_HOLDINGS) -> DataFrame:
+    """raw with report_date, rank, issuer, name, cusip, isin, country, category and pct of a fund report's largest holdings.
+
+    Holdings of one issuer (its LEI, else its CUSIP, else its name) are one row as first listed, with their shares summed;
+    the `keep` largest stay, equal shares in the report's order. A body that is no such XML has none.
+    """
+    rows, keys = _report_rows(raw, body)
+    first = F.min_by(F.struct("name", "cusip", "isin", "country", "category", "report_date"), "p_")
+    merged = rows.groupBy(*keys, "issuer").agg(F.sum("pct").alias("pct"), F.min("p_").alias("p_"), first.alias("f"))
+    ranked = merged.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("pct"), "p_"))).filter(F.col("rank") <= keep)
+    return ranked.select(*keys, "f.report_date", "rank", "issuer", "f.name", "f.cusip", "f.isin", "f.country", "f.category", "pct")
+
+
+def fund_countries(raw: DataFrame, body: str) -> DataFrame:
+    """raw with country, pct and holdings: every holding of a fund report counts, also those below the largest."""
+    rows, keys = _report_rows(raw, body)
+    return rows.groupBy(*keys, "country").agg(F.sum("pct").alias("pct"), F.count("*").alias("holdings"))
