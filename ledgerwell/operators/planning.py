@@ -62,7 +62,7 @@ def recurring(charges: DataFrame, keys: list[str], now: str) -> DataFrame:
     and two are a month or a year apart, or three and more keep to their median gap mostly. Status: lapsed, price-up,
     new or active at `now`. Rows of amount null, 0 or below, or without a time, take no part.
     """
-    rows = amount_clusters(charges.filter("amount > 0 and ts is not null").select(*keys, "ts", F.col("amount").cast("double").alias("amount")), keys)
+    rows = amount_clusters(charges.filter("amount > 0 and ts is not null").select(*keys, F.col("ts").cast("timestamp").alias("ts"), F.col("amount").cast("double").alias("amount")), keys)
     per = rows.groupBy(*keys, "cluster").agg(F.array_sort(F.collect_list(F.struct("ts", "amount"))).alias("c")).filter(F.size("c") >= 2)
     day = lambda t: F.unix_micros(t) / 86_400e6
     gaps = F.transform(F.sequence(F.lit(2), F.size("c")), lambda i: day(F.get("c", i - 1)["ts"]) - day(F.get("c", i - 2)["ts"]))
