@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerwell.llm import kd_shards as kd
-from ledgerwell.llm import mixing, ordinal, token_files
+from ledgerwell.llm import bpe, mixing, ordinal, token_files
 from ledgerwell.llm.decontaminate import find_leaks
+from ledgerwell.llm.divergence import source_divergence
 from ledgerwell.llm.jaccard_join import near_duplicates
 from ledgerwell.llm.metric_tree import quantise, top_k
 from ledgerwell.llm.pseudonyms import pseudonymise
+from ledgerwell.llm.runs import word_runs
 from ledgerwell.llm.shared import free_name, join_small, words_in
 from ledgerwell.llm.site_templates import main_text
 from ledgerwell.llm.url_rules import RULE_SCHEMA, judge_urls
@@ -105,6 +107,37 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "expected_grade", "tail_probability", "kept")
 
 
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """doc_id and text of docs; every tenth text, by the crc32 of its id, repeats a part of itself from some word on."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.expr(r"regexp_extract_all(coalesce(text, ''), r'[^\x20\x09-\x0D]+', 0)")
+    numbered = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), (h % 10 == 0).alias("hit"), F.when(h % 10 == 0, words).alias("words")).withColumn("n", F.size("words"))
+    a = numbered.withColumn("a", F.expr("if(hit and n > 0, g % n, null)")).withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    text = "array_join(slice(concat(slice(words, 1, cast(a as int)), flatten(array_repeat(slice(words, cast(a + 1 as int), cast(p as int)), cast((n - a) div p + 1 as int)))), 1, n), ' ')"
+    return a.select("doc_id", F.expr(f"if(a is null, text, {text})").alias("text"))
+
+
+def op11_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = word_runs(with_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))).select("doc_id", "periodic.*")
+    better = "r.length * b.period > b.length * r.period or (r.length * b.period = b.length * r.period and (r.start < b.start or (r.start = b.start and r.period < b.period)))"
+    best = runs.withColumn("best", F.expr(f"aggregate(slice(runs, 2, greatest(size(runs) - 1, 0)), get(runs, 0), (b, r) -> if({better}, r, b))"))
+    return best.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')"), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    done = bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json")).select("doc_id", "tokens.*")
+    return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_kd_shards": op2_kd_shards,
@@ -116,6 +149,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_token_files": op9_token_files,
     "op10_quality": op10_quality,
+    "op11_word_runs": op11_word_runs,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_bpe": op13_bpe,
 }
 
 OP1_SQL = r"""
@@ -144,4 +180,22 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DE
 FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_url_filter": OP1_SQL, "op6_metric_tree": OP6_SQL}
+OP12_SQL = r"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS doc,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+o AS (SELECT lang, source, doc, term, count(*) AS n FROM (SELECT lang, source, doc, unnest(terms) AS term FROM d) GROUP BY ALL),
+kept AS (SELECT lang, term, sum(n)::HUGEINT AS total FROM o GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT lang, source, term, sum(n)::HUGEINT AS n FROM o JOIN kept USING (lang, term) GROUP BY ALL),
+g AS (SELECT d.lang, d.source, coalesce(max(s.n), 0)::HUGEINT AS all_n, coalesce(max(k.v), 0)::HUGEINT AS v, max(k.n)::HUGEINT AS lang_n
+  FROM (SELECT DISTINCT lang, source FROM d) d LEFT JOIN (SELECT lang, source, sum(n) AS n FROM c GROUP BY ALL) s ON s.lang = d.lang AND s.source = d.source
+  LEFT JOIN (SELECT lang, count(*) AS v, sum(total) AS n FROM kept GROUP BY lang) k ON k.lang = d.lang GROUP BY ALL),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (all_n + 5 * v) AS p, 1 + (1000000000::HUGEINT * (total + 5)) // (lang_n + 5 * v) AS q
+  FROM g JOIN kept k ON k.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+apart AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+x AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(max(value), 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN apart y ON y.lang = a.lang AND y.source = a.source AND y.item = b.source GROUP BY ALL
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM x QUALIFY part = 'pair' OR row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) <= 50
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_url_filter": OP1_SQL, "op6_metric_tree": OP6_SQL, "op12_source_divergence": OP12_SQL}
