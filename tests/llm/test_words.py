@@ -1,5 +1,6 @@
 """Runs of words, distances of sources and byte-pair encoding against plain versions of the same."""
 
+import functools
 import hashlib
 import random
 import re
@@ -123,13 +124,17 @@ def test_bpe_query(spark, corpus):
     assert queries.op13_bpe(spark, f"{folder}/none").count() == 0
 
 
+@functools.cache
+def by_library():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(BPE_FILE)
+
+
 @settings(max_examples=400, deadline=None)
 @given(st.one_of(st.text(max_size=60), st.text("abcdeinorst '", max_size=200), st.lists(st.sampled_from(["the", "ing", " ", "  ", "\n", "'re", "==", "aaa", "<|endoftext|>", "é", "0", "-"])).map("".join)))
 def test_bpe_equals_the_library(text):
-    from tokenizers import Tokenizer
-
-    mine = bpe.load(BPE_FILE)
-    library = test_bpe_equals_the_library.__dict__.setdefault("tok", Tokenizer.from_file(BPE_FILE))
+    mine, library = bpe.load(BPE_FILE), by_library()
     ids = library.encode(text, add_special_tokens=False).ids
     assert mine.encode(text).tolist() == ids
     assert mine.decode(ids) == library.decode(ids, skip_special_tokens=False) == text
