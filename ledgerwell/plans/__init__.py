@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules() -> list:
-    from ledgerwell.plans import companies, exchange, household, markets, portfolio, positions, streams, texts
+    from ledgerwell.plans import bronze, companies, exchange, household, markets, portfolio, positions, streams, texts
 
-    return [portfolio, household, markets, positions, texts, streams, exchange, companies]
+    return [portfolio, household, markets, positions, texts, streams, exchange, companies, bronze]
 
 
 def queries() -> dict:
