@@ -7,7 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ledgerwell.functions.money import QTY
+from ledgerwell.functions.storage import new_path
+from ledgerwell.plans.adapters import sql_views, view
 from ledgerwell.streaming import events as st
+from ledgerwell.streaming import stateful, upkeep
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -64,7 +68,7 @@ def once_only_alerts(spark, sf_dir):
 @query("stm09_daily_messages", "SELECT DISTINCT concat('daily:', strftime(ts, '%Y-%m-%d'), ':', event_type) AS message FROM events WHERE value IS NOT NULL")
 def daily_messages(spark, sf_dir):
     key = F.concat(F.lit("daily:"), F.date_format("ts", "yyyy-MM-dd"), F.lit(":"), F.col("event_type"))
-    return st.run_appends(st.once_only(_events(spark, sf_dir), key, F.col("value").isNotNull(), "ts"), "daily")
+    return st.run_appends(st.once_a_period(_events(spark, sf_dir), key, F.col("value").isNotNull(), "ts"), "daily")
 
 
 _LOG = f"SELECT o_custkey, o_orderkey, CASE o_orderkey % 5 {' '.join(f'WHEN {i} THEN {s!r}' for i, s in enumerate(STATES))} END AS state, lag(CASE o_orderkey % 5 {' '.join(f'WHEN {i} THEN {s!r}' for i, s in enumerate(STATES))} END) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS before FROM orders"
@@ -92,3 +96,29 @@ def pending_deliveries(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     now = e.agg(F.max("ts")).first()[0]
     return e.filter((F.col("event_type") == "error") & (F.col("ts") > F.lit(now) - F.expr("interval 24 hours"))).select("event_id")
+
+
+@query("stm10_export_steps")
+def export_steps(spark, sf_dir):
+    state = F.when(F.col("event_type") == "purchase", "Finished").when(F.col("event_type") == "error", "Failed").when(F.col("event_type") == "view", "Running")
+    steps = _events(spark, sf_dir).select(F.col("user_id").cast("string").alias("account_id"), F.col("ts").alias("at"), state.alias("status"), (F.col("event_id") % 4 > 0).alias("has_link"))
+    return st.run_appends(stateful.export_steps(steps), "export-steps")
+
+
+@query("stm06_stories_once")
+def stories_once(spark, sf_dir):
+    e = _events(spark, sf_dir)
+    hour = F.col("ts") - F.expr("make_interval(0, 0, 0, 0, cast(event_id % 30 as int))")
+    items = e.select(F.col("event_id").alias("item_id"), F.concat(F.lit("u"), (F.col("event_id") - F.col("event_id") % 3).cast("string")).alias("canonical"), F.concat(F.lit("t"), (F.col("user_id") % 50).cast("string")).alias("title"), F.when(F.col("event_id") % 40 > 0, hour).alias("ts"), F.col("ts").alias("fetched_at"))
+    return st.run_appends(stateful.stories_once(items), "stories").select("item_id", "title")
+
+
+@query("stm07_late_fills", f"WITH {sql_views('v_fills')}, d AS (SELECT account_id, ticker, day, sum(CASE side WHEN 'BUY' THEN quantity ELSE -quantity END) AS delta FROM v_fills GROUP BY ALL) SELECT account_id, ticker, strftime(day, '%Y-%m-%d') AS day, CAST(sum(delta) OVER (PARTITION BY account_id, ticker ORDER BY day) AS DOUBLE) AS quantity FROM d")
+def late_fills(spark, sf_dir):
+    signed = F.when(F.col("side") == "BUY", F.col("quantity")).otherwise(-F.col("quantity"))
+    trades = view(spark, sf_dir, "v_fills").select("account_id", "ticker", "day", signed.cast(QTY).alias("delta"), F.col("quantity"))
+    late = (F.col("day") >= "1998-03-01") & (F.col("quantity") % 5 == 0)
+    folder = new_path(spark, "levels")
+    upkeep.write_levels(trades.filter(~late).select("account_id", "ticker", "day", "delta"), folder)
+    upkeep.add_late(spark, folder, trades.filter(late).select("account_id", "ticker", "day", "delta"))
+    return upkeep.levels(spark, folder).select("account_id", "ticker", F.date_format("day", "yyyy-MM-dd").alias("day"), F.col("quantity").cast("double").alias("quantity"))
