@@ -1,13 +1,16 @@
 """Sharding by a k-d tree: nodes are split at distributed weighted medians along their widest metadata dimension.
 
-Rows with equal texts form one point of the tree (they go to one shard), unless a group weighs more than a small part of
-a shard; such a group is dealt by row into pieces of that size first. The tree is built level by level for all of its
-nodes at once: one aggregate finds each node's widest dimension, and a few histograms over the digits of a 64-bit sort
-key find the weighted median in it. Only these bounded histograms reach the driver, never rows.
+Rows with equal texts go to one shard, unless a group weighs more than a quarter of a shard; such a group is dealt by row
+into small pieces first. Groups and pieces are the points of the tree. Large whole groups would make its cuts uneven, so
+they are placed first, the largest to the shard with the least so far, and the tree fills the shards up. It is built
+level by level for all of its nodes at once: one aggregate finds each node's widest dimension, and a few histograms over
+the digits of a 64-bit sort key find the weighted median in it. Only these bounded histograms and at most 64 large groups
+a shard reach the driver, never rows.
 """
 
 from __future__ import annotations
 
+import heapq
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,7 +19,9 @@ from pyspark.sql import functions as F
 from ledgerwell.llm.shared import join_small, table_cut
 
 #: The most of a shard's target bytes that one group of equal texts may weigh and still stay whole.
-WHOLE_GROUP = 1 / 64
+WHOLE_GROUP = 1 / 4
+#: Whole groups above this part of a shard are placed before the tree is built: at most so many a shard.
+PLACED_GROUP = 1 / 64
 #: Pieces that the rows of a heavier group are dealt to, for each shard (1024 at least); a piece counts by its own weight.
 PIECES_PER_SHARD = 128
 #: A sort key has 63 bits: a dimension's value scaled to its range on top, a hash below to tell equal values apart.
@@ -41,7 +46,7 @@ def kd_shards(df: DataFrame, group: list[str], weight: str, dims: list[Column],
     Give `shards`, or `target` bytes for a leaf (the shards are then total / target, rounded up). `weight` is a column
     of bytes (null counts as 0), `dims` are numeric metadata columns (null counts as the lowest value), `group` are the
     columns that equal texts share. Rows of a group stay together, nulls being equal, except in groups heavier than
-    `whole` times a leaf. An empty table gives an empty result; repeated rows are kept.
+    `whole` times a leaf (a quarter). An empty table gives an empty result; repeated rows are kept.
     """
     names = [c for c in df.columns if c.lower() != "shard"]
     keep = [F.col(f"`{c}`") for c in names]
@@ -57,17 +62,37 @@ def kd_shards(df: DataFrame, group: list[str], weight: str, dims: list[Column],
     total = parts.agg(F.sum("w")).first()[0] or 0
     n = shards or max(1, -(-total // max(1, target or 1)))
     cap = max(1, int(total / n * whole))
-    heavy = table_cut(parts.groupBy("g").agg(F.sum("w").alias("w"), F.count("*").alias("n")).filter((F.col("w") > cap) & (F.col("n") > 1)).select("g", F.lit(True).alias("heavy")), "kd-heavy")  # at most n / whole groups
+    large = table_cut(parts.groupBy("g").agg(F.sum("w").alias("w"), F.count("*").alias("n")).filter(F.col("w") > min(cap, max(1, int(total / n * PLACED_GROUP)))), "kd-large")
+    heavy = large.filter((F.col("w") > cap) & (F.col("n") > 1)).select("g", F.lit(True).alias("heavy"))  # at most n / whole groups
+    whole_ones = large.filter((F.col("w") <= cap) | (F.col("n") == 1)).select("g", "w")  # at most n / PLACED_GROUP groups
+    first, load = _place(whole_ones, int(n))
     piece = F.when(F.col("heavy"), F.col("sub") + 1).otherwise(F.lit(0)).cast("long").alias("piece")
     points = join_small(parts, heavy, "g").select("g", piece, "w", "d").groupBy("g", "piece").agg(F.sum("w").alias("weight"), F.min("d").alias("d"))
     points = points.withColumn("salt", F.shiftrightunsigned(F.xxhash64("g", "piece", F.lit("kd")), 64 - (KEY_BITS - VALUE_BITS)))
-    placed = _grow(points, len(dims), int(n)).select("g", "piece", "shard")
+    points = join_small(points, first.select("g"), "g", "left_anti")
+    placed = _grow(points, len(dims), load).select("g", "piece", "shard").unionByName(first)
     rows = join_small(rows.select("row", "g", "sub"), heavy, "g").select("row", "g", piece)
     return join_small(rows, placed, ["g", "piece"], "inner").select(*[F.col("row")[c].alias(c) for c in names], "shard")
 
 
-def _grow(points: DataFrame, n_dims: int, shards: int) -> DataFrame:
-    """points with `shard`. Each round splits every node with more than one shard, all in the same jobs."""
+def _place(groups: DataFrame, shards: int) -> tuple[DataFrame, list[int]]:
+    """(g, piece, shard) of whole groups, largest first to the shard with the least so far, and what each shard then has."""
+    rest = [(0, i) for i in range(shards)]
+    out, load = [], [0] * shards
+    for r in groups.orderBy(F.desc("w"), "g").collect():
+        had, i = heapq.heappop(rest)
+        out.append((tuple(r["g"]), 0, i))
+        load[i] = had + r["w"]
+        heapq.heappush(rest, (load[i], i))
+    return groups.sparkSession.createDataFrame(out, "g struct<h1: bigint, h2: bigint>, piece bigint, shard int"), load
+
+
+def _grow(points: DataFrame, n_dims: int, load: list[int]) -> DataFrame:
+    """points with `shard`, so that with the load that they have all shards weigh alike.
+
+    Each round splits every node with more than one shard, all in the same jobs.
+    """
+    shards = len(load)
     lo_hi = points.agg(*[f(F.when(F.col("d")[i] > float("-inf"), F.col("d")[i])).alias(f"{n}{i}") for i in range(n_dims) for n, f in (("lo", F.min), ("hi", F.max))]).first()
     keys = []
     for i in range(n_dims):
@@ -83,7 +108,12 @@ def _grow(points: DataFrame, n_dims: int, shards: int) -> DataFrame:
         level = points.withColumn("node", node_of).filter(F.col("node").isin([k for k, n in leaves.items() if n > 1]))
         spans = level.groupBy("node").agg(*[(F.max(f"k{i}") - F.min(f"k{i}")).alias(f"s{i}") for i in range(n_dims)], F.sum("weight").alias("weight")).collect()
         wide = {r["node"]: max(range(n_dims), key=lambda i: r[f"s{i}"] >> (KEY_BITS - VALUE_BITS)) for r in spans}
-        cuts = _medians(level, wide, {r["node"]: r["weight"] * ((leaves[r["node"]] + 1) // 2) / leaves[r["node"]] for r in spans})
+        wanted = {}
+        for r in spans:
+            node, m = nodes[r["node"]], (leaves[r["node"]] + 1) // 2
+            whole = r["weight"] + sum(load[node.first : node.first + node.shards])
+            wanted[r["node"]] = min(r["weight"], max(0, whole * m / node.shards - sum(load[node.first : node.first + m])))
+        cuts = _medians(level, wide, wanted)
         last = node_of
         for k in [k for k, n in leaves.items() if n > 1]:
             n = leaves.pop(k)

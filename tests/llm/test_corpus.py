@@ -51,6 +51,23 @@ def test_kd_shards_balance_bytes_and_keep_equal_texts(spark):
     assert all(len(s) == 1 for t, s in where.items() if t != "hot") and all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
+def test_kd_shards_keep_copies_whole_up_to_a_quarter_of_a_shard(spark):
+    rng = random.Random(3)
+    # copies of texts from a fiftieth to a quarter of a shard, many small texts, and one group of more than a shard
+    rows = [(f"big{k}", 40) for k in range(14) for _ in range(rng.randrange(10, 120))] + [("hot", 40)] * 900 + [(f"t{k}", rng.randrange(1, 60)) for k in range(5000)]
+    rows = [(i, t, w) for i, (t, w) in enumerate(rows)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, w long")
+    got = kd.kd_shards(df, ["text"], "w", [F.col("w"), F.xxhash64("text") / 1e18], shards=8).collect()
+    size, where, of_text = collections.Counter(), collections.defaultdict(set), collections.Counter()
+    for r in got:
+        size[r.shard] += r.w
+        of_text[r.text] += r.w
+        where[r.text].add(r.shard)
+    leaf = sum(size.values()) / 8
+    assert len(got) == len(rows) and set(size) == set(range(8)) and max(size.values()) < 1.03 * leaf and min(size.values()) > 0.97 * leaf
+    assert all(len(where[t]) == 1 for t, w in of_text.items() if w <= leaf / 4) and sum(leaf / 50 < w <= leaf / 4 for w in of_text.values()) >= 10
+
+
 def test_kd_shards_of_empty_and_targets(spark):
     df = spark.createDataFrame([(1, "a", 10), (2, "b", 10), (3, "c", 10)], "doc_id long, text string, w long")
     assert {r.shard for r in kd.kd_shards(df, ["text"], "w", [F.col("doc_id")], target=10).collect()} == {0, 1, 2}
