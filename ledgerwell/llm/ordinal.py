@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerwell.llm import wordhash as wh
@@ -25,10 +25,14 @@ STEMS = (4, 5)
 FIT_ROWS = 12_000
 #: Steps of the fit and its L2 penalty.
 STEPS, PENALTY = 400, 1e-3
-#: To get a weight, a feature must be in so many sampled documents, and their mean grade so many standard errors off.
-LEAST_ROWS, LEAST_SCORE = 3, 6.0
-#: Features with a weight at most: the ones furthest off. With FIT_ROWS it bounds what the driver holds, however long the texts.
-MOST_FEATURES = 4096
+#: To get a weight, a feature must be in so many sampled documents, and their mean grade so many standard errors off: what
+#: chance alone does to one feature of four hundred. The penalty holds those small.
+LEAST_ROWS, LEAST_SCORE = 2, 3.0
+#: Entries (a feature with a weight in a sampled row) that the fit takes at most, in the order of the sample: a second
+#: bound on labelled rows, for very long texts. It bounds what the driver holds.
+FIT_ENTRIES = 8_000_000
+#: With fewer labelled documents, or all of one grade, nothing is rejected.
+LEAST_LABELS = 40
 
 #: Byte classes: 0 separates, 1 letters and digits (and all of UTF-8 beyond ASCII), 2 marks.
 _CLASSES = np.ones(256, np.uint8)
@@ -41,6 +45,7 @@ class Model:
     weights: np.ndarray
     thresholds: np.ndarray
     rows: int
+    grades: int = 0
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
@@ -112,7 +117,7 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, steps: int =
         theta -= 0.03 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     weights = np.zeros(size, np.float32)
     weights[used] = theta[: len(used)]
-    return Model(weights, theta[len(used)] + np.concatenate(([0], np.cumsum(np.exp(theta[len(used) + 1 :])))), len(rows))
+    return Model(weights, theta[len(used)] + np.concatenate(([0], np.cumsum(np.exp(theta[len(used) + 1 :])))), len(rows), len(np.unique(grades)))
 
 
 def train(docs: DataFrame, grades: DataFrame, doc_id: str = "doc_id", text: str = "text", grade: str = "grade", n_grades: int = 3, bound: int = FIT_ROWS) -> Model:
@@ -140,7 +145,9 @@ def train(docs: DataFrame, grades: DataFrame, doc_id: str = "doc_id", text: str
             kept = [x[np.isin(x, told)] for x in (every[a:b] for a, b in zip(at[:-1], at[1:], strict=True))]
             yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in kept], pa.binary()), batch.column(1), batch.column(2)], names=["f", "grade", "id"])
 
-    found = rows.select("f", "grade", "id").mapInArrow(reduce_to, "f binary, grade int, id long").toArrow().sort_by("id")
+    reduced = rows.select("f", "grade", "id").mapInArrow(reduce_to, "f binary, grade int, id long")
+    so_far = F.sum(F.octet_length("f")).over(Window.orderBy(F.xxhash64("id"), "id"))  # at most `bound` rows
+    found = reduced.withColumn("so_far", so_far).filter(F.col("so_far") <= 4 * FIT_ENTRIES).drop("so_far").toArrow().sort_by("id")
     return fit([np.frombuffer(x, np.int32) for x in found["f"].to_pylist()], found["grade"].to_numpy().astype(np.int64), n_grades)
 
 
@@ -151,8 +158,8 @@ def told_features(rows: DataFrame) -> np.ndarray:
         return np.zeros(0, np.int32)
     sums = rows.select(F.explode("f").alias("feature"), (F.col("grade") - mean).alias("off")).groupBy("feature").agg(F.count("*").alias("n"), F.sum("off").alias("off"))
     off = F.abs(F.col("off")) / F.sqrt("n") / max(spread, 1e-9)
-    best = sums.filter((F.col("n") >= LEAST_ROWS) & (off >= LEAST_SCORE)).orderBy(off.desc(), "feature").limit(MOST_FEATURES)
-    return np.sort(np.array([r["feature"] for r in best.select("feature").collect()], np.int32))
+    told = sums.filter((F.col("n") >= LEAST_ROWS) & (off >= LEAST_SCORE)).select("feature").toArrow()  # at most 2 ** FEATURE_BITS numbers
+    return np.sort(told["feature"].to_numpy().astype(np.int32))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", tail: int | None = None) -> DataFrame:
@@ -183,9 +190,9 @@ def select_good(docs: DataFrame, labels: DataFrame, at_least: float = 0.5) -> Da
     """docs with expected_grade, tail_probability and `kept`.
 
     The grade is quality + (1 - toxic), 0 to 2: 2 is good and clean text. A document is kept if its probability of
-    grade 2 is `at_least`. A document with a label is judged by the model like every other. Without any labelled document
-    nothing is known of the grades, and all documents are kept.
+    grade 2 is `at_least`. A document with a label is judged by the model like every other. With fewer than LEAST_LABELS
+    labelled documents, or with labels of one grade only, too little is known of the grades, and all documents are kept.
     """
     graded = labels.select("doc_id", (F.col("quality") + 1 - F.col("toxic")).alias("grade"))
     model = train(docs, graded)
-    return score(docs, model).withColumn("kept", F.col("tail_probability") >= at_least if model.rows else F.lit(True))
+    return score(docs, model).withColumn("kept", F.col("tail_probability") >= at_least if model.rows >= LEAST_LABELS and model.grades > 1 else F.lit(True))

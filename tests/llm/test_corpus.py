@@ -332,8 +332,40 @@ def test_all_documents_are_kept_without_labels(spark):
     kind = "doc_id long, quality int, toxic int"
     for rows in ([], [(9, 1, 0)], [(1, None, 0), (None, 1, 0)], [(2, 1, 0)]):
         assert [r.kept for r in ordinal.select_good(docs, spark.createDataFrame(rows, kind)).collect()] == [True] * 3, rows
-    marked = ordinal.select_good(docs, spark.createDataFrame([(1, 0, 1)], kind)).collect()
-    assert not any(r.kept for r in marked)
+    # one bad label tells too little
+    assert all(r.kept for r in ordinal.select_good(docs, spark.createDataFrame([(1, 0, 1)], kind)).collect())
+
+
+@pytest.mark.parametrize("labelled", [20, 39, 40, 87])
+def test_few_labels(spark, labelled):
+    rng = random.Random(labelled)
+    good, bad = [f"word{k}" for k in range(400)], ["vile", "rotten", "nasty"]
+    texts, grades = [], []
+    for i in range(300):
+        toxic = i % 4 == 1
+        texts.append(" ".join(rng.choice(good) for _ in range(40)) + (" " + " ".join(bad) if toxic else ""))
+        grades.append(int(toxic))
+    docs = _docs(spark, list(enumerate(texts)))
+    labels = spark.createDataFrame([(i, 1 - x, x) for i, x in enumerate(grades[:labelled])], "doc_id long, quality int, toxic int")
+    kept = {r.doc_id: r.kept for r in ordinal.select_good(docs, labels).collect()}
+    if labelled < ordinal.LEAST_LABELS:
+        assert all(kept.values())
+    else:
+        held_out = range(labelled, 300)
+        assert sum(kept[i] for i in held_out if not grades[i]) >= 0.98 * sum(not grades[i] for i in held_out)
+        assert not any(kept[i] for i in held_out if grades[i])
+    only_good = labels.filter("toxic = 0").unionByName(spark.createDataFrame([(i, 1, 0) for i in range(100, 200)], labels.schema))
+    assert all(r.kept for r in ordinal.select_good(docs, only_good).collect())
+
+
+def test_entries_of_the_fit_are_bounded_by_whole_rows(spark, monkeypatch):
+    rows = [(i, " ".join(["same", f"w{i % 5}", "bad" if i % 3 == 0 else "fine"])) for i in range(120)]
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(120)], "doc_id long, quality int, toxic int")
+    graded = labels.select("doc_id", (F.col("quality") + 1).alias("grade"))
+    whole = ordinal.train(_docs(spark, rows), graded)
+    monkeypatch.setattr(ordinal, "FIT_ENTRIES", 150)
+    part = ordinal.train(_docs(spark, rows), graded)
+    assert whole.rows == 120 and 0 < part.rows < 120
 
 
 def test_top_k_matches_brute_force(spark):
