@@ -35,6 +35,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def file_states(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """(name, size, time of change) of the files at a path, in order: another table there has other ones."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(target)
+    fs, out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), []
+    for top in found or []:
+        for s in fs.listStatus(top.getPath()) if top.isDirectory() else [top]:
+            out.append((s.getPath().toString(), s.getLen(), s.getModificationTime()))
+    return sorted(out)
+
+
 def _drop(spark: SparkSession, path: str) -> None:
     if spark.sparkContext._jvm is None or spark.sparkContext._jsc is None:
         return

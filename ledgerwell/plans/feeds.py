@@ -12,6 +12,7 @@ from ledgerwell.functions.storage import new_path
 from ledgerwell.operators import feeds as fd
 from ledgerwell.operators import instruments as ins
 from ledgerwell.plans.adapters import START, sql_views, view
+from ledgerwell.sources import config as cf
 from ledgerwell.sources import scans
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -154,3 +155,18 @@ def prices_between(spark, sf_dir):
 def prices_of_ticker(spark, sf_dir):
     rows = scans.of_keys(spark, _price_table(spark, sf_dir), "ticker", "Brand#12", "Brand#33").filter(F.col("price_date") >= F.lit(START).cast("date"))
     return rows.groupBy("ticker").agg(F.count("*").alias("days"), F.max("close_price").cast("double").alias("highest"), F.date_format(F.min("price_date"), "yyyy-MM-dd").alias("first_day"))
+
+
+@query("src15_feed_entries", """WITH c AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 50 = 7 THEN concat('twice ', c_custkey // 100) ELSE concat('feed ', c_custkey) END AS key FROM customer), n AS (SELECT key, count(*) AS n FROM c GROUP BY key)
+SELECT k, CASE k % 9 WHEN 0 THEN 'unknown field colour' WHEN 1 THEN 'label is of another type' WHEN 2 THEN 'needs exactly one of url and url_template' WHEN 3 THEN 'url must be http or https' WHEN 4 THEN 'url_template must contain a placeholder' ELSE CASE WHEN n > 1 THEN 'key is there more than once' END END AS fault FROM c JOIN n USING (key)""")
+def feed_entries(spark, sf_dir):
+    k = F.col("c_custkey")
+    line = lambda name, value: F.concat(F.lit(f"    {name}: "), value, F.lit("\n"))
+    address = F.when(k % 9 == 2, "").when(k % 9 == 3, line("url", F.lit("ftp://x"))).when(k % 9 == 4, line("url_template", F.lit("https://x/none"))).when(k % 9 < 7, line("url_template", F.lit("'https://x/{ticker}'"))).otherwise(line("url", F.lit("https://x")))
+    key = F.when(k % 50 == 7, F.concat(F.lit("twice "), F.expr("c_custkey div 100").cast("string"))).otherwise(F.concat(F.lit("feed "), k.cast("string")))
+    entry = F.concat(F.lit("  - key: "), key, F.lit("\n"), line("label", F.when(k % 9 == 1, "12").otherwise("Name")), line("user_agent", F.concat(F.lit("no "), k.cast("string"))), address, F.when(k % 9 == 0, line("colour", F.lit("red"))).otherwise(""))
+    files = _table(spark, sf_dir, "customer").groupBy(F.expr("c_custkey div 100").alias("chunk")).agg(F.concat(F.lit("feeds:\n"), F.array_join(F.array_sort(F.collect_list(entry)), "")).alias("value"))
+    path = new_path(spark, "feeds")
+    files.write.partitionBy("chunk").text(path)
+    rows = cf.judged(cf.read_entries(spark, path, "feeds"), "feeds")
+    return rows.select(F.substring_index("user_agent", " ", -1).cast("long").alias("k"), "fault")
