@@ -24,7 +24,7 @@ def shared_root(spark: SparkSession) -> str:
 def new_path(spark: SparkSession, name: str) -> str:
     """A path of its own in the shared folder, deleted when the driver ends."""
     path = f"{shared_root(spark)}/ledgerwell-{name}-{uuid.uuid4().hex}"
-    atexit.register(_drop, spark, path)
+    atexit.register(drop_path, spark, path)
     return path
 
 
@@ -46,7 +46,12 @@ def file_states(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
     return sorted(out)
 
 
-def _drop(spark: SparkSession, path: str) -> None:
+def files_of(spark: SparkSession, path: str) -> list[str]:
+    """The files in the folders that a pattern names; none if it names none."""
+    return [name for name, _, _ in file_states(spark, path)]
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
     if spark.sparkContext._jvm is None or spark.sparkContext._jsc is None:
         return
     try:

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules() -> list:
-    from ledgerwell.plans import bronze, companies, exchange, feeds, household, markets, messages, portfolio, positions, streams, texts
+    from ledgerwell.plans import accounts, bronze, companies, exchange, feeds, household, markets, messages, portfolio, positions, streams, texts
 
-    return [portfolio, household, markets, positions, texts, streams, exchange, companies, bronze, feeds, messages]
+    return [portfolio, household, markets, positions, texts, streams, exchange, companies, bronze, feeds, messages, accounts]
 
 
 def queries() -> dict:

@@ -89,7 +89,7 @@ def feed_items(spark, sf_dir):
     safe = lambda c: F.replace(F.replace(F.col(c), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
     link = F.when(F.col("news_id") % 9 == 0, "ftp://x").otherwise(F.concat(F.lit("https://x.org/?a=1&amp;id="), F.col("news_id").cast("string")))
     item = F.concat(F.lit("<item><title>"), safe("headline"), F.lit("</title><link>"), link, F.lit("</link>"), F.coalesce(F.concat(F.lit("<pubDate>"), "published", F.lit("</pubDate>")), F.lit("")), F.lit("</item>"))
-    bodies = n.groupBy("company_id").agg(F.concat(F.lit("<?xml version='1.0'?><rss><channel><title>T</title>"), F.array_join(F.collect_list(item), ""), F.lit("</channel></rss>")).alias("body"))
+    bodies = n.groupBy("company_id", F.expr("news_id div 1000").alias("chunk")).agg(F.concat(F.lit("<?xml version='1.0'?><rss><channel><title>T</title>"), F.array_join(F.collect_list(item), ""), F.lit("</channel></rss>")).alias("body"))
     return raw.feed_items(bodies, "body", 100_000).select("company_id", "headline", "published")
 
 
@@ -135,7 +135,7 @@ def service_items(spark, sf_dir):
     n = view(spark, sf_dir, "v_news")
     link = F.when(F.col("news_id") % 9 == 0, "ftp://x").otherwise(F.concat(F.lit("HTTPS://x.org/"), F.col("news_id").cast("string")))
     item = F.struct(F.when(F.col("news_id") % 8 != 0, F.concat(F.col("headline"), F.lit(" "))).alias("title"), link.alias("url"), F.when(F.col("news_id") % 2 == 0, "said").otherwise("").alias("description"), F.lit("cut").alias("snippet"), F.col("published").alias("published_at"))
-    bodies = n.groupBy("company_id").agg(F.to_json(F.struct(F.collect_list(item).alias("data"))).alias("body"))
+    bodies = n.groupBy("company_id", F.expr("news_id div 1000").alias("chunk")).agg(F.to_json(F.struct(F.collect_list(item).alias("data"))).alias("body"))
     return raw.news_items(bodies, "body", 100_000).select("company_id", "headline", "summary", "published")
 
 
@@ -176,17 +176,20 @@ def _reports(spark, sf_dir) -> DataFrame:
     country = F.when(F.col("l_linenumber") == 3, "").otherwise(F.col("p_type"))
     item = F.concat(F.lit("<invstOrSec>"), tag("name", F.col("p_brand")), tag("lei", lei), tag("cusip", F.lit("000000000")), tag("pctVal", F.col("l_tax").cast("string")), tag("invCountry", country), F.lit('<identifiers><isin value="US1"/></identifiers></invstOrSec>'))
     head = F.lit('<?xml version="1.0"?><edgarSubmission xmlns="http://www.sec.gov/edgar/nport"><formData><genInfo><repPdDate>2024-03-31</repPdDate></genInfo><invstOrSecs>')
-    return x.groupBy((F.col("l_suppkey") % 20).alias("fund")).agg(F.concat(head, F.array_join(F.collect_list(item), ""), F.lit("</invstOrSecs></formData></edgarSubmission>")).alias("body"))
+    # a fund reports in parts of bounded size
+    return x.groupBy((F.col("l_suppkey") % 20).alias("fund"), F.expr("l_orderkey div 4096").alias("part")).agg(F.concat(head, F.array_join(F.collect_list(item), ""), F.lit("</invstOrSecs></formData></edgarSubmission>")).alias("body"))
 
 
 @query("src19_fund_holdings", f"WITH {_REPORTED} SELECT fund, coalesce(lei, name) AS issuer, name, DATE '2024-03-31' AS report_date, 'US1' AS isin, round(sum(pct), 6) AS pct FROM x GROUP BY ALL")
 def fund_holdings(spark, sf_dir):
-    return raw.fund_holdings(_reports(spark, sf_dir), "body").select("fund", "issuer", "name", "report_date", "isin", F.round("pct", 6).alias("pct"))
+    parts = raw.fund_holdings(_reports(spark, sf_dir), "body")
+    return parts.groupBy("fund", "issuer", "name", "report_date", "isin").agg(F.round(F.sum("pct"), 6).alias("pct"))
 
 
 @query("src19_fund_countries", f"WITH {_REPORTED} SELECT fund, country, round(sum(pct), 6) AS pct, count(*) AS holdings FROM x GROUP BY ALL")
 def fund_countries(spark, sf_dir):
-    return raw.fund_countries(_reports(spark, sf_dir), "body").withColumn("pct", F.round("pct", 6))
+    parts = raw.fund_countries(_reports(spark, sf_dir), "body")
+    return parts.groupBy("fund", "country").agg(F.round(F.sum("pct"), 6).alias("pct"), F.sum("holdings").alias("holdings"))
 
 
 @query("prj07_provider_symbols", "WITH s AS (SELECT p_partkey, concat(p_brand, CASE p_partkey % 5 WHEN 0 THEN '.L' WHEN 1 THEN '.de' WHEN 2 THEN '.XX' WHEN 3 THEN '-B' ELSE '' END) AS s, replace(p_brand, '.', '') AS b, p_partkey % 5 AS m FROM part) SELECT p_partkey, CASE m WHEN 0 THEN b ELSE s END AS plain, CASE m WHEN 0 THEN 'LSE' END AS plain_exchange, CASE m WHEN 0 THEN b || '.LON' ELSE s END AS suffixed, CASE m WHEN 0 THEN b || '.LSE' WHEN 1 THEN b || '.XETRA' WHEN 2 THEN NULL ELSE s || '.US' END AS coded FROM s")

@@ -83,10 +83,10 @@ def company_facts(raw: DataFrame, body: str, concepts: tuple[str, ...], unit: st
     return one.join(latest, [*keys, "concept"]).select(*keys, "concept", "start", "end", "l.val", "l.filed")
 
 
-def feed_items(raw: DataFrame, body: str, most: int = 50) -> DataFrame:
+def feed_items(raw: DataFrame, body: str, most: int = 2**31 - 1) -> DataFrame:
     """raw with headline, url, published and summary of the items of an RSS or Atom body: those with a headline and an http link.
 
-    A body that is no XML has no items. `most` items of a body are taken, in its order: a feed's cap.
+    A body that is no XML has no items. `most` items of a body are taken, in its order, if a feed is to have a cap.
     """
     inside = F.regexp_extract_all(F.regexp_replace(F.col(body), r"(?s)<!DOCTYPE[^>\[]*(\[.*?\])?[^>]*>|<!--.*?-->", ""), F.lit(r"(?s)<(item|entry)(?:\s[^>]*)?>(.*?)</\1>"), F.lit(2))
     tag = lambda x, names: F.regexp_extract(x, rf"(?s)<(?:{names})(?:\s[^>]*)?>\s*(?:<!\[CDATA\[)?(.*?)(?:\]\]>)?\s*</(?:{names})>", 1)
@@ -97,7 +97,7 @@ def feed_items(raw: DataFrame, body: str, most: int = 50) -> DataFrame:
     return raw.withColumn("i_", F.explode(usable)).select(*[c for c in raw.columns if c != body], "i_.*")
 
 
-def news_items(raw: DataFrame, body: str, most: int = 50) -> DataFrame:
+def news_items(raw: DataFrame, body: str, most: int = 2**31 - 1) -> DataFrame:
     """raw with headline, url, published and summary of the items of a JSON body ({"data": [...]}) of a news service.
 
     Items without a title or an http address are left out, after `most` items of a body were taken in its order; the
