@@ -103,8 +103,15 @@ def recurring_charges(spark, sf_dir):
     return pl.recurring(card, ["user_id", "merchant"], "2024-02-01")
 
 
-@query("sim01_value_ranges")
+_DRAW = "CAST(xor(u, u >> 14) AS DOUBLE) / 4294967296.0 FROM (SELECT xor(t, (t + (xor(t, t >> 7) * (t | 61) & 4294967295)) & 4294967295) AS u FROM (SELECT (xor(s, s >> 15) * (s | 1)) & 4294967295 AS t FROM (SELECT CAST(({seed} + ({k} + 1) * {step}) & 4294967295 AS UBIGINT) AS s)))"
+_SIM = f"""WITH p AS (SELECT n_nationkey, n_nationkey * 1000.0::DOUBLE AS start, n_nationkey / 300.0::DOUBLE AS yearly, CAST(0.15 AS DOUBLE) / sqrt(12) AS sigma FROM nation),
+d AS (SELECT i AS path, m, greatest((SELECT {_DRAW.format(seed=pl.SEED, step=pl.STEP, k=f'(2 * ((m - 1) * {pl.PATHS} + i))')}), 1e-12) AS u, (SELECT {_DRAW.format(seed=pl.SEED, step=pl.STEP, k=f'(2 * ((m - 1) * {pl.PATHS} + i) + 1)')}) AS v FROM range({pl.PATHS}) a(i), range(1, 61) b(m)),
+g AS (SELECT n_nationkey, path, m, start, sum(ln(1 + yearly) / 12 - sigma * sigma / 2 + sigma * sqrt(-2 * ln(u)) * cos(2 * pi() * v)) OVER (PARTITION BY n_nationkey, path ORDER BY m) AS lg FROM p, d),
+w AS (SELECT n_nationkey, m AS month, start, exp(lg) * start + 100 * exp(lg) * sum(exp(-lg)) OVER (PARTITION BY n_nationkey, path ORDER BY m) AS val FROM g UNION ALL SELECT n_nationkey, 0, start, start FROM p, range({pl.PATHS}))"""
+
+
+@query("sim01_value_ranges", f"{_SIM} SELECT n_nationkey, CAST(month AS INTEGER) AS month, round(quantile_cont(val, 0.1), 2) AS low, round(quantile_cont(val, 0.5), 2) AS median, round(quantile_cont(val, 0.9), 2) AS high, any_value(start) + 100.0 * month AS contributed FROM w GROUP BY n_nationkey, month")
 def value_ranges(spark, sf_dir):
     c = spark.read.parquet(f"{sf_dir}/nation.parquet")
     plans = c.select("n_nationkey", (F.col("n_nationkey") * 1000).alias("start"), F.lit(100).alias("monthly"), (F.col("n_nationkey") / 300).alias("yearly"), F.lit(0.15).alias("volatility"), F.lit(5).alias("years"))
-    return pl.value_ranges(plans, "n_nationkey")
+    return pl.value_ranges(plans, "n_nationkey").withColumns({c: F.round(c, 2) for c in ("low", "median", "high")})

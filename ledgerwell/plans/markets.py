@@ -129,10 +129,19 @@ def returns_factors(spark, sf_dir):
     return mk.factor_rows(rt.daily_twr(_nav(spark, sf_dir)), _factors(spark, sf_dir)).select("account_id", "as_of_date", r("y", 8), r("mkt_rf", 8), r("mom", 8))
 
 
-@query("agg21_factor_model")
+_TERMS = ("1.0", *mk.FACTORS)
+#: The normal equations of each account, solved by elimination, a column a step.
+_LEAST_SQUARES = f"""x AS (SELECT t.account_id, t.r - rf AS y, {', '.join(mk.FACTORS)} FROM twr t JOIN fct ON fct.d = t.as_of_date WHERE mom IS NOT NULL),
+eq AS (SELECT account_id, count(*) AS n, sum(y * y) AS yy, sum(y) AS sy, [{', '.join('[' + ', '.join(f'sum({a} * {b})' for b in (*_TERMS, 'y')) + ']' for a in _TERMS)}] AS m FROM x GROUP BY ALL),
+g AS (SELECT account_id, 1 AS k, m FROM eq UNION ALL SELECT account_id, k + 1, list_transform(m, lambda w, i: CASE WHEN i = k THEN list_transform(w, lambda z: z / m[k][k]) ELSE list_transform(w, lambda z, j: z - w[k] * m[k][j] / m[k][k]) END) FROM g WHERE k <= {len(_TERMS)}),
+b AS (SELECT account_id, list_transform(m, lambda w: w[{len(_TERMS) + 1}]) AS b FROM g WHERE k = {len(_TERMS) + 1}),
+lsq AS (SELECT account_id, n, b, 1 - (yy - list_sum(list_transform(b, lambda z, i: z * m[i][{len(_TERMS) + 1}]))) / (yy - sy * sy / n) AS r2 FROM eq JOIN b USING (account_id))"""
+
+
+@query("agg21_factor_model", f"WITH RECURSIVE {pf.NAV}, {_FACTORS}, {_LEAST_SQUARES} SELECT account_id, n, CASE WHEN n >= {mk.LEAST_FACTOR_ROWS} THEN 'ok' ELSE 'insufficient_data' END AS status, " + ", ".join(f"CASE WHEN n >= {mk.LEAST_FACTOR_ROWS} THEN round({x}, 5) END AS {c}" for c, x in [("alpha", "b[1]"), *[(f, f"b[{i + 2}]") for i, f in enumerate(mk.FACTORS)], ("r2", "r2")]) + " FROM lsq")
 def factor_model(spark, sf_dir):
     rows = mk.factor_rows(rt.daily_twr(_nav(spark, sf_dir)), _factors(spark, sf_dir))
-    return mk.factor_model(rows, ["account_id"]).select("account_id", "n", "status", *[r(c, 8) for c in ("alpha", *mk.FACTORS, "r2")])
+    return mk.factor_model(rows, ["account_id"]).select("account_id", "n", "status", *[r(c, 5) for c in ("alpha", *mk.FACTORS, "r2")])
 
 
 @query("agg21_one_factor", f"WITH {pf.NAV}, {_FACTORS} SELECT t.account_id, count(*) AS n, round(regr_slope(t.r - rf, mkt_rf), 5) AS mkt_rf, round(regr_intercept(t.r - rf, mkt_rf), 6) AS alpha, round(regr_r2(t.r - rf, mkt_rf), 6) AS r2 FROM twr t JOIN fct ON fct.d = t.as_of_date WHERE mom IS NOT NULL GROUP BY ALL")
