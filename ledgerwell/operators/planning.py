@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from bisect import insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,15 +32,20 @@ def amount_clusters(charges: DataFrame, keys: list[str]) -> DataFrame:
 
     def assign(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["ts", "amount"], kind="stable")
-        members: list[list[float]] = []
+        # each cluster's amounts in order, so that its median is read from their middle
+        ordered: list[list[float]] = []
+        middles = np.zeros(0)
         found = np.empty(len(pdf), dtype=np.int32)
-        for i, amount in enumerate(pdf["amount"].to_numpy()):
-            medians = (float(np.median(m)) for m in members)
-            home = next((c for c, m in enumerate(medians) if abs(amount - m) <= m * SAME_AMOUNT), len(members))
-            if home == len(members):
-                members.append([])
-            members[home].append(amount)
-            found[i] = home
+        for i, amount in enumerate(pdf["amount"].tolist()):
+            near = np.flatnonzero(np.abs(amount - middles) <= middles * SAME_AMOUNT)
+            found[i] = home = int(near[0]) if len(near) else len(ordered)
+            if home == len(ordered):
+                ordered.append([])
+                middles = np.append(middles, 0.0)
+            mine = ordered[home]
+            insort(mine, amount)
+            half = len(mine) // 2
+            middles[home] = mine[half] if len(mine) % 2 else (mine[half - 1] + mine[half]) / 2
         return pdf.assign(cluster=found)
 
     rows = charges.drop("cluster")

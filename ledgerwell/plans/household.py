@@ -97,10 +97,26 @@ def future_value(spark, sf_dir):
 
 
 
-@query("agg28_recurring_charges")
+#: Charges one after another: each joins the first cluster whose median is about its amount.
+_CLUSTERS = f"""c AS (SELECT user_id, merchant, ts, CAST(spent AS DOUBLE) AS a, row_number() OVER (PARTITION BY user_id, merchant ORDER BY ts, spent) AS rn FROM v_card WHERE spent > 0),
+s AS (SELECT DISTINCT user_id, merchant, CAST(0 AS BIGINT) AS rn, CAST([] AS DOUBLE[][]) AS cl, CAST(0 AS BIGINT) AS home FROM c UNION ALL
+  SELECT user_id, merchant, c_rn, CASE WHEN h > len(cl) THEN list_append(cl, [a]) ELSE list_transform(cl, lambda x, i: CASE WHEN i = h THEN list_append(x, a) ELSE x END) END, h
+  FROM (SELECT s.user_id, s.merchant, s.cl, c.rn AS c_rn, c.a, coalesce(nullif(list_position(list_transform(s.cl, lambda x: abs(c.a - list_aggregate(x, 'median')) <= list_aggregate(x, 'median') * {pl.SAME_AMOUNT}), true), 0), len(s.cl) + 1) AS h FROM s JOIN c ON c.user_id = s.user_id AND c.merchant = s.merchant AND c.rn = s.rn + 1)),
+m AS (SELECT c.*, home, epoch_us(ts) / 86400e6 AS day FROM c JOIN s USING (user_id, merchant, rn)),
+gp AS (SELECT *, day - lag(day) OVER (PARTITION BY user_id, merchant, home ORDER BY ts, a) AS gap FROM m),
+k AS (SELECT user_id, merchant, home, count(*) AS n, median(gap) AS beat, min(gap) AS least, list(gap) FILTER (gap IS NOT NULL) AS gaps, list(a ORDER BY ts, a) AS amounts, min(ts) AS first, max(ts) AS last FROM gp GROUP BY ALL HAVING count(*) >= 2),
+q AS (SELECT *, amounts[-1] AS latest, amounts[-2] AS before, epoch_us(TIMESTAMP '2024-02-01') / 86400e6 AS now_day, CASE {' '.join(f"WHEN beat BETWEEN {lo} AND {hi} THEN '{name}'" for lo, hi, name, _ in pl.CADENCES)} ELSE concat('Every ~', CAST(floor(beat + 0.5) AS BIGINT), ' days') END AS cadence,
+  CASE {' '.join(f"WHEN beat BETWEEN {lo} AND {hi} THEN CAST({rate!r} AS DOUBLE)" for lo, hi, _, rate in pl.CADENCES)} ELSE {pl.DAYS_PER_MONTH} / beat END AS rate FROM k
+  WHERE least >= {pl.LEAST_GAP} AND CASE WHEN n = 2 THEN beat BETWEEN 26 AND 35 OR beat BETWEEN 340 AND 390 ELSE beat BETWEEN {pl.REGULAR_GAPS[0]} AND {pl.REGULAR_GAPS[1]} AND len(list_filter(gaps, lambda z: abs(z - beat) <= beat * {pl.OFF_BEAT})) >= ceil((n - 1) * {pl.REGULAR_SHARE}) END)"""
+
+
+@query("agg28_recurring_charges", f"""WITH RECURSIVE {sql_views('v_card')}, {_CLUSTERS} SELECT user_id, merchant, cadence, round(beat, 6) AS interval_days, round(latest, 2) AS amount, CASE WHEN abs(latest - before) >= 0.01 THEN round(before, 2) END AS previous_amount, floor(latest * rate * 100 + 0.5) / 100 AS monthly_cost, n,
+ strftime(first, '%Y-%m-%d %H:%M:%S') AS first, strftime(last, '%Y-%m-%d %H:%M:%S') AS last, strftime(CASE cadence WHEN 'Monthly' THEN date_trunc('month', last) + INTERVAL 1 MONTH + (last - date_trunc('month', last)) WHEN 'Yearly' THEN date_trunc('month', last) + INTERVAL 12 MONTH + (last - date_trunc('month', last)) ELSE last + CAST(floor(beat * 86400000) AS BIGINT) * INTERVAL '1' MILLISECOND END, '%Y-%m-%d %H:%M:%S') AS next,
+ CASE WHEN now_day - epoch_us(last) / 86400e6 > beat * {pl.OVERDUE} THEN 'lapsed' WHEN latest > before * {pl.DEARER} THEN 'price-up' WHEN n = 2 AND now_day - epoch_us(first) / 86400e6 < beat * {pl.YOUNG} THEN 'new' ELSE 'active' END AS status FROM q""")
 def recurring_charges(spark, sf_dir):
     card = view(spark, sf_dir, "v_card").select("user_id", "merchant", "ts", F.col("spent").cast("double").alias("amount"))
-    return pl.recurring(card, ["user_id", "merchant"], "2024-02-01")
+    found = pl.recurring(card, ["user_id", "merchant"], "2024-02-01").withColumn("interval_days", F.round("interval_days", 6))
+    return found.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("first", "last", "next")})
 
 
 _DRAW = "CAST(xor(u, u >> 14) AS DOUBLE) / 4294967296.0 FROM (SELECT xor(t, (t + (xor(t, t >> 7) * (t | 61) & 4294967295)) & 4294967295) AS u FROM (SELECT (xor(s, s >> 15) * (s | 1)) & 4294967295 AS t FROM (SELECT CAST(({seed} + ({k} + 1) * {step}) & 4294967295 AS UBIGINT) AS s)))"
