@@ -106,13 +106,29 @@ def correlations(returns: DataFrame) -> DataFrame:
 
 
 def average_linkage(names: list[str], distance: np.ndarray, cut: float) -> list[int]:
-    """Cluster numbers of names: the two nearest clusters (mean distance of their members) merge until none is nearer than cut."""
-    groups = [[i] for i in range(len(names))]
-    while len(groups) > 1:
-        best = min(((distance[np.ix_(a, b)].mean(), i, j) for i, a in enumerate(groups) for j, b in enumerate(groups) if i < j), key=lambda x: x)
-        if best[0] > cut:
+    """Cluster numbers of names: the two nearest clusters (mean distance of their members) merge until none is nearer than cut.
+
+    Of equal distances the first clusters merge. A merge is a few operations on the matrix of mean distances, which is as
+    large as the pairs of holdings given; an account's holdings are hundreds at most.
+    """
+    n = len(names)
+    members: dict[int, list[int]] = {i: [i] for i in range(n)}
+    mean = np.where(np.triu(np.ones((n, n), bool), 1), distance, np.inf)  # of each two clusters, the lower number first
+    nearest = mean.min(axis=1) if n else np.zeros(0)
+    while len(members) > 1:
+        i = int(nearest.argmin())
+        j = int(mean[i].argmin())
+        if mean[i, j] > cut:
             break
-        groups[best[1]] = sorted(groups[best[1]] + groups.pop(best[2]))
+        a, b = len(members[i]), len(members[j])
+        to_i, to_j = np.minimum(mean[i], mean[:, i]), np.minimum(mean[j], mean[:, j])
+        both = (a * to_i + b * to_j) / (a + b)
+        members[i] += members.pop(j)
+        mean[j, :] = mean[:, j] = np.inf
+        both[[i, j]] = np.inf
+        mean[i, i + 1 :], mean[:i, i] = both[i + 1 :], both[:i]
+        nearest = mean.min(axis=1)
+    groups = list(members.values())
     groups.sort(key=lambda g: min(names[i] for i in g))
     number = {i: k for k, g in enumerate(groups) for i in g}
     return [number[i] for i in range(len(names))]

@@ -56,3 +56,30 @@ def test_streams_go_on_with_new_files(spark, tmp_path):
     assert sorted((r.k, r.window_start.day, r.total, r.n) for r in sums.collect()) == [("a", 1, 3.0, 2), ("a", 2, 8.0, 1), ("b", 3, 4.0, 1)]
     once = st.run_appends(st.once_only(events, F.col("k"), F.col("v") > 1, "ts"), "once")
     assert sorted(r.message for r in once.collect()) == ["a", "b"]
+
+
+def _linked_plainly(names, distance, cut):
+    groups = [[i] for i in range(len(names))]
+    while len(groups) > 1:
+        pairs = [(distance[np.ix_(a, b)].mean(), i, j) for i, a in enumerate(groups) for j, b in enumerate(groups) if i < j]
+        best = min(pairs)
+        if best[0] > cut:
+            break
+        groups[best[1]] = groups[best[1]] + groups.pop(best[2])
+    return {frozenset(names[i] for i in g) for g in groups}
+
+
+def test_average_linkage_against_means_of_all_pairs():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 2, 7, 25, 40):
+        d = rng.random((n, n))
+        d = (d + d.T) / 2
+        np.fill_diagonal(d, 0)
+        names = [f"t{i:02}" for i in range(n)]
+        for cut in (0.2, 0.45, 0.6, 2):
+            found = mk.average_linkage(names, d, cut)
+            groups = {}
+            for name, k in zip(names, found, strict=True):
+                groups.setdefault(k, set()).add(name)
+            assert {frozenset(g) for g in groups.values()} == _linked_plainly(names, d, cut)
+            assert [min(groups[k]) for k in sorted(groups)] == sorted(min(g) for g in groups.values())
