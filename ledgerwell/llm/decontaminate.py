@@ -3,7 +3,8 @@
 A window of a text has as many words as a benchmark item. Only windows that hold a five-word shingle of an item of their
 size are looked at, as any other has similarity 0 to all of them, and of these only windows without too many shingles of
 no item. Windows and items get a 64-bit SimHash of their words. Every pair within the radius is then checked by the exact
-weighted similarity of its shingles.
+weighted similarity of its shingles. A fingerprint counts words and the similarity distinct shingles, which fall apart
+where shingles repeat; so windows and items that repeat a shingle are checked exactly whatever their fingerprints are.
 """
 
 from __future__ import annotations
@@ -110,6 +111,19 @@ def _near(prints: np.ndarray, others: np.ndarray) -> Iterator[tuple[int, int]]:
             yield at + i, j
 
 
+def _pairs(prints: np.ndarray, others: np.ndarray, loose: np.ndarray, loose_others: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Pairs to be checked exactly: those near by their fingerprints, and all with a window or an item that repeats shingles."""
+    firm, firm_others = np.flatnonzero(~loose), np.flatnonzero(~loose_others)
+    for i, j in _near(prints[firm], others[firm_others]):
+        yield int(firm[i]), int(firm_others[j])
+    for i in np.flatnonzero(loose).tolist():
+        for j in range(len(others)):
+            yield i, j
+    for j in np.flatnonzero(loose_others).tolist():
+        for i in firm.tolist():
+            yield i, j
+
+
 def _possible(starts: np.ndarray, n: int, foreign: np.ndarray, again: np.ndarray) -> np.ndarray:
     """Those of the starts whose window of n words can be similar enough to an item.
 
@@ -165,7 +179,10 @@ def leaks_of(word_hashes: np.ndarray, run: np.ndarray, items: Items) -> list[dic
             sums = np.zeros((hi - lo + 1, 64), np.int32)
             np.cumsum(_bits(word_hashes[lo:hi]), axis=0, out=sums[1:])
             prints = _pack(sums[np.minimum(part + n, m) - lo] - sums[part - lo])
-            for w, k in _near(prints, items.prints[mine]):
+            k = max(1, n - SHINGLE + 1)
+            repeats = np.concatenate(([0], np.cumsum(again < k)))
+            ends = np.minimum(part + k, len(run))
+            for w, k in _pairs(prints, items.prints[mine], repeats[ends] > repeats[part], np.array([len(items.sets[i]) < n - SHINGLE + 1 for i in mine])):
                 start, item = int(part[w]), int(mine[k])
                 window = np.unique(run[start : max(start + 1, min(start + n, m) - SHINGLE + 1)])
                 s = similarity(items, window, items.sets[item])

@@ -276,6 +276,50 @@ def test_windows_left_out_early_are_never_similar():
     assert {(d, i) for d, t in texts for i in _leaks_in(t, ready)} == set(_brute_leaks(texts, items))
 
 
+def test_repeating_windows_and_items_are_found_like_brute_force():
+    rng = random.Random(25)
+    items, texts = [], []
+    for k in range(200):
+        w, r = _prose(rng, 16, 50_000), _prose(rng, 1, 50_000)
+        # equal lengths, similarity 0.81, but very different counts of words
+        items.append((k, " ".join(w + r * 53)))
+        texts.append((k, " ".join(w * 4 + r * 5)))
+    ready = dc.prepare(*map(list, zip(*items)))
+    got = {(d, i) for d, t in texts for i in _leaks_in(t, ready)}
+    assert got == {(d, i) for d, t in texts for d, i in _brute_leaks([(d, t)], [items[d]])} and len(got) == 200
+    apart = [int(np.bitwise_count(dc.prepare([0], [t]).prints[0] ^ ready.prints[d])) for d, t in texts]
+    assert max(apart) > dc.RADIUS  # fingerprints alone would lose some
+
+
+def test_edited_passages_of_many_sizes_are_found_like_brute_force():
+    rng = random.Random(26)
+    items, texts = [], []
+    for k in range(400):
+        w = _prose(rng, rng.randint(5, 60), rng.choice([30, 50_000]))
+        items.append((k, " ".join(w)))
+        w = list(w)
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randrange(len(w))
+            edit = rng.choice(["insert", "delete", "change", "repeat", "end"])
+            if edit == "insert":
+                w.insert(at, "new")
+            elif edit == "delete" and len(w) > 1:
+                del w[at]
+            elif edit == "change":
+                w[at] = "other"
+            elif edit == "repeat":
+                w[at:at] = w[max(0, at - 3) : at]
+            else:
+                w = w[: max(1, len(w) - 2)] + _prose(rng, 2, 50_000)
+        texts.append((k, " ".join([*_prose(rng, 5, 50_000), *w, *_prose(rng, 5, 50_000)])))
+    ready = dc.prepare(*map(list, zip(*items)))
+    got = {(d, d) for d, t in texts if d in _leaks_in(t, ready)}
+    of = {d: _brute_leaks([(d, t)], [items[d]]) for d, t in texts}
+    # weights are those of all items, so shared shingles may weigh less than in this comparison of single pairs
+    want = {p for d in of for p in of[d]}
+    assert len(want) > 150 and len(want - got) <= len(want) // 100
+
+
 def test_hamming_blocks_miss_nothing_within_the_radius():
     rng = np.random.default_rng(1)
     a, b = rng.integers(0, 2**64, 60, np.uint64), rng.integers(0, 2**64, 50, np.uint64)
