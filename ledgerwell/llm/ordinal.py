@@ -29,7 +29,7 @@ STEPS, PENALTY = 400, 1e-3
 #: chance alone does to one feature of four hundred. The penalty holds those small.
 LEAST_ROWS, LEAST_SCORE = 2, 3.0
 #: Entries (a feature with a weight in a sampled row) that the fit takes at most, in the order of the sample: a second
-#: bound on labelled rows, for very long texts. It bounds what the driver holds.
+#: bound on labelled rows, for very long texts. It bounds what the task that fits holds.
 FIT_ENTRIES = 8_000_000
 #: With fewer labelled documents, or all of one grade, nothing is rejected.
 LEAST_LABELS = 40
@@ -124,7 +124,7 @@ def train(docs: DataFrame, grades: DataFrame, doc_id: str = "doc_id", text: str
     """Fit on at most `bound` labelled documents. Rows without id, text or a grade within 0 .. n_grades - 1 are left out.
 
     The sample is made in Spark (smallest id hashes, so a rerun takes the same rows; of rows that repeat an id, one by the
-    hash of its features) and stored. Features are counted in Spark too; only those that get a weight come to the driver.
+    hash of its features) and stored. Features are counted in Spark too; one task fits the bounded sample.
     """
     g = grades.select(F.col(f"`{doc_id}`").alias("g_id"), F.col(f"`{grade}`").cast("int").alias("grade")).filter(F.col("grade").between(0, n_grades - 1) & F.col("g_id").isNotNull())
     picked = g.groupBy("g_id").agg(F.min("grade").alias("grade")).orderBy(F.xxhash64("g_id"), "g_id").limit(bound)
@@ -146,9 +146,19 @@ def train(docs: DataFrame, grades: DataFrame, doc_id: str = "doc_id", text: str
             yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in kept], pa.binary()), batch.column(1), batch.column(2)], names=["f", "grade", "id"])
 
     reduced = rows.select("f", "grade", "id").mapInArrow(reduce_to, "f binary, grade int, id long")
-    so_far = F.sum(F.octet_length("f")).over(Window.orderBy(F.xxhash64("id"), "id"))  # at most `bound` rows
-    found = reduced.withColumn("so_far", so_far).filter(F.col("so_far") <= 4 * FIT_ENTRIES).drop("so_far").toArrow().sort_by("id")
-    return fit([np.frombuffer(x, np.int32) for x in found["f"].to_pylist()], found["grade"].to_numpy().astype(np.int64), n_grades)
+    so_far = F.sum(F.octet_length("f")).over(Window.orderBy(F.xxhash64("id"), "id"))  # at most `bound` rows, in one task
+    found = reduced.withColumn("so_far", so_far).filter(F.col("so_far") <= 4 * FIT_ENTRIES).select("f", "grade", "id")
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches) or [pa.RecordBatch.from_pylist([], pa.schema([("f", pa.binary()), ("grade", pa.int32()), ("id", pa.int64())]))]).sort_by("id")
+        m = fit([np.frombuffer(x, np.int32) for x in table["f"].to_pylist()], table["grade"].to_numpy().astype(np.int64), n_grades)
+        yield pa.RecordBatch.from_pylist([{"weights": m.weights.tobytes(), "thresholds": m.thresholds.tolist(), "rows": m.rows, "grades": m.grades}])
+
+    # the sample is bounded, so one task fits the model, and the driver gets nothing but the weights
+    done = found.mapInArrow(fitted, "weights binary, thresholds array<double>, rows long, grades long").collect()
+    if not done:
+        return fit([], np.zeros(0, np.int64), n_grades)
+    return Model(np.frombuffer(done[0]["weights"], np.float32), np.array(done[0]["thresholds"]), done[0]["rows"], done[0]["grades"])
 
 
 def told_features(rows: DataFrame) -> np.ndarray:
