@@ -15,7 +15,7 @@ PLACEHOLDERS = {"{ticker}": "ticker", "{yahoo_ticker}": "symbol", "{isin}": "isi
 #: Feeds that are broadcast at most, and the parts that targets are dealt into beyond that.
 FEW_FEEDS, DEAL = 10_000, 64
 #: Why a stored body isn't read again.
-NO_FEED, NO_READER, NO_TARGET = "feed no longer present in news_feeds.yaml", "no adapter for provider '", "url_template feed's URL matches no known instrument"
+NO_FEED, NO_READER, NO_TARGET = "feed no longer present in the configuration", "no adapter for provider '", "url_template feed's URL matches no known instrument"
 
 
 def quoted(value: Column) -> Column:
