@@ -3,10 +3,11 @@
 A rule (host, path) fits its host and all subdomains if the url's path starts with the rule's path. Written with the
 host's labels reversed (`com#example#` + `/en/7`), a rule is a prefix and so an interval of sorted keys; a url has one
 such key for each suffix of its host. Neither hosts nor paths hold a `#`, so keys can be read in one way only, whatever
-labels are empty. Keys are sorted by their bytes. Intervals of prefixes are disjoint or nested, so a sweep over sorted keys needs a
-stack of active rules only: a rule's start pushes it, its end pops it and uncovers the rule around it. Each start and
-end becomes an event that carries the top of that stack, urls are sorted among the events, and the last event before a
-url (a running window) holds the innermost rule around it.
+labels are empty. Keys are sorted by their bytes. Intervals of prefixes are disjoint or nested, so a sweep with a stack
+would push a rule at its start and pop it at its end. No stack is kept here, as one over all rules would need one task
+that sees them all: the rule around each rule, what a pop uncovers, is found before by a join of key prefixes. So each
+start and end becomes an event that carries what would be on top of the stack, urls are sorted among the events, and the
+last event before a url (a running window) holds the innermost rule around it.
 """
 
 from __future__ import annotations
