@@ -91,6 +91,21 @@ def plain_symbol(ticker: Column) -> Column:
     return F.coalesce(F.nullif(F.regexp_replace(base, "[a-z]+$", ""), F.lit("")), base)
 
 
+def listed(rows: DataFrame, order: list[Column], limit: int | None = None, **equal) -> DataFrame:
+    """rows with the given values, in order; of all or the first `limit`. An order should end in a unique column."""
+    for name, value in equal.items():
+        rows = rows.filter(F.col(name).eqNullSafe(F.lit(value)))
+    rows = rows.orderBy(*order)
+    return rows if limit is None else rows.limit(limit)
+
+
+def declared(overrides: DataFrame, field: str) -> DataFrame:
+    """(isin, field) of the overrides that declare the field: a text that isn't blank, or a list that isn't empty."""
+    kind = dict(overrides.dtypes)[field]
+    given = F.size(field) > 0 if kind.startswith("array") else F.coalesce(F.trim(field), F.lit("")) != ""
+    return overrides.filter(F.coalesce(given, F.lit(False))).select("isin", field)
+
+
 def as_report(df: DataFrame, key: str, rename: dict[str, str] | None = None) -> DataFrame:
     """(key, report): each row as JSON with names in camel case; nulls stay."""
     camel = lambda name: name.split("_")[0] + "".join(w.capitalize() for w in name.split("_")[1:])

@@ -149,3 +149,20 @@ def replaced_table(spark, sf_dir):
     for k in range(3):
         ac.replace_table(o.filter(F.col("o_orderkey") % 3 == k), folder)
     return ac.current_table(spark, folder)
+
+
+_ALERTS = "SELECT event_id AS id, user_id AS account_id, event_type AS kind, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS created_at FROM {events}"
+
+
+@query("src28_newest_of_account", f"SELECT id, kind, created_at::VARCHAR AS created_at FROM ({_PLAIN(_ALERTS)}) WHERE account_id = 7 AND kind = 'purchase' ORDER BY created_at DESC, id DESC LIMIT 10")
+def newest_of_account(spark, sf_dir):
+    rows = ac.listed(_sql(spark, sf_dir, _ALERTS), [F.desc("created_at"), F.desc("id")], 10, account_id=7, kind="purchase")
+    return rows.select("id", "kind", F.col("created_at").cast("string").alias("created_at"))
+
+
+_OVERRIDES = "SELECT concat('I', CAST(p_partkey AS VARCHAR(20))) AS isin, CASE p_partkey % 3 WHEN 0 THEN ' ' WHEN 1 THEN p_brand END AS sector FROM {part}"
+
+
+@query("flt12_declared_sectors", "SELECT concat('I', p_partkey) AS isin, p_brand AS sector FROM part WHERE p_partkey % 3 = 1")
+def declared_sectors(spark, sf_dir):
+    return ac.declared(_sql(spark, sf_dir, _OVERRIDES), "sector")

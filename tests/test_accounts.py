@@ -76,3 +76,12 @@ def test_states_of_files_tell_another_table(spark, tmp_path):
     assert before == storage.file_states(spark, path) and before
     spark.range(4).write.mode("overwrite").parquet(path)
     assert storage.file_states(spark, path) != before and storage.file_states(spark, path + "none") == []
+
+
+def test_lists_and_declared_fields(spark):
+    rows = spark.createDataFrame([(1, "a", 3), (2, "a", 3), (3, "a", 1), (4, None, 9)], "id int, k string, n int")
+    order = [F.desc("n"), F.asc("id")]
+    assert [r["id"] for r in ac.listed(rows, order, k="a").collect()] == [1, 2, 3] and [r["id"] for r in ac.listed(rows, order, 2, k="a").collect()] == [1, 2]
+    assert [r["id"] for r in ac.listed(rows, order, k=None).collect()] == [4] and ac.listed(rows, order).count() == 4
+    overrides = spark.createDataFrame([("A", " ", ["x"]), ("B", "Energy", []), ("C", None, None)], "isin string, sector string, words array<string>")
+    assert [tuple(r) for r in ac.declared(overrides, "sector").collect()] == [("B", "Energy")] and [r["isin"] for r in ac.declared(overrides, "words").collect()] == ["A"]
