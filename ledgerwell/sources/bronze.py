@@ -59,26 +59,35 @@ KEYS = {"orders": "fill_id", "dividends": "reference", "transactions": "referenc
 OBJECTS = {"orders": ["order", "order.instrument", "fill", "fill.walletImpact"], "dividends": ["instrument"], "transactions": [], "metadata": []}
 
 
-def _at(item: Column, path: str) -> Column:
-    """The variant at a path; null where it is missing or a JSON null."""
-    v = F.try_variant_get(item, f"$.{path}", "variant")
-    return F.when(~F.is_variant_null(v), v)
+def _given(v: Column) -> Column:
+    """Whether a variant is there and not a JSON null."""
+    return v.isNotNull() & ~F.is_variant_null(v)
 
 
-def _kind(v: Column) -> Column:
-    return F.when(v.isNotNull(), F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0))
+def _layout(paths: list[str]) -> str:
+    """The type of an item whose leaves at these paths are variants, with the objects on the way as structs."""
+    inner: dict[str, list[str]] = {}
+    for p in paths:
+        head, _, rest = p.partition(".")
+        inner.setdefault(head, []).extend([rest] if rest else [])
+    return "struct<" + ", ".join(f"`{k}`: {_layout(v) if v else 'variant'}" for k, v in inner.items()) + ">"
+
+
+def _leaf(item: Column, path: str) -> Column:
+    for part in path.split("."):
+        item = item[part]
+    return item
 
 
 def _read(v: Column, kind: str) -> Column:
-    """A value of a kind; null if it isn't one."""
-    is_text, text = _kind(v) == "STRING", F.try_variant_get(v, "$", "string")
-    if kind == "text":
-        return F.when(is_text, text)
+    """A value of a kind; null if it isn't one. Only texts of numbers can be cast to one, so numbers need no look at the type."""
+    text = F.try_variant_get(v, "$", "string")
+    if kind == "number":
+        return F.trim(text).try_cast(NUMBER)
+    found = F.schema_of_variant(v)
     if kind == "id":
-        return F.when(is_text | (_kind(v) == "BIGINT"), text)
-    if kind == "time":
-        return F.when(is_text, F.trim(text).try_cast("timestamp"))
-    return F.when(~_kind(v).isin("BOOLEAN", "OBJECT", "ARRAY"), F.trim(text).try_cast(NUMBER))
+        return F.when(found.isin("STRING", "BIGINT"), text)
+    return F.when(found == "STRING", F.trim(text).try_cast("timestamp") if kind == "time" else text)
 
 
 def _settled(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -105,17 +114,22 @@ def page_items(responses: DataFrame, category: str) -> DataFrame:
     found = F.try_variant_get("v_", "$" if category == "metadata" else "$.items", "array<variant>")
     pages = _settled(_settled(pages, "v_", body), "raw_", found)
 
-    def parts(x: Column, i: Column) -> Column:
-        objects = F.coalesce(*[F.when(_at(x, p).isNotNull() & (_kind(_at(x, p)) != "OBJECT"), p) for p in OBJECTS[category]], F.when(_at(x, "order").isNull(), "order") if category == "orders" else F.lit(None).cast("string"))
+    layout = _layout([f.path for f in fields])
+
+    def parts(x: Column) -> Column:
+        return F.struct(x.alias("x"), F.try_variant_get(x, "$", layout).alias("s"))
+
+    def values(e: Column, i: Column) -> Column:
+        x, s = e["x"], e["s"]
+        at = lambda path: F.try_variant_get(x, f"$.{path}", "variant")
+        # what isn't an object has no struct, and it is a fault if something else stands there
+        objects = F.coalesce(*[F.when(_leaf(s, p).isNull() & _given(at(p)), p) for p in OBJECTS[category]], F.when(s["order"].isNull(), "order") if category == "orders" else F.lit(None).cast("string"))
         has = {"orders": "order.instrument", "dividends": "instrument"}.get(category)
         return F.struct(
-            *[_at(x, f.path).alias(f.name) for f in fields], F.when(F.coalesce(_kind(x) != "OBJECT", F.lit(True)), "item").otherwise(objects).alias("shape"), i.alias("place"),
-            (_at(x, "fill").isNotNull() if category == "orders" else F.lit(True)).alias("executed"), (_at(x, has).isNotNull() if has else F.lit(False)).alias("listed"),
+            *[_read(_leaf(s, f.path), f.kind).alias(f.name) for f in fields], F.struct(*[_given(_leaf(s, f.path)).alias(f.name) for f in fields]).alias("there"), F.when(s.isNull(), "item").otherwise(objects).alias("shape"), i.alias("place"),
+            (s["fill"].isNotNull() if category == "orders" else F.lit(True)).alias("executed"), (_leaf(s, has).isNotNull() if has else F.lit(False)).alias("listed"),
         )
 
-    def values(x: Column) -> Column:
-        return F.struct(*[_read(x[f.name], f.kind).alias(f.name) for f in fields], F.struct(*[x[f.name].isNotNull().alias(f.name) for f in fields]).alias("there"), x["shape"].alias("shape"), x["place"].alias("place"), x["executed"].alias("executed"), x["listed"].alias("listed"))
-
     def judged(x: Column) -> Column:
         faults = [F.when(x[f.name].isNull() & (x["there"][f.name] | F.lit(f.needed)), f.path) for f in fields]
         return F.struct(*[x[f.name].alias(f.name) for f in fields], F.coalesce(x["shape"], *faults).alias("fault"), x["place"].alias("place"), x["executed"].alias("executed"), x["listed"].alias("listed"))
@@ -125,12 +139,13 @@ def page_items(responses: DataFrame, category: str) -> DataFrame:
     no_id = lambda x: x["executed"] & (F.coalesce(x[key], F.lit("")) == "")
     wrong = F.get(F.filter("i_", lambda x: x["fault"].isNotNull()), F.lit(0))
     nameless = F.get(F.filter("i_", no_id), F.lit(0))
-    fit = F.when(F.col("v_").isNull(), "no JSON").when(F.col("raw_").isNull(), "no page of items").when(F.col("wrong_").isNotNull(), F.concat(F.lit("item "), F.col("wrong_.place").cast("string"), F.lit(": "), F.col("wrong_.fault")))
-    pages = pages.withColumns({"wrong_": wrong, "nameless_": nameless}).withColumn("unfit_", fit)
-    last = F.coalesce(F.col("nameless_.place"), F.lit(2**31 - 1))
-    kept = F.when(F.col("unfit_").isNull(), F.filter("i_", lambda x: x["executed"] & (x["place"] < last)))
-    refused = F.coalesce("unfit_", F.when(F.col("nameless_").isNotNull(), F.concat(F.lit("item "), F.col("nameless_.place").cast("string"), F.lit(": no id"))))
-    return pages.select("response_id", "recorded_at", "path", refused.alias("refused"), F.when(F.col("unfit_").isNull(), F.size("i_")).otherwise(0).alias("n_items"), kept.alias("items"))
+    pages = _settled(pages, "w_", F.struct(wrong["place"].alias("place"), wrong["fault"].alias("fault"), nameless["place"].alias("nameless")))
+    unfit = F.when(F.col("v_").isNull(), "no JSON").when(F.col("raw_").isNull(), "no page of items").when(F.col("w_.fault").isNotNull(), F.concat(F.lit("item "), F.col("w_.place").cast("string"), F.lit(": "), F.col("w_.fault")))
+    pages = _settled(pages, "unfit_", unfit)
+    last = F.coalesce(F.col("w_.nameless"), F.lit(2**31 - 1))
+    pages = _settled(pages, "items", F.when(F.col("unfit_").isNull(), F.filter("i_", lambda x: x["executed"] & (x["place"] < last))))
+    refused = F.coalesce("unfit_", F.when(F.col("w_.nameless").isNotNull(), F.concat(F.lit("item "), F.col("w_.nameless").cast("string"), F.lit(": no id"))))
+    return pages.select("response_id", "recorded_at", "path", refused.alias("refused"), F.when(F.col("unfit_").isNull(), F.size("i_")).otherwise(0).alias("n_items"), "items")
 
 
 def ledger_rows(responses: DataFrame, category: str) -> DataFrame:
@@ -161,8 +176,12 @@ def reparse_report(responses: DataFrame) -> DataFrame:
 
 
 def rebuilt(existing: DataFrame, responses: DataFrame, category: str) -> DataFrame:
-    """existing rows and those of the responses in their place; doing it again changes nothing."""
-    return upsert(existing, ledger_rows(responses, category).select(*existing.columns), [KEYS[category]])
+    """existing rows and those of the responses in their place; doing it again changes nothing.
+
+    The rows are stored first: the responses are parsed once, though the rows' keys are asked for as well.
+    """
+    rows = stored(ledger_rows(responses, category).select(*existing.columns), "rebuilt")
+    return upsert(existing, rows, [KEYS[category]])
 
 
 def written_counts(existing: DataFrame, responses: DataFrame, category: str) -> DataFrame:

@@ -10,7 +10,8 @@ def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str], order: str
     """All rows by keys, incoming ones in place of existing; of incoming rows with equal keys the last in `order`."""
     if order is not None:
         incoming = incoming.withColumn("rn_", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))).filter("rn_ = 1").drop("rn_")
-    return existing.join(incoming.select(*keys), keys, "left_anti").unionByName(incoming)
+    # merged by sorting: the size of computed keys is guessed too low, and a broadcast of them would pass through the driver
+    return existing.join(incoming.select(*keys).hint("merge"), keys, "left_anti").unionByName(incoming)
 
 
 def insert_new(existing: DataFrame, incoming: DataFrame, key: str) -> DataFrame:

@@ -117,3 +117,16 @@ def test_linked_pages(spark):
         want = {s: plain(s, most) for s in ("a1", "c1", "d1", "m1", "solo", "never")}
         assert {r["start"]: (r["pages"], r["status"]) for r in ends.collect()} == {s: (len(p), e) for s, (p, e) in want.items()}
         assert {tuple(r) for r in order.collect()} == {(s, p, i) for s, (ps, _) in want.items() for i, p in enumerate(ps)}
+
+
+def test_rebuilding_parses_once_and_broadcasts_no_keys(spark, monkeypatch):
+    parsed = []
+    rows = bz.ledger_rows
+    monkeypatch.setattr(bz, "ledger_rows", lambda *a: parsed.append(a) or rows(*a))
+    body = '{"items": [{"order": {"id": 1}, "fill": {"id": "f1", "quantity": 3}}, {"order": {"id": 2}, "fill": {"id": "f2", "quantity": "4"}}]}'
+    responses = spark.createDataFrame([(1, NOW, ORDERS, 200, body)], RESPONSE)
+    had = spark.createDataFrame([("f1", 1), ("f1", 1), ("f3", 5)], "fill_id string, filled_quantity int").selectExpr("fill_id", f"cast(filled_quantity as {bz.NUMBER}) as filled_quantity")
+    out = bz.rebuilt(had, responses, "orders")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert len(parsed) == 1 and "from_json" not in plan and "parse_json" not in plan and "Broadcast" not in plan
+    assert sorted((r[0], int(r[1])) for r in out.collect()) == [("f1", 3), ("f2", 4), ("f3", 5)]
