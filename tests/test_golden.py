@@ -89,3 +89,13 @@ def test_as_of_across_months(spark):
     assert got == {("k", "2024-01-01"): None, ("k", "2024-01-05"): 1, ("k", "2024-02-28"): 1, ("k", "2024-03-19"): 1, ("k", "2024-03-20"): 2, ("k", "2025-01-01"): 2, (None, "2024-06-01"): 9, ("x", "2024-01-05"): None, ("k", None): None}
     later = {(r.k, r.at and r.at.isoformat()): r.v for r in as_of(left.filter("at is not null"), right, ["k"], "at", "d", ["v"], 2, or_next=True).collect()}
     assert later[("k", "2024-01-01")] == 1 and later[("k", "2024-02-28")] == 2 and later[("k", "2025-01-01")] is None and later[("k", "2024-01-05")] == 1
+
+
+def test_events_of_a_day_are_one_row_with_the_same_sums(spark):
+    rows = [("a", "2024-01-02", "T", "buy", 2, 10)] * 40 + [("a", "2024-01-02", "T", "buy", 1, None), ("a", "2024-01-02", None, "cash_external", None, 7), ("a", "2024-01-02", None, "cash_external", None, -3), ("a", "2024-01-02", None, "cash_external", None, -4)]
+    events = spark.createDataFrame(rows, "account_id string, day string, ticker string, kind string, quantity int, eur int").selectExpr("account_id", "date(day) as day", "ticker", "kind", "cast(quantity as decimal(28,10)) as quantity", "cast(eur as decimal(28,10)) as eur")
+    daily = lg.daily_events(events)
+    assert daily.count() == 4 and daily.schema == events.schema
+    assert lg.daily_cash(daily).collect() == lg.daily_cash(events).collect() and lg.holding_flows(daily).collect() == lg.holding_flows(events).collect()
+    held = lambda e: rp.running_quantities(e, "2024-01-01", "2024-01-03").collect()
+    assert held(daily) == held(events) and held(daily)[0]["quantity"] == 81
