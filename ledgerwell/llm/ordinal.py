@@ -51,8 +51,17 @@ class Model:
 def features(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
     """Distinct feature numbers of each text: words without marks, their stems, runs of marks, shares of capitals, marks, repeats.
 
-    Feature 0 is always there (an empty text has nothing else).
+    Feature 0 is always there (an empty text has nothing else). Texts are worked on in portions of at most wordhash.BLOCK
+    bytes (or one text), as the arrays over a portion take many times its bytes.
     """
+    at = 0
+    while at < len(offsets) - 1:
+        upto = max(at + 1, int(np.searchsorted(offsets, offsets[at] + wh.BLOCK, "right")) - 1)
+        yield from _features(data[offsets[at] : offsets[upto]], offsets[at : upto + 1] - offsets[at])
+        at = upto
+
+
+def _features(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
     hashes, kind, counts = wh.runs(data, offsets, _CLASSES, (None, *STEMS))
     mask = np.uint64((1 << FEATURE_BITS) - 1)
     numbers = np.stack([((h + np.uint64(i) * np.uint64(0x5BD1E995)) & mask).astype(np.int32) for i, h in enumerate(hashes)])

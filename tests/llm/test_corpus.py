@@ -3,6 +3,7 @@
 import collections
 import os
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -371,6 +372,19 @@ def test_classifier_ranks_held_out_documents(spark):
     assert abs(ordinal.score(d, empty).first().expected_grade - 1) < 0.4 and ordinal.score(d.filter("false"), model).count() == 0
 
 
+def test_features_of_a_large_batch_take_little_memory_and_stay_the_same():
+    rng = random.Random(3)
+    texts = [" ".join(f"Word{rng.randrange(5000)}{rng.choice(['', ',', '!'])}" for _ in range(rng.randrange(900))) for _ in range(1500)] + ["", None, "one", ""]
+    data, offsets = wh.text_bytes(pa.array(texts))
+    assert len(data) > 5 * wh.BLOCK
+    tracemalloc.start()
+    together = [x.tobytes() for x in ordinal.features(data, offsets)]
+    kept, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert together == [next(ordinal.features(*wh.text_bytes(pa.array([t], pa.string())))).tobytes() for t in texts]
+    assert most - kept < 60 * wh.BLOCK  # whatever the batch has
+
+
 def test_all_documents_are_kept_without_labels(spark):
     docs = _docs(spark, [(1, "a clean text of some words"), (2, None), (3, "")])
     kind = "doc_id long, quality int, toxic int"
