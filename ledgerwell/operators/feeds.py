@@ -48,8 +48,10 @@ def _with_all(feeds: DataFrame, targets: DataFrame) -> DataFrame:
 def fixed(feeds: DataFrame, targets: DataFrame) -> DataFrame:
     """feeds with a fixed url, with `ticker` and `isin`: those it names if it names just one; a known isin wins."""
     one = lambda c: F.when(F.size(c) == 1, F.get(c, F.lit(0)))
-    known = targets.groupBy(F.col("ticker").alias("one_")).agg(F.min_by("isin", "position").alias("known_"), F.lit(True).alias("had_"))
-    f = feeds.filter("url is not null").withColumn("one_", one("tickers")).join(known, "one_", "left")
+    f = feeds.filter("url is not null").withColumn("one_", one("tickers"))
+    named = targets.join(f.select(F.col("one_").alias("ticker")), "ticker", "left_semi")
+    known = named.groupBy(F.col("ticker").alias("one_")).agg(F.min_by("isin", "position").alias("known_"), F.lit(True).alias("had_"))
+    f = f.join(known, "one_", "left")
     return f.withColumn("isin", F.when(F.col("had_"), F.col("known_")).otherwise(one("isins"))).withColumnRenamed("one_", "ticker").drop("known_", "had_")
 
 
@@ -91,11 +93,13 @@ def attributed(raw: DataFrame, feeds: DataFrame, targets: DataFrame, providers:
     rows = rows.withColumn("value_", F.when(fits, F.substr("url", F.length(before) + 1, F.length("url") - F.length(before) - F.length(after))))
     fields = targets.select("ticker", "isin", "position", F.explode(F.array(*[F.struct(F.lit(m).alias("mark_"), quoted(F.nullif(c, F.lit(""))).alias("value_")) for m, c in zip(PLACEHOLDERS, _target().values(), strict=True)])).alias("v"))
     by_value = fields.filter("v.value_ is not null").groupBy("v.mark_", "v.value_").agg(F.max_by(F.struct("ticker", "isin"), "position").alias("one_"))
-    rows = rows.join(by_value, ["mark_", "value_"], "left")
+    # the values of all targets are no small side, whatever their files' size says; rows without a value would meet in one task
+    rows = rows.withColumn("value_", F.coalesce("value_", F.concat(F.lit("\0"), F.xxhash64("raw_id").cast("string"))))
+    rows = rows.join(by_value.hint("merge"), ["mark_", "value_"], "left")
     index = _with_all(rows.filter("many_").select("feed_key", "template").distinct(), targets).withColumn("url", filled(F.col("template"), _target())).filter("url is not null")
     index = index.groupBy("feed_key", "url").agg(F.max_by(F.struct("ticker", "isin"), "position").alias("two_"))
     direct = fixed(feeds, targets).select("feed_key", F.struct("ticker", "isin").alias("three_"))
-    rows = rows.join(index, ["feed_key", "url"], "left").join(direct, "feed_key", "left")
+    rows = rows.join(index.hint("merge"), ["feed_key", "url"], "left").join(direct, "feed_key", "left")
     found = F.when(F.col("f_url").isNotNull(), F.col("three_")).when(F.col("template").isNull(), F.struct(F.lit(None).cast("string").alias("ticker"), F.lit(None).cast("string").alias("isin"))).otherwise(F.coalesce("one_", "two_"))
     skip = F.coalesce("early_", F.when(found.isNull(), NO_TARGET))
     return rows.select(*raw.columns, "provider", "trust", F.when(skip.isNull(), found["ticker"]).alias("ticker"), F.when(skip.isNull(), found["isin"]).alias("isin"), skip.alias("skip"))

@@ -42,7 +42,8 @@ _FILLED = "CASE m WHEN 1 THEN 'https://x.org/q=' || e_t WHEN 2 THEN 'https://x.o
 
 
 def _targets(spark, sf_dir) -> DataFrame:
-    return spark.sql(_TARGETS, part=_table(spark, sf_dir, "part"))
+    # a target is worked on for every feed, which takes long for a file's few bytes: by files alone one task would do it all
+    return spark.sql(_TARGETS, part=_table(spark, sf_dir, "part").repartition(4 * spark.sparkContext.defaultParallelism, "p_partkey"))
 
 
 def _feeds(spark, sf_dir) -> DataFrame:

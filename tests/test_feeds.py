@@ -67,6 +67,14 @@ def test_stored_bodies_find_their_instrument_again(spark, targets):
     assert sorted(again.collect()) == sorted(once.collect()) and once.count() == 3
 
 
+def test_addresses_are_traced_without_broadcasting_targets(spark):
+    feeds = spark.createDataFrame([("t", "rss", None, "https://x/{ticker}", [], [], 1), ("two", "rss", None, "https://x/{ticker}/{isin}", [], [], 1), ("none", "rss", None, "https://x/{name}", [], [], 1)], FEED)
+    rows = [(i, k, u) for i, (k, u) in enumerate([("t", "https://x/AAPL_US_EQ"), ("t", "https://y"), ("two", "https://x/OLD_EQ/US0378331005"), ("gone", "https://x/AAPL_US_EQ"), ("none", "https://x/"), ("t", "https://x/")])]
+    out = fd.attributed(spark.createDataFrame(rows, "raw_id int, feed_key string, url string"), feeds, spark.createDataFrame(TARGETS, TARGET), ("rss",))
+    assert {r["raw_id"]: r["ticker"] for r in out.collect()} == {0: "AAPL_US_EQ", 1: None, 2: "OLD_EQ", 3: None, 4: None, 5: None}
+    assert out._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin [") >= 2
+
+
 def test_fields_come_from_the_first_source_that_has_them(spark):
     schema = "ticker string, seen int, isin string, name string, currency string, instrument_type string"
     positions = spark.createDataFrame([("A", 2, "", None, "USD", None), ("A", 1, None, "first", None, None), ("A", 3, None, "third", "EUR", None)], schema)
