@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerwell.operators import ledger as lg
+from ledgerwell.operators import replay as rp
 from ledgerwell.plans import adapters as ad
 from ledgerwell.plans import portfolio as pf
 
@@ -57,3 +58,25 @@ def test_large_tables_of_small_files_are_not_broadcast(spark, sf_dir, monkeypatc
     assert "BroadcastHashJoin" in plan()
     monkeypatch.setattr(ad, "BROADCAST_ROWS", 10)
     assert "BroadcastHashJoin" not in plan() and "SortMergeJoin" in plan()
+
+
+def test_hundredths_are_those_of_the_cast(spark):
+    odd = [0.1, 0.005, 0.015, 1.005, 2.675, -2.675, 123456.785, 100000000.015, 999999999.99, 1000000000.01, 99999999999.99, 1e-9, -0.0, 0.0, 33.333333, 0.285, None]
+    rows = spark.createDataFrame([(v,) for v in odd], "v double").selectExpr("v", f"{ad._hundredths('v', 'DECIMAL(14,2)')} AS n", "CAST(CAST(v AS DECIMAL(14,2)) * 100 AS BIGINT) AS cast_").collect()
+    assert [r.n for r in rows] == [r.cast_ for r in rows]
+
+
+def test_lines_meet_their_keys_without_a_sort(spark, sf_dir, monkeypatch):
+    plans = {}
+    monkeypatch.setattr(ad, "BROADCAST_ROWS", 1)
+    monkeypatch.setattr(ad, "stored", lambda df, name: plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString()) and df)
+    ad.summed_ledger(spark, sf_dir)
+    assert "ShuffledHashJoin" in plans["trades"] and "SortMergeJoin" not in plans["trades"] and "BroadcastHashJoin" not in plans["trades"]
+
+
+def test_a_report_writes_only_the_tables_it_reads(spark, sf_dir, monkeypatch):
+    written = []
+    monkeypatch.setattr(rp, "stored", lambda df, name: written.append(name) or df)
+    rep = rp.Stored(pf.computed(spark, sf_dir), ad.START, ad.END)
+    assert rep.holdings.columns and rep.holdings.columns and written == ["holdings"]
+    assert rep.nav.columns and written == ["holdings", "nav"]
