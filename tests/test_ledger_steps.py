@@ -80,3 +80,36 @@ def test_a_report_writes_only_the_tables_it_reads(spark, sf_dir, monkeypatch):
     rep = rp.Stored(pf.computed(spark, sf_dir), ad.START, ad.END)
     assert rep.holdings.columns and rep.holdings.columns and written == ["holdings"]
     assert rep.nav.columns and written == ["holdings", "nav"]
+
+
+def test_cash_of_a_day_is_as_good_as_its_rows(spark, sf_dir, tmp_path):
+    for name in ("lineitem", "part", "customer", "orders"):
+        (tmp_path / f"{name}.parquet").symlink_to(f"{sf_dir}/{name}.parquet")
+    values = [3.005, 0.125, None, -2.5, 9999999.995, 0.0]
+    moves = [(487 + day + 2500 * i, 5 * i, kind, v, None) for day in (0, 1) for i, v in enumerate(values) for kind in ("signup", "purchase", "view", "click", "error")]
+    spark.createDataFrame(moves, "event_id long, user_id long, event_type string, value double, ts timestamp").write.parquet(f"{tmp_path}/events.parquet")
+
+    def sums(led):
+        e = lg.daily_events(lg.ledger_events(led, lg.fx_daily(led.fx, 10))).filter("ticker is null")
+        return sorted(map(str, e.groupBy("account_id", "day", "kind", (F.col("eur") >= 0).alias("in_")).agg(F.sum("eur")).collect()))
+
+    rows, whole = ad.ledger(spark, str(tmp_path)), ad.summed_ledger(spark, str(tmp_path))
+    assert len(sums(rows)) > 8 and sums(whole) == sums(rows)
+    assert rows.cash.count() == 60 and whole.cash.count() <= 30
+    assert sorted(map(str, lg.first_event_date(whole).collect())) == sorted(map(str, lg.first_event_date(rows).collect()))
+
+
+def test_legs_that_are_known_are_not_searched_again(spark):
+    at = [dt.datetime(1996, 5, 6, 12), dt.datetime(1996, 5, 6, 13)]
+    moves = [
+        ("a", "1", at[0], "WITHDRAW", "EUR", "5"), ("a", "2", at[0], "DEPOSIT", "USD", "5"), ("a", "3", at[1], "DEPOSIT", "USD", "5"), ("b", "4", at[0], "DEPOSIT", "USD", "5"),
+        ("b", "5", at[1], "DEPOSIT", "EUR", "5"), ("b", "6", at[1], "WITHDRAW", "EUR", "5"), ("b", "7", None, "WITHDRAW", "EUR", "5"), ("c", "8", at[0], "WITHDRAWAL", "EUR", None), ("c", "9", at[0], "DEPOSIT", "USD", "5"),
+    ]
+    cash = spark.createDataFrame(moves, "account_id string, reference string, ts timestamp, transaction_type string, currency string, amount string")
+    cash = cash.withColumn("amount", F.col("amount").cast("decimal(28,10)")).withColumn("action", F.lit(""))
+    legs = lg.conversion_legs(cash)
+    assert sorted(map(tuple, legs.collect())) == [("a", "1"), ("a", "2")]
+    rates = lg.fx_daily(spark.createDataFrame([("USD", at[0].date(), "0.9")], "currency string, rate_date date, r string").select("currency", "rate_date", F.col("r").cast("decimal(8,4)").alias("eur_per_unit")), 10)
+    routed = lambda c: sorted(map(str, lg.route_cash(c, rates).select("account_id", "reference", "flow_class", "eur").collect()))
+    known = cash.join(legs.withColumn("is_leg", F.lit(True)), ["account_id", "reference"], "left")
+    assert routed(known) == routed(cash) and sum("conversion" in r for r in routed(cash)) == 2
