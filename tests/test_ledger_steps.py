@@ -1,10 +1,13 @@
 """The ledger of the given tables: sums of a day against its rows, and how its tables are joined."""
 
 import datetime as dt
+from decimal import ROUND_HALF_UP, Decimal, localcontext
 
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__
+from ledgerwell.functions.money import times_fx
 from ledgerwell.operators import ledger as lg
 from ledgerwell.operators import replay as rp
 from ledgerwell.plans import adapters as ad
@@ -113,3 +116,28 @@ def test_legs_that_are_known_are_not_searched_again(spark):
     routed = lambda c: sorted(map(str, lg.route_cash(c, rates).select("account_id", "reference", "flow_class", "eur").collect()))
     known = cash.join(legs.withColumn("is_leg", F.lit(True)), ["account_id", "reference"], "left")
     assert routed(known) == routed(cash) and sum("conversion" in r for r in routed(cash)) == 2
+
+
+def test_amounts_above_a_million_millions_are_converted_exactly(spark):
+    pairs = [("1004387736567.6", "0.8741"), ("-93517384920175.12345678", "1.234567891234"), ("99999999999999999", "0.9999"), ("999999999999.99999999", "0.999999999999"), ("0.5", "0.000000000100"), ("-7.00000001", "33333.000000005"), ("12.3", None)]
+    rows = spark.createDataFrame(pairs, "a string, r string").select("a", "r", times_fx(F.col("a").cast("decimal(28,10)"), F.col("r").cast("decimal(18,12)")).alias("eur")).collect()
+    with localcontext(prec=60):
+        want = [r.r and (Decimal(r.a) * Decimal(r.r)).quantize(Decimal("1e-10"), ROUND_HALF_UP) for r in rows]
+    assert [r.eur for r in rows] == want
+
+
+@pytest.fixture(scope="module")
+def dear(spark, sf_dir, tmp_path_factory):
+    """As at 360 copies of the given tables: many shares at a high price, where only the value has so many digits."""
+    out, day = tmp_path_factory.mktemp("dear"), dt.datetime(1996, 5, 6)
+    for table in ("part", "customer", "orders", "events"):
+        spark.read.parquet(f"{sf_dir}/{table}.parquet").write.parquet(f"{out}/{table}.parquet")
+    lines = spark.createDataFrame([(1, 1, 1, 5e7, 100.0, 0.0, 0.0, "N", day), (1, 1, 1, 1.0, 900000.0, 0.0, 0.0, "N", day)], LINE)
+    spark.read.parquet(f"{sf_dir}/lineitem.parquet").unionByName(lines).write.parquet(f"{out}/lineitem.parquet")
+    return str(out)
+
+
+@pytest.mark.parametrize("name", ["win09_invested_to_date", "join20_nav_and_passive", "agg17_brinson", "agg20_clusters", "win14_latest_snapshot"])
+def test_holdings_may_be_worth_more_than_a_million_millions(spark, dear, name):
+    assert __spark_entry__.queries()[name](spark, dear).collect() is not None
+    assert pf.replayed(spark, dear).holdings.agg(F.max("market_value_eur")).head()[0] > 10**12
