@@ -51,28 +51,27 @@ def _fill_id():
 
 def _order_pages(spark, sf_dir) -> DataFrame:
     """Pages of 32 order keys with their lines as items; some cannot be read, and some were stored before in another state."""
-    li = _table(spark, sf_dir, "lineitem")
-    page, line = F.expr("l_orderkey div 32"), F.col("l_linenumber")
-    text = lambda c: F.col(c).cast("decimal(18,2)").cast("string")
-
-    def body(quantity, price):
-        instrument = F.when(line != 5, F.struct(F.concat(F.lit("T"), F.col("l_partkey").cast("string")).alias("ticker"), F.lit("EUR").alias("currency")))
-        order = F.struct(F.col("l_orderkey").alias("id"), instrument.alias("instrument"), F.when(line == 5, F.concat(F.lit("O"), F.col("l_partkey").cast("string"))).alias("ticker"), F.when(F.col("l_returnflag") == "R", "SELL").otherwise("BUY").alias("side"))
-        impact = F.struct(F.lit("EUR").alias("currency"), text("l_extendedprice").alias("netValue"))
-        fill_id = F.when(~((page % 19 == 2) & (line == 3)), _fill_id())
-        fill = F.when(line != 6, F.struct(fill_id.alias("id"), F.date_format("l_shipdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("filledAt"), price.alias("price"), quantity.alias("quantity"), F.lit("TRADE").alias("type"), impact.alias("walletImpact")))
-        return F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.struct(order.alias("order"), fill.alias("fill")).alias("x"))
-
-    def pages(item, which, recorded):
-        rows = li.filter(which).groupBy(page.alias("page")).agg(F.array_sort(F.collect_list(item)).alias("rows"))
-        whole = F.to_json(F.struct(F.transform("rows", lambda r: r["x"]).alias("items"), F.lit("/more").alias("nextPagePath")), {"ignoreNullFields": "false"})
-        return rows.select((F.col("page") * 2 + recorded).alias("response_id"), F.lit(f"2024-01-0{recorded + 1}").cast("timestamp").alias("recorded_at"), F.lit("/equity/history/orders?cursor=1").alias("endpoint"), "page", whole.alias("body"))
-
-    price = F.when((page % 17 == 1) & (line == 2), "n/a").otherwise(text("l_extendedprice"))
-    new = pages(body(text("l_quantity"), price), F.lit(True), 1)
-    new = new.withColumn("status", F.when(F.col("page") % 13 == 0, 503).otherwise(200)).withColumn("body", F.when(F.col("page") % 23 == 3, F.left("body", F.lit(40))).otherwise(F.col("body")))
-    old = pages(body((F.col("l_quantity") + 1).cast("decimal(18,2)").cast("string"), text("l_extendedprice")), page % 2 == 0, 0).withColumn("status", F.lit(200))
-    return new.unionByName(old).select("response_id", "recorded_at", "endpoint", F.col("status").cast("int").alias("status"), "body")
+    # a line goes to its pages as it is, and is written out there: no text is shuffled
+    line, page, new = F.col("l_linenumber"), F.expr("l_orderkey div 32"), F.col("recorded") == 1
+    li = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag", "l_shipdate")
+    li = li.select("*", page.alias("page"), F.explode(F.when(page % 2 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))).alias("recorded"))
+    li = li.withColumn("response_id", F.col("page") * 2 + F.col("recorded")).repartition("response_id")
+    text = lambda c: c.cast("decimal(18,2)").cast("string")
+    price = F.when(new & (F.col("page") % 17 == 1) & (line == 2), "n/a").otherwise(text(F.col("l_extendedprice")))
+    quantity = text(F.when(new, F.col("l_quantity")).otherwise(F.col("l_quantity") + 1))
+    instrument = F.when(line != 5, F.struct(F.concat(F.lit("T"), F.col("l_partkey").cast("string")).alias("ticker"), F.lit("EUR").alias("currency")))
+    order = F.struct(F.col("l_orderkey").alias("id"), instrument.alias("instrument"), F.when(line == 5, F.concat(F.lit("O"), F.col("l_partkey").cast("string"))).alias("ticker"), F.when(F.col("l_returnflag") == "R", "SELL").otherwise("BUY").alias("side"))
+    impact = F.struct(F.lit("EUR").alias("currency"), text(F.col("l_extendedprice")).alias("netValue"))
+    fill_id = F.when(~((F.col("page") % 19 == 2) & (line == 3)), _fill_id())
+    fill = F.when(line != 6, F.struct(fill_id.alias("id"), F.date_format("l_shipdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("filledAt"), price.alias("price"), quantity.alias("quantity"), F.lit("TRADE").alias("type"), impact.alias("walletImpact")))
+    item = F.to_json(F.struct(order.alias("order"), fill.alias("fill")), {"ignoreNullFields": "false"})
+    items = F.sort_array(F.collect_list(F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", item.alias("x"))))
+    pages = li.groupBy("response_id", "page", "recorded").agg(F.array_join(items["x"], ",").alias("items"))
+    whole = F.concat(F.lit('{"items":['), F.col("items"), F.lit('],"nextPagePath":"/more"}'))
+    return pages.select(
+        "response_id", F.when(new, F.lit("2024-01-02")).otherwise("2024-01-01").cast("timestamp").alias("recorded_at"), F.lit("/equity/history/orders?cursor=1").alias("endpoint"),
+        F.when(new & (F.col("page") % 13 == 0), 503).otherwise(200).alias("status"), F.when(new & (F.col("page") % 23 == 3), F.left(whole, F.lit(40))).otherwise(whole).alias("body"),
+    )
 
 
 _LINES = """l AS (SELECT l_orderkey // 32 AS page, row_number() OVER (PARTITION BY l_orderkey // 32 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS k, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS fill_id, CASE WHEN l_linenumber = 5 THEN 'O' ELSE 'T' END || l_partkey AS ticker, CASE l_returnflag WHEN 'R' THEN 'SELL' ELSE 'BUY' END AS side,

@@ -9,7 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerwell.functions.money import MONEY
@@ -90,87 +90,79 @@ def _read(v: Column, kind: str) -> Column:
     return F.when(found == "STRING", F.trim(text).try_cast("timestamp") if kind == "time" else text)
 
 
-def _settled(df: DataFrame, name: str, value: Column) -> DataFrame:
-    """df with a value computed once: later uses read it, where the optimizer would write the expression out for each."""
-    return df.select("*", F.explode(F.array(value)).alias(name))
-
-
 def admitted(responses: DataFrame) -> DataFrame:
     """responses(response_id, recorded_at, endpoint, status, body) with category, path and why a row isn't replayed (skip)."""
     kinds = classified_endpoint(F.col("endpoint"))
     return responses.withColumn("c_", kinds).withColumns({"category": F.col("c_.category"), "path": F.col("c_.path"), "skip": replay_skips(F.col("c_.category"), F.col("status"))}).drop("c_")
 
 
-def page_items(responses: DataFrame, category: str) -> DataFrame:
-    """(response_id, recorded_at, path, refused, n_items, items) of each page of a category that is to be replayed.
+def page_rows(responses: DataFrame, category: str) -> DataFrame:
+    """A row an item of each page of a category that is to be replayed, and one (place null) of a page without items.
 
-    items are structs of the schema's fields, `executed` (orders: there is a fill), `listed` (with an instrument) and
-    `place`; refused names the first
-    fault of a page that doesn't fit, else the place of an item without its id, else null.
+    (response_id, recorded_at, path, place, the schema's fields, executed, listed, n_items, refused, taken): executed
+    (orders: there is a fill), listed (with an instrument), n_items of the page if it fits its schema, else 0. refused names
+    the first fault of a page that doesn't fit, else the place of an item without its id, else null; taken are the items
+    before that. response_id is unique. Items are rows before they are read: a page is judged over its rows.
     """
     fields, key = SCHEMAS[category], KEYS[category]
-    pages = admitted(responses).filter((F.col("category") == category) & F.col("skip").isNull())
-    body = F.try_parse_json("body")
-    found = F.try_variant_get("v_", "$" if category == "metadata" else "$.items", "array<variant>")
-    pages = _settled(_settled(pages, "v_", body), "raw_", found)
-
-    layout = _layout([f.path for f in fields])
-
-    def parts(x: Column) -> Column:
-        return F.struct(x.alias("x"), F.try_variant_get(x, "$", layout).alias("s"))
-
-    def values(e: Column, i: Column) -> Column:
-        x, s = e["x"], e["s"]
-        at = lambda path: F.try_variant_get(x, f"$.{path}", "variant")
-        # what isn't an object has no struct, and it is a fault if something else stands there
-        objects = F.coalesce(*[F.when(_leaf(s, p).isNull() & _given(at(p)), p) for p in OBJECTS[category]], F.when(s["order"].isNull(), "order") if category == "orders" else F.lit(None).cast("string"))
-        has = {"orders": "order.instrument", "dividends": "instrument"}.get(category)
-        return F.struct(
-            *[_read(_leaf(s, f.path), f.kind).alias(f.name) for f in fields], F.struct(*[_given(_leaf(s, f.path)).alias(f.name) for f in fields]).alias("there"), F.when(s.isNull(), "item").otherwise(objects).alias("shape"), i.alias("place"),
-            (s["fill"].isNotNull() if category == "orders" else F.lit(True)).alias("executed"), (_leaf(s, has).isNotNull() if has else F.lit(False)).alias("listed"),
-        )
-
-    def judged(x: Column) -> Column:
-        faults = [F.when(x[f.name].isNull() & (x["there"][f.name] | F.lit(f.needed)), f.path) for f in fields]
-        return F.struct(*[x[f.name].alias(f.name) for f in fields], F.coalesce(x["shape"], *faults).alias("fault"), x["place"].alias("place"), x["executed"].alias("executed"), x["listed"].alias("listed"))
-
-    for name, source, step in (("p_", "raw_", parts), ("t_", "p_", values), ("i_", "t_", judged)):
-        pages = _settled(pages, name, F.transform(source, step))
-    no_id = lambda x: x["executed"] & (F.coalesce(x[key], F.lit("")) == "")
-    wrong = F.get(F.filter("i_", lambda x: x["fault"].isNotNull()), F.lit(0))
-    nameless = F.get(F.filter("i_", no_id), F.lit(0))
-    pages = _settled(pages, "w_", F.struct(wrong["place"].alias("place"), wrong["fault"].alias("fault"), nameless["place"].alias("nameless")))
-    unfit = F.when(F.col("v_").isNull(), "no JSON").when(F.col("raw_").isNull(), "no page of items").when(F.col("w_.fault").isNotNull(), F.concat(F.lit("item "), F.col("w_.place").cast("string"), F.lit(": "), F.col("w_.fault")))
-    pages = _settled(pages, "unfit_", unfit)
-    last = F.coalesce(F.col("w_.nameless"), F.lit(2**31 - 1))
-    pages = _settled(pages, "items", F.when(F.col("unfit_").isNull(), F.filter("i_", lambda x: x["executed"] & (x["place"] < last))))
-    refused = F.coalesce("unfit_", F.when(F.col("w_.nameless").isNotNull(), F.concat(F.lit("item "), F.col("w_.nameless").cast("string"), F.lit(": no id"))))
-    return pages.select("response_id", "recorded_at", "path", refused.alias("refused"), F.when(F.col("unfit_").isNull(), F.size("i_")).otherwise(0).alias("n_items"), "items")
+    pages = admitted(responses).filter((F.col("category") == category) & F.col("skip").isNull()).select("response_id", "recorded_at", "path", F.try_parse_json("body").alias("v_"))
+    pages = pages.withColumn("raw_", F.try_variant_get("v_", "$" if category == "metadata" else "$.items", "array<variant>"))
+    unfit = F.when(F.col("v_").isNull(), "no JSON").when(F.col("raw_").isNull(), "no page of items")
+    pages = pages.select("response_id", "recorded_at", "path", unfit.alias("unfit_"), F.coalesce(F.size("raw_"), F.lit(0)).alias("size_"), "raw_")
+    items = pages.select("response_id", "recorded_at", "path", "unfit_", "size_", F.posexplode_outer("raw_").alias("place", "x_"))
+
+    item, x = F.try_variant_get("x_", "$", _layout([f.path for f in fields])), F.col("x_")
+    at = lambda path: F.try_variant_get(x, f"$.{path}", "variant")
+    # what isn't an object has no struct, and it is a fault if something else stands there
+    objects = [F.when(_leaf(item, p).isNull() & _given(at(p)), p) for p in OBJECTS[category]] + ([F.when(item["order"].isNull(), "order")] if category == "orders" else [])
+    has = {"orders": "order.instrument", "dividends": "instrument"}.get(category)
+    # a function of arrays keeps this step out of whole-stage code, where reading all fields is one method too long to be compiled
+    there = F.exists(F.array("place"), lambda p: p.isNotNull())
+    rows = items.select(
+        "response_id", "recorded_at", "path", "unfit_", "size_", "place", there.alias("item_"), *[_read(_leaf(item, f.path), f.kind).alias(f.name) for f in fields], F.struct(*[_given(_leaf(item, f.path)).alias(f.name) for f in fields]).alias("there_"),
+        F.when(item.isNull(), "item").otherwise(F.coalesce(*objects, F.lit(None).cast("string"))).alias("shape_"), (item["fill"].isNotNull() if category == "orders" else F.lit(True)).alias("executed"), (_leaf(item, has).isNotNull() if has else F.lit(False)).alias("listed"),
+    )
+
+    there = F.col("item_")
+    faults = [F.when(F.col(f.name).isNull() & (F.col("there_")[f.name] | F.lit(f.needed)), f.path) for f in fields]
+    rows = rows.withColumn("fault_", F.when(there, F.coalesce("shape_", *faults))).withColumn("nameless_", F.when(there & F.col("executed") & (F.coalesce(F.col(key), F.lit("")) == ""), F.col("place"))).drop("there_", "shape_")
+    page = Window.partitionBy("response_id")
+    rows = rows.withColumns({"wrong_": F.min(F.when(F.col("fault_").isNotNull(), F.struct("place", "fault_"))).over(page), "cut_": F.min("nameless_").over(page)})
+    fits = F.col("unfit_").isNull() & F.col("wrong_").isNull()
+    refused = F.coalesce("unfit_", F.when(F.col("wrong_").isNotNull(), F.concat(F.lit("item "), F.col("wrong_.place").cast("string"), F.lit(": "), F.col("wrong_.fault_"))), F.when(F.col("cut_").isNotNull(), F.concat(F.lit("item "), F.col("cut_").cast("string"), F.lit(": no id"))))
+    taken = there & fits & F.col("executed") & (F.col("place") < F.coalesce("cut_", F.lit(2**31 - 1)))
+    return rows.select("response_id", "recorded_at", "path", "place", *[f.name for f in fields], "executed", "listed", F.when(fits, F.col("size_")).otherwise(0).alias("n_items"), refused.alias("refused"), taken.alias("taken"))
+
+
+def judged_pages(responses: DataFrame, category: str) -> DataFrame:
+    """(response_id, path, refused, n_items) of each page of a category that is to be replayed."""
+    return page_rows(responses, category).filter(F.coalesce("place", F.lit(0)) == 0).select("response_id", "path", "refused", "n_items")
 
 
 def ledger_rows(responses: DataFrame, category: str) -> DataFrame:
     """The rows of a category, one a stable id: of several responses with it the newest one's, then the last of a page."""
     key = KEYS[category]
-    rows = page_items(responses, category).select("recorded_at", "response_id", F.explode("items").alias("x"))
-    newest = rows.groupBy(F.col(f"x.{key}").alias("k_")).agg(F.max_by("x", F.struct("recorded_at", "response_id", "x.place")).alias("x")).select("x.*").drop("executed", "fault", "place")
     own = lambda a, b: F.when(F.col("listed"), F.col(a)).otherwise(F.col(b))
+    rows = page_rows(responses, category).filter("taken").drop("path", "executed", "n_items", "refused", "taken")
     if category == "orders":
-        newest = newest.withColumns({"ticker": own("instrument_ticker", "order_ticker"), "instrument_currency": own("instrument_currency", "order_currency")}).drop("instrument_ticker", "order_ticker", "order_currency")
+        rows = rows.withColumns({"ticker": own("instrument_ticker", "order_ticker"), "instrument_currency": own("instrument_currency", "order_currency")}).drop("instrument_ticker", "order_ticker", "order_currency")
     if category == "dividends":
-        newest = newest.withColumn("ticker", own("instrument_ticker", "item_ticker")).drop("instrument_ticker", "item_ticker")
-    return newest.drop("listed")
+        rows = rows.withColumn("ticker", own("instrument_ticker", "item_ticker")).drop("instrument_ticker", "item_ticker")
+    # a window and not an aggregate of whole rows: only the columns that are asked for go through its shuffle
+    later = F.lead(F.lit(1)).over(Window.partitionBy(key).orderBy("recorded_at", "response_id", "place"))
+    return rows.withColumn("later_", later).filter("later_ is null").drop("later_", "recorded_at", "response_id", "place", "listed")
 
 
 def rejects(responses: DataFrame) -> DataFrame:
     """(response_id, path, reason) of all that isn't replayed: skipped, not fit, or cut short at an item without id."""
     skipped = admitted(responses).filter("skip is not null").select("response_id", "path", F.col("skip").alias("reason"))
-    refused = [page_items(responses, c).filter("refused is not null").select("response_id", "path", F.col("refused").alias("reason")) for c in SCHEMAS]
+    refused = [judged_pages(responses, c).filter("refused is not null").select("response_id", "path", F.col("refused").alias("reason")) for c in SCHEMAS]
     return reduce(DataFrame.unionByName, refused, skipped)
 
 
 def reparse_report(responses: DataFrame) -> DataFrame:
     """(path, replayed, failed, skipped, items) of each endpoint."""
-    parts = [page_items(responses, c).select("path", F.col("refused").isNull().cast("int").alias("replayed"), F.col("refused").isNotNull().cast("int").alias("failed"), F.lit(0).alias("skipped"), "n_items") for c in SCHEMAS]
+    parts = [judged_pages(responses, c).select("path", F.col("refused").isNull().cast("int").alias("replayed"), F.col("refused").isNotNull().cast("int").alias("failed"), F.lit(0).alias("skipped"), "n_items") for c in SCHEMAS]
     parts.append(admitted(responses).filter("skip is not null").select("path", F.lit(0).alias("replayed"), F.lit(0).alias("failed"), F.lit(1).alias("skipped"), F.lit(0).alias("n_items")))
     return reduce(DataFrame.unionByName, parts).groupBy("path").agg(*[F.sum(c).alias(c) for c in ("replayed", "failed", "skipped")], F.sum("n_items").alias("items"))
 

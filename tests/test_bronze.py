@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 
 from ledgerwell.operators import merging
+from ledgerwell.plans import bronze as pb
 from ledgerwell.sources import bronze as bz
 
 NOW = datetime(2024, 5, 1, 12)
@@ -130,3 +131,35 @@ def test_rebuilding_parses_once_and_broadcasts_no_keys(spark, monkeypatch):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert len(parsed) == 1 and "from_json" not in plan and "parse_json" not in plan and "Broadcast" not in plan
     assert sorted((r[0], int(r[1])) for r in out.collect()) == [("f1", 3), ("f2", 4), ("f3", 5)]
+
+
+def test_rows_of_a_ledger_are_read_once_and_shuffled_narrow(spark, monkeypatch):
+    """The shuffles carry what is asked for: before, the whole item of 22 fields went through them, and each page's text."""
+    rows = bz.fills(bz.ledger_rows(pb._order_pages(spark, "/root/testdata/sf0.001"), "orders")).select("fill_id", "quantity")
+    steps = rows._jdf.queryExecution().executedPlan().toString().split("\n")
+    below = [steps[i + 1] for i, line in enumerate(steps) if "Exchange hashpartitioning" in line]
+    assert len(below) == 2 and not any(c in line for line in below for c in ("isin", "limit_price", "wallet_realised", "body"))
+    assert "fill_id" in below[0] and "l_orderkey" in below[1] and "Broadcast" not in "".join(steps)
+    generated = [line for line in steps if "posexplode" in line]
+    assert len(generated) == 1 and sum("parseJson" in line for line in steps) == 1 and generated[0].split("[", 1)[1].split("]")[0].count("#") == 3
+
+
+def test_pages_are_judged_whole_wherever_their_items_are(spark):
+    """A fault of the last item refuses all of a page, an item without its id what follows it, in many partitions and one."""
+    item = '{"order": {"id": %d}, "fill": {"id": %s, "quantity": %s}}'
+    page = lambda bad, nameless: '{"items": [' + ", ".join(item % (i, "null" if i == nameless else f'"p{bad}-{nameless}-{i}"', "true" if i == bad else "1") for i in range(9)) + "]}"
+    kinds = [(b, n) for b in (-1, 0, 8) for n in (-1, 0, 4, 8)]
+    responses = spark.createDataFrame([(i, NOW, ORDERS, 200, page(*k)) for i, k in enumerate(kinds)], RESPONSE)
+    want = {f"p{b}-{n}-{i}" for b, n in kinds if b < 0 for i in range(9 if n < 0 else n)}
+    for parts in (1, 5):
+        spread = responses.repartition(parts)
+        assert {r[0] for r in bz.ledger_rows(spread, "orders").select("fill_id").collect()} == want
+        assert {r[0]: r[2] for r in bz.rejects(spread).collect()} == {i: f"item {b}: fill.quantity" if b >= 0 else f"item {n}: no id" for i, (b, n) in enumerate(kinds) if (b, n) != (-1, -1)}
+        assert [tuple(r)[1:] for r in bz.reparse_report(spread).collect()] == [(1, 11, 0, 9 * 4)]
+
+
+def test_of_many_versions_of_a_row_the_newest_stays(spark):
+    item = '{"order": {"id": 1}, "fill": {"id": "f", "quantity": %d}}'
+    at = [(3, 0, [5]), (1, 1, [7, 8]), (2, 1, [9, 10]), (9, -1, [11])]
+    responses = spark.createDataFrame([(i, NOW + timedelta(days=d), ORDERS, 200, '{"items": [' + ", ".join(item % q for q in qs) + "]}") for i, d, qs in at], RESPONSE)
+    assert [int(r[0]) for r in bz.ledger_rows(responses.repartition(4), "orders").select("filled_quantity").collect()] == [10]
